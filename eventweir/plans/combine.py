@@ -39,29 +39,25 @@ class CombineConfig:
 
 
 @dataclass
-class CombinePlan:
-    """What a pass would do: the manifest it would commit, and what it found."""
+class CombinePass:
+    """What a pass did: files placed, objects rewritten (``log``), and groups
+    whose manifest does not match the staged files."""
 
-    manifest: DataFrame
     placed: DataFrame
+    log: DataFrame
     bad_manifests: DataFrame
 
 
-def plan_combine(
-    staged: DataFrame, manifest: DataFrame, target_root: str, node: str, now_ms: int, target_size: int, suffix: str
-) -> CombinePlan:
+def place_new_files(
+    staged: DataFrame, manifest: DataFrame, node: str, now_ms: int, target_size: int = DEFAULT_TARGET
+) -> DataFrame:
     """Place the files that are in no combined object yet, in groups this node may update."""
     headers = group_headers(manifest)
     fresh = ops.uncombined_objects(staged, explode_parts(manifest))
     fresh = ops.in_writable_groups(fresh, headers, node, now_ms)
-    status = ops.parts_status(manifest, staged)
+    growable = ops.open_objects(ops.parts_status(manifest, staged), target_size)
     numbers = headers.select(*GROUP, F.col("n_objects").alias("next_ordinal"))
-    placed = pack_first_fit(fresh, ops.open_objects(status, target_size), numbers, target_size)
-    return CombinePlan(
-        ops.next_manifest(manifest, placed, target_root, node, now_ms, suffix),
-        placed,
-        ops.bad_manifests(status, fresh, target_size),
-    )
+    return pack_first_fit(fresh, growable, numbers, target_size)
 
 
 def run_combine(
@@ -70,13 +66,12 @@ def run_combine(
     as_of: dt.datetime,
     types: list[str] | None = None,
     announce: Callable[[DataFrame], None] | None = None,
-) -> DataFrame:
+) -> CombinePass:
     """List, plan, commit the manifest, rewrite what is missing or stale.
 
     Covers all types, or only ``types``.  Run it again after a pass ends, from
     any scheduler: a pass that finds nothing new changes nothing, and one that
     died is made good by the next.  ``announce`` gets one event per type.
-    Returns the log of rewritten objects.
     """
     as_of = as_of.replace(tzinfo=as_of.tzinfo or dt.timezone.utc).astimezone(dt.timezone.utc)
     now_ms = int(as_of.timestamp() * 1000)
@@ -92,8 +87,9 @@ def run_combine(
 
     manifest = only(read_manifests(spark, config.manifest_root, window))
     target_root = config.target_root.rstrip("/")
-    plan = plan_combine(staged, manifest, target_root, config.node, now_ms, config.target_size, config.suffix)
-    placed = written_table(plan.placed, "placed")
+    placed = written_table(place_new_files(staged, manifest, config.node, now_ms, config.target_size), "placed")
+    bad = ops.bad_manifests(ops.parts_status(manifest, staged), placed, config.target_size)
+    bad = written_table(bad, "bad-manifests")
     planned = ops.next_manifest(manifest, placed, target_root, config.node, now_ms, config.suffix)
     # Only objects that got new parts are stored; the others already are.
     touched = placed.select(*GROUP, "ordinal").distinct()
@@ -113,7 +109,7 @@ def run_combine(
         names = [t for t in event_types(config.staging_root) if types is None or t in types]
         kinds = spark.createDataFrame([(n,) for n in names], "event_type string")
         announce(ops.combine_completed(kinds, config.group_id, F.lit(as_of)))
-    return log
+    return CombinePass(placed, log, bad)
 
 
 def window_days(as_of: dt.date, start_days_ago: int, end_days_ago: int) -> list[str]:
