@@ -5,9 +5,10 @@ Tasks open files by URI where they run; nothing passes through the driver.
 
 from __future__ import annotations
 
-import io
+import hashlib
 import uuid
 import zlib
+from collections.abc import Iterator
 
 from pyarrow import fs
 
@@ -55,11 +56,12 @@ def concatenate(sources: list[str], target: str) -> int:
 
 
 def move_into(source: str, folder: str) -> str:
-    """Move a file into ``folder``, keeping its name."""
+    """Move a file into ``folder`` under a name that is unique to its old location."""
     system, path = open_location(source)
     target_system, target_dir = open_location(folder)
     target_system.create_dir(target_dir, recursive=True)
-    target = f"{target_dir.rstrip('/')}/{path.rsplit('/', 1)[-1]}"
+    digest = hashlib.md5(source.encode()).hexdigest()[:12]
+    target = f"{target_dir.rstrip('/')}/{digest}-{path.rsplit('/', 1)[-1]}"
     if system.get_file_info(path).type == fs.FileType.NotFound:
         # A repeated attempt finds the move already done.
         if target_system.get_file_info(target).type != fs.FileType.NotFound:
@@ -68,80 +70,90 @@ def move_into(source: str, folder: str) -> str:
     return target
 
 
-def decodes(location: str) -> bool:
-    """True when a compressed file can be read to its end.
+def read_through(location: str) -> tuple[bool, str | None]:
+    """Can a compressed file be read to its end, and its first line.
 
     Blocks are decoded and thrown away, so memory does not grow with the file.
-    Only formats that carry their own end or lengths can be checked.
     """
     system, path = open_location(location)
     name = path.lower()
+    kind = next((k for end, k in DECODERS.items() if name.endswith(end)), _plain_blocks)
+    first = bytearray()
+    complete, line_ended = True, False
     try:
         with system.open_input_stream(path, compression=None) as data:
-            if name.endswith(".gz"):
-                return _gzip_complete(data)
-            if name.endswith(".snappy"):
-                return _block_snappy_complete(data)
-            if name.endswith((".zst", ".zstd")):
-                return _zstd_complete(data)
-            return True
+            for block in kind(data):
+                if not line_ended:
+                    end = block.find(b"\n")
+                    line_ended = end >= 0
+                    first += block[:end] if line_ended else block
     except (OSError, ValueError, zlib.error):
-        return False
+        complete = False
+    try:
+        line = first.decode("utf-8")
+    except UnicodeDecodeError:
+        complete, line = False, None
+    return complete, line or None
+
+
+def _plain_blocks(data) -> Iterator[bytes]:
+    while block := data.read(BLOCK):
+        yield block
 
 
-def _gzip_complete(data) -> bool:
-    decoder, ended = zlib.decompressobj(31), True
-    pending = b""
-    while block := pending or data.read(BLOCK):
-        decoder.decompress(block, BLOCK)
-        while not decoder.eof and decoder.unconsumed_tail:
-            decoder.decompress(decoder.unconsumed_tail, BLOCK)
-        ended, pending = decoder.eof, decoder.unused_data
+def _gzip_blocks(data) -> Iterator[bytes]:
+    """Decoded blocks; a file may be several compressed files put end to end."""
+    decoder, rest, begun = zlib.decompressobj(31), b"", False
+    while block := rest or data.read(BLOCK):
+        begun = True
+        yield decoder.decompress(block, BLOCK)
+        rest = decoder.unconsumed_tail
         if decoder.eof:
+            rest, begun = decoder.unused_data, False
             decoder = zlib.decompressobj(31)
-    return ended
+    if begun:
+        raise ValueError("cut short")
 
 
-def _zstd_complete(data) -> bool:
+def _zstd_blocks(data) -> Iterator[bytes]:
     import zstandard
 
     try:
-        with zstandard.ZstdDecompressor().stream_reader(io.BufferedReader(data), read_across_frames=True) as reader:
-            while reader.read(BLOCK):
-                pass
-    except zstandard.ZstdError:
-        return False
-    return True
+        decoder, rest, begun = zstandard.ZstdDecompressor().decompressobj(), b"", False
+        while block := rest or data.read(BLOCK):
+            begun = True
+            yield decoder.decompress(block)
+            rest = b""
+            if decoder.eof:
+                rest, begun = decoder.unused_data, False
+                decoder = zstandard.ZstdDecompressor().decompressobj()
+        if begun:
+            raise ValueError("cut short")
+    except zstandard.ZstdError as error:
+        raise ValueError(str(error)) from error
 
 
-def _block_snappy_complete(data) -> bool:
+def _block_snappy_blocks(data) -> Iterator[bytes]:
     """Blocks of: size when decoded, then pieces of (size, compressed bytes) that add up to it."""
     import pyarrow as pa
 
     codec = pa.Codec("snappy")
 
-    def number() -> int | None:
-        raw = data.read(4)
-        if not raw:
-            return None
-        if len(raw) < 4:
+    def exactly(n: int) -> bytes:
+        raw = data.read(n)
+        if len(raw) < n:
             raise ValueError("cut short")
-        return int.from_bytes(raw, "big")
+        return raw
 
-    while (wanted := number()) is not None:
+    while start := data.read(4):
+        wanted = int.from_bytes(start if len(start) == 4 else start + exactly(4 - len(start)), "big")
         while wanted > 0:
-            size = number()
-            if size is None:
-                return False
-            piece = data.read(size)
-            if len(piece) < size:
-                return False
+            piece = exactly(int.from_bytes(exactly(4), "big"))
             length = _snappy_length(piece)
             if length > wanted:
-                return False
-            codec.decompress(piece, length)
+                raise ValueError("not snappy")
+            yield codec.decompress(piece, length).to_pybytes()
             wanted -= length
-    return True
 
 
 def _snappy_length(piece: bytes) -> int:
@@ -153,3 +165,6 @@ def _snappy_length(piece: bytes) -> int:
             return value
         shift += 7
     raise ValueError("not snappy")
+
+
+DECODERS = {".gz": _gzip_blocks, ".snappy": _block_snappy_blocks, ".zst": _zstd_blocks, ".zstd": _zstd_blocks}

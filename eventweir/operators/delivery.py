@@ -1,4 +1,4 @@
-"""Batching events per flow and accounting for what became of them."""
+"""What became of delivered batches, and of the queues they come from."""
 
 from __future__ import annotations
 
@@ -6,37 +6,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventweir.operators.joins import join_small
-from eventweir.operators.routing import route_events
+from eventweir.operators.batches import MAX_BATCH
+from eventweir.operators.joins import join_small, small_table
 from eventweir.operators.running import Running, running_before
 
-MAX_BATCH = 1000
 CAPACITY = 250_000
 
 
-def batch_numbers(df: DataFrame, keys: list[str], seq: str, max_batch: int = MAX_BATCH) -> DataFrame:
-    """FIFO batches per key: adds ``batch_id`` and the position in the batch, ``pos``.
-
-    ``seq`` is the integer arrival number."""
-    counted = running_before(df, keys, seq, {"_earlier": Running(F.lit(1).cast("bigint"))})
-    return counted.withColumns(
-        {
-            "batch_id": F.floor(F.col("_earlier") / max_batch).cast("bigint"),
-            "pos": F.pmod(F.col("_earlier"), F.lit(max_batch)).cast("bigint"),
-        }
-    ).drop("_earlier")
-
-
-def batch_by_flow(events: DataFrame, flows: DataFrame, seq: str, max_batch: int = MAX_BATCH) -> DataFrame:
-    """Route events and cut each flow's queue into FIFO batches.
-
-    All flows of a type see the same events in the same order, so events are
-    numbered once per type and copied to the flows afterwards."""
-    wanted = flows.select(F.col("event_type").alias("type")).distinct()
-    routable = join_small(events, wanted, ["type"], [seq])
-    return route_events(batch_numbers(routable, ["type"], seq, max_batch), flows, (seq,))
-
-
 def attempt_result(status_code: Column) -> Column:
     """``delivered`` (2xx), ``rejected`` (4xx), or NULL: try the next tap."""
     return F.when(status_code.between(200, 299), "delivered").when(status_code.between(400, 499), "rejected")
@@ -119,6 +95,7 @@ def first_batch_flag(
     staged = staged.withColumn("_epoch", F.coalesce("_epoch", F.lit(-(2**63)).cast("bigint")))
     established = staged.where(F.col("status_code").between(200, 299))
     established = established.groupBy(*tap, "_epoch").agg(F.min(F.struct("batch_id", "attempt_no")).alias("_first"))
+    established = small_table(established, "established")
     flagged = join_small(staged, established, [*tap, "_epoch"], ["batch_id", "attempt_no"], "left")
     here = F.struct("batch_id", "attempt_no")
     return flagged.withColumn("first_batch", F.coalesce(here <= F.col("_first"), F.lit(True))).drop("_epoch", "_first")
@@ -196,7 +173,7 @@ def bounded_backlog(arrivals: DataFrame, capacity: int = CAPACITY, max_batch: in
         backlog = int(pdf["_start"].iloc[0])
         out = []
         for row in pdf.itertuples(index=False):
-            result = _play_tick(backlog, row.arrivals, row.failed, row.arrivals_sending, capacity, max_batch)
+            result = play_tick(backlog, row.arrivals, row.failed, row.arrivals_sending, capacity, max_batch)
             backlog = result[-1]
             out.append((row.flow_id, row.tick, *result))
         return pd.DataFrame(out, columns=["flow_id", "tick", "accepted", "overflow_dropped", "sent", "requeue_dropped", "backlog"])
@@ -216,7 +193,7 @@ def bounded_backlog(arrivals: DataFrame, capacity: int = CAPACITY, max_batch: in
     )
 
 
-def _play_tick(backlog, arrivals, failed, sending, capacity, max_batch):
+def play_tick(backlog, arrivals, failed, sending, capacity, max_batch):
     accepted = min(arrivals, capacity - backlog)
     size = backlog + accepted
     batch = min(max_batch, size)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventweir.functions.envelope import one_json_value, utc_date, utc_hour
-from eventweir.functions.transfer import decodes, move_into
+from eventweir.functions.transfer import move_into, read_through
 from eventweir.schema import ENVELOPE_TEXT
 from eventweir.session import written_table
 
@@ -32,56 +32,53 @@ def file_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_verdicts(lines: DataFrame) -> DataFrame:
-    """Per file (``file, line_no, value``): records, type of the first record
-    and whether every non-blank line is one JSON value.
-
-    ``first_ok`` says that the first line is an event, which is what it takes
-    to find the bucket of a file left over from an earlier run.
-    """
+    """Per file (``file, value``): records, and whether every line that is not
+    blank is one JSON value."""
     blank = F.trim("value") == ""
-    first = F.from_json("value", ENVELOPE_TEXT)
-    judged = lines.select("file", "line_no", blank.alias("blank"), "value", (blank | one_json_value(F.col("value"))).alias("json"))
-    return (
-        judged.groupBy("file")
-        .agg(
-            F.count_if(~F.col("blank")).alias("n_records"),
-            F.bool_and("json").alias("all_json"),
-            F.min_by("value", "line_no").alias("value"),
-        )
-        .select("file", "n_records", first["type"].alias("first_type"), "all_json")
-    )
+    judged = lines.select("file", blank.alias("blank"), (blank | one_json_value(F.col("value"))).alias("json"))
+    return judged.groupBy("file").agg(F.count_if(~F.col("blank")).alias("n_records"), F.bool_and("json").alias("all_json"))
 
 
 def verify_files(spark: SparkSession, path: str) -> DataFrame:
     """``file, size, n_records, first_type, status`` of every file below ``path``.
 
     A file is ``ok`` when all of it decompresses and parses and its first line
-    is an event; otherwise the whole file is ``corrupt``.  Expects one record
-    per line.
+    is an event; otherwise the whole file is ``corrupt``.  The first line is
+    what tells the bucket of a file left over from an earlier run.  Expects one
+    record per line.
     """
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     listing = listing.select(F.col("path").alias("file"), F.col("length").alias("size"))
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(decodes=[decodes(f) for f in pdf["file"]])
+            found = [read_through(f) for f in pdf["file"]]
+            yield pdf.assign(decodes=[ok for ok, _ in found], first_line=[line for _, line in found])
 
     tasks = max(spark.sparkContext.defaultParallelism, 1)
-    readable = listing.repartition(tasks * 4, "file").mapInPandas(probe, "file string, size bigint, decodes boolean")
-    verdicts = file_verdicts(file_lines(spark, path))
+    probed = listing.repartition(tasks * 4, "file").mapInPandas(
+        probe, "file string, size bigint, decodes boolean, first_line string"
+    )
+    verdicts = file_verdicts(file_lines(spark, path).withColumn("file", file_uri(F.col("file"))))
+    first_type = F.from_json("first_line", ENVELOPE_TEXT)["type"]
     ok = F.coalesce(F.col("decodes") & F.col("all_json") & F.col("first_type").isNotNull(), F.lit(False))
-    return readable.join(verdicts.withColumn("file", file_uri(F.col("file"))), "file", "left").select(
-        "file",
-        "size",
-        F.coalesce("n_records", F.lit(0).cast("bigint")).alias("n_records"),
-        "first_type",
-        F.when(ok, "ok").otherwise("corrupt").alias("status"),
+    return (
+        probed.join(verdicts, "file", "left")
+        .withColumn("first_type", first_type)
+        .select(
+            "file",
+            "size",
+            F.coalesce("n_records", F.lit(0).cast("bigint")).alias("n_records"),
+            "first_type",
+            F.when(ok, "ok").otherwise("corrupt").alias("status"),
+        )
     )
 
 
 def file_uri(path: Column) -> Column:
-    """Both file sources name local files alike after this."""
-    return F.regexp_replace(path, "^file:/+", "file:/")
+    """``_metadata.file_path`` escapes special characters and writes local files
+    as ``file:///``; spell it as a file listing does."""
+    return F.regexp_replace(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
 
 
 def file_partition(lines: DataFrame) -> DataFrame:
@@ -101,7 +98,9 @@ def file_partition(lines: DataFrame) -> DataFrame:
 
 def quarantine_corrupt(verdicts: DataFrame, failed_root: str) -> DataFrame:
     """Move corrupt files to ``failed_root``; returns where they went.  The move
-    is done when this returns; the files are not looked at again."""
+    is done when this returns; the files are not looked at again.  Files of
+    several folders may share a name, so the new name starts with a digest of
+    the old location."""
 
     def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventweir.functions.uris import audit_result, uri_problem
-from eventweir.operators.joins import join_small
+from eventweir.operators.batches import MAX_BATCH, batch_numbers
+from eventweir.operators.joins import join_small, small_table
 from eventweir.schema import FLOW
 
 TAP_SPEC = ["event_type", "flow_id", "uri", "qos", "last_known"]
@@ -79,10 +80,32 @@ def route_events(events: DataFrame, flows: DataFrame, spread_by: tuple[str, ...]
 
     Only the flow's key and retry setting travel with the copies, not its
     destinations."""
-    targets = flows.select(F.col("event_type").alias("type"), "flow_id", "qos_enabled")
+    return _copy_to_flows(events, _targets(flows), spread_by)
+
+
+def _targets(flows: DataFrame) -> DataFrame:
+    return small_table(flows.select(F.col("event_type").alias("type"), "flow_id", "qos_enabled"), "targets")
+
+
+def _copy_to_flows(events: DataFrame, targets: DataFrame, spread_by: tuple[str, ...]) -> DataFrame:
     return join_small(events, targets, ["type"], list(spread_by))
 
 
+def batch_by_flow(events: DataFrame, flows: DataFrame, seq: str, max_batch: int = MAX_BATCH) -> DataFrame:
+    """Route events and cut each flow's queue into FIFO batches.
+
+    All flows of a type see the same events in the same order, so events are
+    numbered once per type and copied to the flows afterwards."""
+    targets = _targets(flows)
+    return _copy_to_flows(batch_by_type(events, targets, seq, max_batch), targets, (seq,))
+
+
+def batch_by_type(events: DataFrame, targets: DataFrame, seq: str, max_batch: int = MAX_BATCH) -> DataFrame:
+    """FIFO batches of the events of each type that has a flow (``targets.type``)."""
+    wanted = targets.select("type").distinct()
+    return batch_numbers(join_small(events, wanted, ["type"], [seq]), ["type"], seq, max_batch)
+
+
 def audit_tap_uris(uris: DataFrame, schemes: tuple[str, ...] = ("http", "https")) -> DataFrame:
     """Each distinct offending URI per flow, with the ``problem`` it has."""
     return (

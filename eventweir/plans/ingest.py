@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventweir.functions.envelope import accept_types, event_line, event_partition
-from eventweir.operators.delivery import MAX_BATCH, batch_by_flow
+from eventweir.operators.batches import MAX_BATCH
 from eventweir.operators.ingest import SINKS
+from eventweir.operators.joins import small_table
+from eventweir.operators.routing import batch_by_type
 from eventweir.sinks.spool import write_spool
 
 Sink = Callable[[DataFrame], None]
@@ -56,7 +58,9 @@ def spool_sink(root: str, batch_id: int | None = None, max_records: int = 0, cod
 
 
 def delivery_batches(events: DataFrame, flows: DataFrame, seq: str, max_batch: int = MAX_BATCH) -> DataFrame:
-    """Batches as ``deliver`` wants them: each flow's events in order, as JSON lines."""
+    """Batches as ``deliver`` wants them, for types that have a flow: events in
+    order, as JSON lines.  All flows of a type share its batches."""
     lines = events.select("type", seq, event_line().alias("line"))
-    batches = batch_by_flow(lines, flows, seq, max_batch)
-    return batches.select(F.col("type").alias("event_type"), "flow_id", "batch_id", "pos", "line")
+    targets = small_table(flows.select(F.col("event_type").alias("type")).distinct(), "types")
+    batches = batch_by_type(lines, targets, seq, max_batch)
+    return batches.select(F.col("type").alias("event_type"), "batch_id", "pos", "line")

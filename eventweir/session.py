@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,20 @@ def use_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings for the actions inside the block; ``__`` stands for a dot."""
+    names = {key.replace("__", "."): value for key, value in values.items()}
+    before = {key: spark.conf.get(key) for key in names}
+    for key, value in names.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder that driver and executors share, named by ``spark.checkpoint.dir``.
 

@@ -12,6 +12,9 @@ from eventweir.functions.transfer import concatenate
 from eventweir.session import written_table
 
 MAX_TASKS = 10_000
+TASK_BYTES = 512 * 1024 * 1024
+# Opening and closing an object takes as long as copying so many bytes.
+OBJECT_COST = 4 * 1024 * 1024
 
 
 def compact(worklist: DataFrame, stop_on_error: bool = False, name: str = "compact") -> DataFrame:
@@ -34,9 +37,11 @@ def compact(worklist: DataFrame, stop_on_error: bool = False, name: str = "compa
         worklist = worklist.withColumn("rank", F.lit(0))
     work = worklist.select("rank", "location", "size", F.col("source_parts.location").alias("sources"))
     work = written_table(work, name)
-    # Rows are short but stand for much work, so the number of tasks is set by
-    # count.  Tasks start in order: low ranks, the urgent types, first.
-    tasks = max(1, min(work.count(), MAX_TASKS))
+    # Rows are short but stand for much work, so the number of tasks follows the
+    # bytes to copy.  Tasks start in order: low ranks, the urgent types, first.
+    count, cost = work.agg(F.count("*"), F.sum(F.col("size") + OBJECT_COST)).first()
+    least = min(count, work.sparkSession.sparkContext.defaultParallelism)
+    tasks = max(1, least, min(MAX_TASKS, -(-int(cost or 0) // TASK_BYTES)))
     spread = work.repartitionByRange(tasks, "rank", F.xxhash64("location"))
     result = spread.mapInPandas(rewrite, "location string, size bigint, status string, message string")
     return written_table(result, f"{name}-result")

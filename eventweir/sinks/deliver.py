@@ -9,9 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventweir.operators.joins import join_small
+from eventweir.operators.delivery import delivery_outcome
+from eventweir.operators.joins import join_small, small_table
+from eventweir.operators.running import Running, running_before
 from eventweir.schema import ATTEMPT, FLOW
-from eventweir.session import written_table
+from eventweir.session import settings, written_table
 
 # transport(uri, headers, lines) -> HTTP-like status code; raising counts as no answer
 Transport = Callable[[str, dict, list], int]
@@ -33,7 +35,8 @@ def deliver(
     retry_count: int = RETRY_COUNT,
     retry_delay: float = RETRY_DELAY,
 ) -> DataFrame:
-    """Send every batch (``event_type, flow_id, batch_id, pos, line``) and return the attempts.
+    """Send every batch (``event_type, batch_id, pos, line``) to each flow of its
+    type and return the attempts.  With a ``flow_id`` column a batch goes to that flow only.
 
     The taps of a flow are tried in turn from a start that depends on the batch
     only; 2xx and 4xx end the batch.  Flows that want retries get up to
@@ -47,24 +50,20 @@ def deliver(
     Delivery is at least once: a batch whose task is lost is sent again.
     Everything is sent, and the attempts are stored, when this returns.
     """
+    none, zero = F.expr("CAST(array() AS array<string>)"), F.lit(0).cast("bigint")
     targets = flows.select(*FLOW, "destinations", "qos_enabled")
     if tap_state is None:
-        targets = targets.withColumns({"established": F.expr("CAST(array() AS array<string>)"), "dropped": F.lit(0).cast("bigint")})
+        targets = targets.withColumns({"established": none, "dropped": zero})
     else:
-        targets = targets.join(tap_state.select(*FLOW, "established", "dropped"), FLOW, "left").withColumns(
-            {
-                "established": F.coalesce("established", F.expr("CAST(array() AS array<string>)")),
-                "dropped": F.coalesce("dropped", F.lit(0).cast("bigint")),
-            }
-        )
+        targets = targets.join(tap_state.select(*FLOW, "established", "dropped"), FLOW, "left")
+        targets = targets.withColumns({"established": F.coalesce("established", none), "dropped": F.coalesce("dropped", zero)})
     # A batch is bounded by the batch size, so it may become one row; flows are
     # joined to batches, not to events.
-    whole = batches.groupBy(*FLOW, "batch_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("entries")
-    )
-    first = batches.groupBy(*FLOW).agg(F.min("batch_id").alias("first_batch_id"))
-    joined = join_small(whole, targets, FLOW, ["batch_id"])
-    joined = join_small(joined, first, FLOW, ["batch_id"])
+    keys = FLOW if "flow_id" in batches.columns else ["event_type"]
+    whole = batches.groupBy(*keys, "batch_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("entries"))
+    first = batches.groupBy(*keys).agg(F.min("batch_id").alias("first_batch_id"))
+    targets = small_table(targets.join(first, keys), "targets")
+    joined = join_small(whole, targets, keys, ["batch_id"])
     ready = joined.select(
         *FLOW,
         "batch_id",
@@ -83,7 +82,9 @@ def deliver(
                 rows.extend(_send_batch(batch, transport, retry_delay))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in ATTEMPT.split(", ")])
 
-    return written_table(ready.mapInPandas(send, ATTEMPT), "attempts")
+    # A row is a whole batch, so a task takes few rows at a time.
+    with settings(batches.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="16"):
+        return written_table(ready.mapInPandas(send, ATTEMPT), "attempts")
 
 
 def _send_batch(batch, transport: Transport, retry_delay: float) -> list[tuple]:
@@ -114,9 +115,6 @@ def next_tap_state(attempts: DataFrame, flows: DataFrame, previous: DataFrame |
 
     Taps stay established only while they are destinations of their flow.
     """
-    from eventweir.operators.delivery import delivery_outcome
-    from eventweir.operators.running import Running, running_before
-
     answered = attempts.where(F.col("status_code").between(200, 299)).groupBy(*FLOW).agg(F.collect_set("uri").alias("_answered"))
     outcomes = delivery_outcome(attempts, FLOW)
     delivered = F.col("status") == "delivered"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventweir.functions.envelope import event_line, event_partition
 from eventweir.schema import BUCKET
+from eventweir.session import settings
 
 DEFAULT_CODEC = "snappy"
 
@@ -34,9 +35,12 @@ def write_spool(
         partitions.append("batch")
     writer = lines.write.partitionBy(*partitions).option("compression", codec).option("maxRecordsPerFile", max_records)
     if batch_id is None:
-        writer.mode("append").text(root)
+        writer = writer.mode("append")
     else:
-        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").text(root)
+        writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    # Opening files costs more than filling small ones: use all tasks even for little data.
+    with settings(df.sparkSession, spark__sql__adaptive__coalescePartitions__minPartitionSize="16k"):
+        writer.text(root)
 
 
 def read_spool_lines(spark: SparkSession, root: str) -> DataFrame:

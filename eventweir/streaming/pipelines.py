@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from eventweir.operators.delivery import CAPACITY, MAX_BATCH, _play_tick
+from eventweir.operators.batches import MAX_BATCH
+from eventweir.operators.delivery import CAPACITY, play_tick
 from eventweir.plans.flow_table import FlowTable
 from eventweir.plans.ingest import ingest, spool_sink
 
@@ -85,7 +86,7 @@ def stream_backlog(
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         arrivals = 0 if state.hasTimedOut else sum(int(pdf["arrivals"].sum()) for pdf in frames)
         backlog, tick = state.get if state.exists else (0, 0)
-        accepted, dropped, sent, _, backlog = _play_tick(backlog, arrivals, False, 0, capacity, max_batch)
+        accepted, dropped, sent, _, backlog = play_tick(backlog, arrivals, False, 0, capacity, max_batch)
         state.update((backlog, tick + 1))
         if throttle_ms is not None and backlog > 0:
             state.setTimeoutDuration(throttle_ms)

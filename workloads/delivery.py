@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventweir.operators import delivery as ops
+from eventweir.operators.joins import small_table
+from eventweir.operators.routing import batch_by_flow
 from eventweir.plans.ingest import delivery_batches
 from eventweir.sinks.deliver import deliver
 from workloads import fixtures as fx
@@ -38,7 +40,7 @@ def outcomes(t):
 )
 def _(t):
     events = fx.envelope(t).select("type", "uuid", "seq")
-    return ops.batch_by_flow(events, flows(t), "seq", 100).select("uuid", "type", "flow_id", "batch_id", "pos")
+    return batch_by_flow(events, flows(t), "seq", 100).select("uuid", "type", "flow_id", "batch_id", "pos")
 
 
 @query("delivery_outcome", OUTCOME_SQL)
@@ -131,7 +133,8 @@ def _(t):
 )
 def _(t):
     """Every consumer takes every batch."""
-    batches = delivery_batches(fx.envelope(t), flows(t), "seq", 100)
-    sent = deliver(batches, flows(t), lambda uri, headers, lines: 202, retry_delay=0)
+    table = small_table(flows(t), "flows")
+    batches = delivery_batches(fx.envelope(t), table, "seq", 100)
+    sent = deliver(batches, table, lambda uri, headers, lines: 202, retry_delay=0)
     counts = ops.outbound_counts(ops.delivery_outcome(sent, FLOW))
     return counts.groupBy("event_type", "flow_id", "status").agg(F.sum("n_events").alias("n_events"))

@@ -133,7 +133,7 @@ FROM events GROUP BY 1, 2"""
 
 FILE_LOG = """
 SELECT concat('file-', CAST(conv_id AS VARCHAR(20))) AS file,
-       row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS attempt,
+       turn + 1 AS attempt,
        CASE role WHEN 'assistant' THEN 'failure' WHEN 'user' THEN 'success' ELSE 'corrupt' END AS outcome,
        CASE conv_id % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' ELSE 'error' END AS event_type,
        CAST(length(text) AS BIGINT) AS duration_ms,

@@ -258,8 +258,7 @@ def _(t):
 
 @query(
     "verify_files",
-    f"""SELECT file, count(*) AS n_records, bool_and(json_valid(value)) AS all_json,
-    arg_min(event_type, line_no) AS first_type FROM ({fx.FILE_LINES}) x GROUP BY 1""",
+    f"""SELECT file, count(*) AS n_records, bool_and(json_valid(value)) AS all_json FROM ({fx.FILE_LINES}) x GROUP BY 1""",
 )
 def _(t):
     return file_verdicts(t.sql(fx.FILE_LINES))
