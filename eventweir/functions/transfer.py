@@ -24,6 +24,20 @@ def open_location(location: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(location if "://" in location else "file://" + location)
 
 
+def subfolders(root: str) -> list[str]:
+    """Names of the folders directly below ``root``; none when it is not there."""
+    system, path = open_location(root)
+    if system.get_file_info(path).type != fs.FileType.Directory:
+        return []
+    return sorted(f.base_name for f in system.get_file_info(fs.FileSelector(path)) if f.type == fs.FileType.Directory)
+
+
+def is_committed(folder: str) -> bool:
+    """Did the Spark job that wrote this folder finish."""
+    system, path = open_location(folder)
+    return system.get_file_info(f"{path}/_SUCCESS").type == fs.FileType.File
+
+
 def concatenate(sources: list[str], target: str) -> int:
     """Write the bytes of ``sources``, in order, as ``target``; returns its size.
 

@@ -6,11 +6,11 @@ import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventweir.functions.locations import DEFAULT_TARGET, priority_class
+from eventweir.functions.transfer import subfolders
 from eventweir.operators import combine as ops
 from eventweir.operators.packing import pack_first_fit
 from eventweir.schema import GROUP
@@ -95,7 +95,7 @@ def run_combine(
     touched = placed.select(*GROUP, "ordinal").distinct()
     if not touched.isEmpty():
         changed = planned.join(touched, [*GROUP, "ordinal"], "left_semi")
-        write_manifest(changed, config.manifest_root, _next_pass(spark, config.manifest_root))
+        write_manifest(changed, config.manifest_root, _next_pass(config.manifest_root))
 
     manifest = only(read_manifests(spark, config.manifest_root, window))
     manifest = ops.in_writable_groups(manifest, group_headers(manifest), config.node, now_ms)
@@ -128,12 +128,6 @@ def same_spelling(location: Column, root: str) -> Column:
     return location
 
 
-def _next_pass(spark: SparkSession, manifest_root: str) -> int:
-    try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(manifest_root)
-        numbers = files.select(F.regexp_extract("path", r"pass=(\d+)/", 1).try_cast("bigint").alias("n"))
-        return (numbers.agg(F.max("n")).first()[0] or 0) + 1
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return 1
+def _next_pass(manifest_root: str) -> int:
+    passes = [int(name.removeprefix("pass=")) for name in subfolders(manifest_root) if name.startswith("pass=")]
+    return max(passes, default=0) + 1

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventweir.functions.transfer import is_committed, subfolders
 from eventweir.operators.routing import all_tap_specs, build_flows, diff_flows, retain_cached_flows
 from eventweir.sources.taps import read_discovery, read_static_taps
 
@@ -42,15 +42,8 @@ class FlowTable:
         self.version = self._latest_version()
 
     def _latest_version(self) -> int:
-        try:
-            files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True)
-            files = files.option("pathGlobFilter", "_SUCCESS").load(self.root)
-            marked = files.select(F.regexp_extract("path", r"version=(\d+)/", 1).cast("bigint").alias("v"))
-            return marked.agg(F.max("v")).first()[0] or 0
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return 0
+        versions = [int(name.removeprefix("version=")) for name in subfolders(self.root) if name.startswith("version=")]
+        return max((v for v in versions if is_committed(self._path(v))), default=0)
 
     def _path(self, version: int) -> str:
         return f"{self.root}/version={version:09d}"

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from urllib.parse import unquote
 
-from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventweir.functions.locations import location_parts
-from eventweir.functions.transfer import open_location
+from eventweir.functions.transfer import subfolders
 from eventweir.schema import BUCKET
 
 
@@ -78,9 +77,5 @@ def list_days(spark: SparkSession, root: str, days: list[str] | None, named: boo
 
 def event_types(root: str) -> list[str]:
     """Names of the folders directly below a staging root."""
-    system, path = open_location(root)
-    if system.get_file_info(path).type != fs.FileType.Directory:
-        return []
-    found = system.get_file_info(fs.FileSelector(path))
-    names = [f.base_name.removeprefix("event_type=") for f in found if f.type == fs.FileType.Directory]
-    return sorted(unquote(n) for n in names if not n.startswith(("_", ".")))
+    names = [name.removeprefix("event_type=") for name in subfolders(root) if not name.startswith(("_", "."))]
+    return sorted(unquote(name) for name in names)
