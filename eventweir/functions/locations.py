@@ -14,11 +14,12 @@ DEFAULT_TARGET = 512 * 1024 * 1024
 
 
 def location_parts(location: Column) -> dict[str, Column]:
-    """``bucket``, ``key``, ``dir`` (with its last slash) and ``name`` of ``scheme://bucket/key``.
+    """``bucket``, ``key``, ``dir`` (with its last slash) and ``name`` of
+    ``scheme://bucket/key`` or of a plain path, which has no bucket.
 
     The name is the last path segment, with or without a trailing slash; NULL at the root.
     """
-    path = F.regexp_extract(location, r"^[^:]+:/{0,2}[^/]*(/.*)?$", 1)
+    path = F.regexp_extract(location, r"^(?:[A-Za-z0-9+.-]+://[^/]*|[a-z]+:)?(/.*)?$", 1)
     trimmed = F.regexp_replace(path, "/$", "")
     return {
         "bucket": F.regexp_extract(location, r"^[^:]+://([^/]*)", 1),

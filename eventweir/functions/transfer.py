@@ -7,8 +7,6 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-import zlib
-from collections.abc import Iterator
 
 from pyarrow import fs
 
@@ -32,6 +30,39 @@ def subfolders(root: str) -> list[str]:
     return sorted(f.base_name for f in system.get_file_info(fs.FileSelector(path)) if f.type == fs.FileType.Directory)
 
 
+def list_folder(root: str, deep: bool, content_etag: bool = False) -> list[tuple]:
+    """What lies in a folder (``deep``: all files at any depth below it):
+    ``(location, is_folder, size, last_modified, etag)``.
+
+    Names that start with an underscore or a dot are not data and left out.
+    The etag is made of size and time, or from the content.
+    """
+    system, path = open_location(root)
+    found = system.get_file_info(fs.FileSelector(path, recursive=deep, allow_not_found=True))
+    base, out = path.rstrip("/"), []
+    for info in found:
+        below = info.path[len(base) :]
+        if any(part.startswith(("_", ".")) for part in below.strip("/").split("/")):
+            continue
+        is_folder = info.type == fs.FileType.Directory
+        if is_folder and deep:
+            continue
+        modified = (info.mtime_ns or 0) // 1_000_000
+        etag = None
+        if not is_folder:
+            etag = _content_digest(system, info.path) if content_etag else f"{modified:x}-{info.size:x}"
+        out.append((root.rstrip("/") + below, is_folder, info.size or 0, modified, etag))
+    return out
+
+
+def _content_digest(system: fs.FileSystem, path: str) -> str:
+    digest = hashlib.md5()
+    with system.open_input_stream(path, compression=None) as data:
+        while block := data.read(BLOCK):
+            digest.update(block)
+    return digest.hexdigest()
+
+
 def is_committed(folder: str) -> bool:
     """Did the Spark job that wrote this folder finish."""
     system, path = open_location(folder)
@@ -82,103 +113,3 @@ def move_into(source: str, folder: str) -> str:
             return target
     system.move(path, target)
     return target
-
-
-def read_through(location: str) -> tuple[bool, str | None]:
-    """Can a compressed file be read to its end, and its first line.
-
-    Blocks are decoded and thrown away, so memory does not grow with the file.
-    """
-    system, path = open_location(location)
-    name = path.lower()
-    kind = next((k for end, k in DECODERS.items() if name.endswith(end)), _plain_blocks)
-    first = bytearray()
-    complete, line_ended = True, False
-    try:
-        with system.open_input_stream(path, compression=None) as data:
-            for block in kind(data):
-                if not line_ended:
-                    end = block.find(b"\n")
-                    line_ended = end >= 0
-                    first += block[:end] if line_ended else block
-    except (OSError, ValueError, zlib.error):
-        complete = False
-    try:
-        line = first.decode("utf-8")
-    except UnicodeDecodeError:
-        complete, line = False, None
-    return complete, line or None
-
-
-def _plain_blocks(data) -> Iterator[bytes]:
-    while block := data.read(BLOCK):
-        yield block
-
-
-def _gzip_blocks(data) -> Iterator[bytes]:
-    """Decoded blocks; a file may be several compressed files put end to end."""
-    decoder, rest, begun = zlib.decompressobj(31), b"", False
-    while block := rest or data.read(BLOCK):
-        begun = True
-        yield decoder.decompress(block, BLOCK)
-        rest = decoder.unconsumed_tail
-        if decoder.eof:
-            rest, begun = decoder.unused_data, False
-            decoder = zlib.decompressobj(31)
-    if begun:
-        raise ValueError("cut short")
-
-
-def _zstd_blocks(data) -> Iterator[bytes]:
-    import zstandard
-
-    try:
-        decoder, rest, begun = zstandard.ZstdDecompressor().decompressobj(), b"", False
-        while block := rest or data.read(BLOCK):
-            begun = True
-            yield decoder.decompress(block)
-            rest = b""
-            if decoder.eof:
-                rest, begun = decoder.unused_data, False
-                decoder = zstandard.ZstdDecompressor().decompressobj()
-        if begun:
-            raise ValueError("cut short")
-    except zstandard.ZstdError as error:
-        raise ValueError(str(error)) from error
-
-
-def _block_snappy_blocks(data) -> Iterator[bytes]:
-    """Blocks of: size when decoded, then pieces of (size, compressed bytes) that add up to it."""
-    import pyarrow as pa
-
-    codec = pa.Codec("snappy")
-
-    def exactly(n: int) -> bytes:
-        raw = data.read(n)
-        if len(raw) < n:
-            raise ValueError("cut short")
-        return raw
-
-    while start := data.read(4):
-        wanted = int.from_bytes(start if len(start) == 4 else start + exactly(4 - len(start)), "big")
-        while wanted > 0:
-            piece = exactly(int.from_bytes(exactly(4), "big"))
-            length = _snappy_length(piece)
-            if length > wanted:
-                raise ValueError("not snappy")
-            yield codec.decompress(piece, length).to_pybytes()
-            wanted -= length
-
-
-def _snappy_length(piece: bytes) -> int:
-    """A snappy piece starts with its decoded length, seven bits per byte."""
-    value = shift = 0
-    for byte in piece[:5]:
-        value |= (byte & 0x7F) << shift
-        if byte < 0x80:
-            return value
-        shift += 7
-    raise ValueError("not snappy")
-
-
-DECODERS = {".gz": _gzip_blocks, ".snappy": _block_snappy_blocks, ".zst": _zstd_blocks, ".zstd": _zstd_blocks}

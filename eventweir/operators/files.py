@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventweir.functions.envelope import one_json_value, utc_date, utc_hour
-from eventweir.functions.transfer import move_into, read_through
+from eventweir.functions.inspection import inspect_file
+from eventweir.functions.transfer import move_into
 from eventweir.schema import ENVELOPE_TEXT
 from eventweir.session import written_table
+from eventweir.sources.events import with_instant
+from eventweir.sources.listing import list_objects
 
 UNKNOWN_TYPE = "unknown"
 RETRY_PERIOD = 300
@@ -19,8 +22,8 @@ RETRY_PERIOD = 300
 
 def file_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of all files below ``path``: ``file``, ``line_no`` (increasing, not
-    dense) and ``value``.  What can be read of a broken file is there too."""
-    lines = spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).text(path)
+    dense) and ``value``.  For files known to be whole, see ``verify_files``."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
     # A file that can be split has its blocks in order of their start.
     return lines.select(
         F.col("_metadata.file_path").alias("file"),
@@ -43,42 +46,29 @@ def verify_files(spark: SparkSession, path: str) -> DataFrame:
     """``file, size, n_records, first_type, status`` of every file below ``path``.
 
     A file is ``ok`` when all of it decompresses and parses and its first line
-    is an event; otherwise the whole file is ``corrupt``.  The first line is
-    what tells the bucket of a file left over from an earlier run.  Expects one
-    record per line.
+    is an event with a type and a time; otherwise the whole file is
+    ``corrupt``.  The first line tells the bucket of a file left over from an
+    earlier run.  Expects records that do not span lines.
+
+    Tasks open the files themselves: Spark's readers believe the sizes that
+    broken compressed files name, and fail the job.
     """
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    listing = listing.select(F.col("path").alias("file"), F.col("length").alias("size"))
+    listing = list_objects(spark, path).select(F.col("location").alias("file"), "size")
 
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def inspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [read_through(f) for f in pdf["file"]]
-            yield pdf.assign(decodes=[ok for ok, _ in found], first_line=[line for _, line in found])
+            found = [inspect_file(f) for f in pdf["file"]]
+            yield pdf.assign(
+                whole=[f[0] for f in found], n_records=[f[1] for f in found], first_line=[f[2] for f in found]
+            )
 
     tasks = max(spark.sparkContext.defaultParallelism, 1)
-    probed = listing.repartition(tasks * 4, "file").mapInPandas(
-        probe, "file string, size bigint, decodes boolean, first_line string"
+    inspected = listing.repartition(tasks * 4, "file").mapInPandas(
+        inspect, "file string, size bigint, whole boolean, n_records bigint, first_line string"
     )
-    verdicts = file_verdicts(file_lines(spark, path).withColumn("file", file_uri(F.col("file"))))
-    first_type = F.from_json("first_line", ENVELOPE_TEXT)["type"]
-    ok = F.coalesce(F.col("decodes") & F.col("all_json") & F.col("first_type").isNotNull(), F.lit(False))
-    return (
-        probed.join(verdicts, "file", "left")
-        .withColumn("first_type", first_type)
-        .select(
-            "file",
-            "size",
-            F.coalesce("n_records", F.lit(0).cast("bigint")).alias("n_records"),
-            "first_type",
-            F.when(ok, "ok").otherwise("corrupt").alias("status"),
-        )
-    )
-
-
-def file_uri(path: Column) -> Column:
-    """``_metadata.file_path`` escapes special characters and writes local files
-    as ``file:///``; spell it as a file listing does."""
-    return F.regexp_replace(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+    event = with_instant(inspected.select("*", F.from_json("first_line", ENVELOPE_TEXT).alias("_e")).select("*", "_e.*"))
+    ok = F.col("whole") & F.col("type").isNotNull() & F.col("timestamp").isNotNull()
+    return event.select("file", "size", "n_records", F.col("type").alias("first_type"), F.when(ok, "ok").otherwise("corrupt").alias("status"))
 
 
 def file_partition(lines: DataFrame) -> DataFrame:

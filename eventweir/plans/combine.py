@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventweir.functions.locations import DEFAULT_TARGET, priority_class
@@ -17,7 +17,7 @@ from eventweir.schema import GROUP
 from eventweir.session import written_table
 from eventweir.sinks.compact import compact
 from eventweir.sinks.manifests import write_manifest
-from eventweir.sources.listing import event_types, list_days, with_bucket
+from eventweir.sources.listing import event_types, list_objects, with_bucket
 from eventweir.sources.manifests import explode_parts, group_headers, read_manifests
 
 
@@ -80,7 +80,7 @@ def run_combine(
     def only(df: DataFrame) -> DataFrame:
         return df if types is None else df.where(F.col("event_type").isin(types))
 
-    found = ops.with_size_class(only(with_bucket(list_days(spark, config.staging_root, days, named=True))))
+    found = ops.with_size_class(only(with_bucket(list_objects(spark, config.staging_root, days))))
     # The listing is what the whole pass works from; list once.
     staged = written_table(found.select(*GROUP, "location", "etag", "size", "last_modified"), "staged")
     window = (days[0], _day_after(days[-1])) if days else None
@@ -99,9 +99,7 @@ def run_combine(
 
     manifest = only(read_manifests(spark, config.manifest_root, window))
     manifest = ops.in_writable_groups(manifest, group_headers(manifest), config.node, now_ms)
-    targets = list_days(spark, target_root, days, named=False)
-    targets = targets.withColumn("location", same_spelling(F.col("location"), target_root))
-    work = ops.combine_worklist(manifest, staged, targets)
+    work = ops.combine_worklist(manifest, staged, list_objects(spark, target_root, days))
     priority = priority_class(F.col("event_type"), config.high_priority, config.low_priority)
     rank = F.when(priority == "high", 0).when(priority == "low", 2).otherwise(1)
     log = compact(work.withColumn("rank", rank), config.stop_on_error)
@@ -121,13 +119,6 @@ def _day_after(day: str) -> str:
     return (dt.date.fromisoformat(day) + dt.timedelta(days=1)).isoformat()
 
 
-def same_spelling(location: Column, root: str) -> Column:
-    """Spark lists local files as ``file:/path``; spell them as ``root`` does."""
-    if root.startswith("/"):
-        return F.regexp_replace(location, "^file:/+", "/")
-    return location
-
-
 def _next_pass(manifest_root: str) -> int:
     passes = [int(name.removeprefix("pass=")) for name in subfolders(manifest_root) if name.startswith("pass=")]
     return max(passes, default=0) + 1

@@ -2,37 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventweir.functions.locations import location_parts
-from eventweir.functions.transfer import subfolders
+from eventweir.functions.transfer import list_folder, subfolders
 from eventweir.schema import BUCKET
 
+_ENTRY = "location string, is_folder boolean, size bigint, last_modified bigint, etag string"
 
-def list_objects(spark: SparkSession, root: str, etag: str = "version", recursive: bool = True) -> DataFrame:
-    """Files below ``root`` (or directly in it): ``location, size, etag,
-    last_modified`` (epoch ms) and the parts of the location.
 
-    The etag is made of size and modification time; ``etag="md5"`` reads every
-    file and uses its content.
+def list_objects(
+    spark: SparkSession, root: str, days: list[str] | None = None, etag: str = "version", recursive: bool = True
+) -> DataFrame:
+    """Files below ``root`` (or only directly in it): ``location, size, etag,
+    last_modified`` (epoch ms) and the parts of the location.  Empty files are
+    listed, names that start with an underscore or a dot are not.
+
+    Tasks do the listing, a folder each: types, then their days, then all below
+    a day, so no machine holds all names.  ``days`` keeps to day folders
+    (second level, ``day`` or ``date=day``) of these names; the others are not
+    opened.  The etag is made of size and time; ``etag="md5"`` reads every file.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    version = F.concat_ws("-", F.hex(F.unix_millis("modificationTime")), F.hex("length"))
-    found = files.select(
-        F.col("path").alias("location"),
-        F.col("length").alias("size"),
-        (F.md5("content") if etag == "md5" else version).alias("etag"),
-        F.unix_millis("modificationTime").alias("last_modified"),
-    )
-    found = found.withColumns(location_parts(F.col("location")))
-    if not recursive:
-        base = F.regexp_replace(F.lit(root.rstrip("/")), "^file:/+|^/+", "/")
-        found = found.where(F.regexp_replace("dir", "^file:/+|^/+", "/") == F.concat(base, F.lit("/")))
-    return found
+    content = etag == "md5"
+
+    def entries(deep: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            columns = [c.split()[0] for c in _ENTRY.split(", ")]
+            for pdf in batches:
+                for folder in pdf["location"]:
+                    yield pd.DataFrame(list_folder(folder, deep, content), columns=columns)
+
+        return run
+
+    def below(folders: DataFrame, deep: bool) -> DataFrame:
+        tasks = max(spark.sparkContext.defaultParallelism, 1)
+        spread = folders.where("is_folder").select("location").repartition(tasks, "location")
+        return spread.mapInPandas(entries(deep), _ENTRY)
+
+    start = spark.createDataFrame([(root.rstrip("/") or "/",)], "location string")
+    top = start.mapInPandas(entries(False), _ENTRY)
+    found = top
+    if recursive:
+        second = below(top, False)
+        if days is not None:
+            name = F.regexp_replace(F.substring_index("location", "/", -1), "^date=", "")
+            second = second.where(F.col("is_folder") & name.isin(days))
+            found = below(second, True)
+        else:
+            found = top.unionByName(second).unionByName(below(second, True))
+    files = found.where("NOT is_folder").select("location", "size", "etag", "last_modified")
+    return with_location_parts(files)
 
 
 def with_location_parts(listing: DataFrame) -> DataFrame:
@@ -58,23 +82,6 @@ def list_partitions(listing: DataFrame, level: str = "hour") -> DataFrame:
     return listing.select(*BUCKET[: BUCKET.index(level) + 1]).distinct()
 
 
-def list_days(spark: SparkSession, root: str, days: list[str] | None, named: bool) -> DataFrame:
-    """Files of the given days (all when None) below ``root/type/day``, folders
-    being ``column=value`` when ``named``.  Other days are not listed at all."""
-    if days is None:
-        path = root
-    else:
-        kind, day = ("event_type=*", "date=") if named else ("*", "")
-        path = f"{root.rstrip('/')}/{kind}/{day}{{{','.join(days)}}}"
-    try:
-        return list_objects(spark, path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        empty = "location string, size bigint, etag string, last_modified bigint, bucket string, key string, dir string, name string"
-        return spark.createDataFrame([], empty)
-
-
 def event_types(root: str) -> list[str]:
     """Names of the folders directly below a staging root."""
     names = [name.removeprefix("event_type=") for name in subfolders(root) if not name.startswith(("_", "."))]

@@ -308,7 +308,7 @@ def _(t):
     verdicts = verify_files(t.spark, f"{root}/staging")
     verdicts = written_table(verdicts, "verdicts")
     quarantine_corrupt(verdicts, f"{root}/failed")
-    after = verify_files(t.spark, root).withColumn("n_records", F.col("n_records") - F.when(F.col("status") == "corrupt", 1).otherwise(0))
+    after = verify_files(t.spark, root)
     place = F.when(F.col("file").contains("/failed/"), "corrupt").otherwise("ok")
     named = F.coalesce("first_type", F.lit("?"))
     return after.where(place == F.col("status")).groupBy(named.alias("event_type"), place.alias("status")).agg(F.sum("n_records").alias("n_records"))
