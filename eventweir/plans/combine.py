@@ -95,6 +95,13 @@ def run_combine(
     touched = placed.select(*GROUP, "ordinal").distinct()
     if not touched.isEmpty():
         changed = planned.join(touched, [*GROUP, "ordinal"], "left_semi")
+        # Groups somebody else has stored since they were read wait for the next pass.
+        read = group_headers(manifest).select(*GROUP, F.col("version").alias("read_version"))
+        proposed = changed.select(*GROUP, "location_prefix").distinct().join(read, GROUP, "left")
+        proposed = proposed.withColumn("read_version", F.coalesce("read_version", F.lit(0).cast("bigint")))
+        stored = group_headers(read_manifests(spark, config.manifest_root, window))
+        lost = ops.manifest_conflicts(stored, proposed).where("status = 'conflict'")
+        changed = changed.join(lost.select(*GROUP), GROUP, "left_anti")
         write_manifest(changed, config.manifest_root, _next_pass(config.manifest_root))
 
     manifest = only(read_manifests(spark, config.manifest_root, window))

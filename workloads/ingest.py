@@ -150,12 +150,12 @@ def _(t):
 # The right side: some hosts differ, some events are missing, some come twice;
 # key order and blanks of the payload differ everywhere, which is no difference.
 LEFT = f"""SELECT type, uuid, host, event_ts, concat('{{"k":', CAST(seq AS VARCHAR(20)), ',"l":1}}') AS data FROM ({fx.ENVELOPE}) x"""
-RIGHT = """
+RIGHT_ONCE = """
 SELECT event_type AS type, CAST(event_id AS VARCHAR(20)) AS uuid,
        CASE WHEN value > 40 THEN 'elsewhere' ELSE concat('host', CAST(user_id % 16 AS VARCHAR(20))) END AS host, ts AS event_ts,
        concat('{ "l": 1, "k": ', CAST(event_id AS VARCHAR(20)), ' }') AS data
-FROM events CROSS JOIN (SELECT 1 AS copy UNION ALL SELECT 2 AS copy) c
-WHERE value >= 5 AND (copy = 1 OR value < 8)"""
+FROM events WHERE value >= 5"""
+RIGHT = f"{RIGHT_ONCE} UNION ALL {RIGHT_ONCE} AND value < 8"
 
 
 @query(
