@@ -26,7 +26,9 @@ from eventweir.schema import GROUP
 from eventweir.session import written_table
 
 CELL = [*GROUP, "_chunk"]
-STATE = [*CELL, "_open", "_next", "_k", "_acc", "_parts"]
+STATE = [*CELL, "_open", "_next", "_acc", "_parts"]
+_ENTRY = ["_e_open", "_e_next", "_e_acc", "_e_parts"]
+_OPEN = "array<struct<ordinal: bigint, size: bigint, n_parts: bigint>>"
 _GROUP_TYPES = ", ".join(f"{c} string" for c in GROUP)
 
 
@@ -53,7 +55,7 @@ def pack_first_fit(
     ordered = written_table(ordered, "pack")
 
     cells = ordered.groupBy(*CELL).agg(F.sum("size").alias("_bytes"), F.max("size").alias("_largest"))
-    cells = _with_manifest_state(cells, open_objects, next_ordinals)
+    cells = _with_manifest_state(cells, open_objects, next_ordinals, target)
     if ordered.agg(F.max("_chunk") > F.min("_chunk")).first()[0]:
         cells = _with_entries(ordered, cells, target)
 
@@ -73,32 +75,36 @@ def pack_first_fit(
     return placed
 
 
-def _with_manifest_state(cells: DataFrame, open_objects, next_ordinals) -> DataFrame:
-    """Add each group's growable objects, next ordinal and the state the walk starts from."""
+def _with_manifest_state(cells: DataFrame, open_objects, next_ordinals, target: int) -> DataFrame:
+    """Add what the manifest says about each group: the state the walk starts
+    from, the next ordinal, and on the group's first chunk its growable objects
+    (there may be many, so not on every chunk)."""
+    none = F.expr(f"CAST(array() AS {_OPEN})")
+    zero = F.lit(0).cast("bigint")
     if open_objects is None:
-        cells = cells.withColumn("_open", F.expr("CAST(array() AS array<struct<ordinal:bigint,size:bigint,n_parts:bigint>>)"))
+        cells = cells.withColumns({"_all_open": none})
     else:
-        per_group = open_objects.groupBy(*GROUP).agg(
-            F.array_sort(
-                F.collect_list(F.struct(*[F.col(c).cast("bigint").alias(c) for c in ("ordinal", "size", "n_parts")]))
-            ).alias("_open")
-        )
-        cells = cells.join(per_group, GROUP, "left").withColumn(
-            "_open", F.coalesce("_open", F.expr("CAST(array() AS array<struct<ordinal:bigint,size:bigint,n_parts:bigint>>)"))
-        )
+        entry = F.struct(*[F.col(c).cast("bigint").alias(c) for c in ("ordinal", "size", "n_parts")])
+        per_group = open_objects.groupBy(*GROUP).agg(F.array_sort(F.collect_list(entry)).alias("_all_open"))
+        cells = cells.join(per_group, GROUP, "left").withColumn("_all_open", F.coalesce("_all_open", none))
     if next_ordinals is None:
-        cells = cells.withColumn("_next", F.lit(0).cast("bigint"))
+        cells = cells.withColumn("_next", zero)
     else:
         known = next_ordinals.select(*GROUP, F.col("next_ordinal").cast("bigint").alias("_next"))
-        cells = cells.join(known, GROUP, "left").withColumn("_next", F.coalesce("_next", F.lit(0).cast("bigint")))
-    first = F.try_element_at("_open", F.lit(1))
+        cells = cells.join(known, GROUP, "left").withColumn("_next", F.coalesce("_next", zero))
+    first = F.try_element_at("_all_open", F.lit(1))
+    # All but the last growable object are followed by one that is not empty.
+    not_last = F.slice("_all_open", F.lit(1), F.greatest(F.size("_all_open") - 1, F.lit(0)))
+    is_first = F.col("_chunk") == F.min("_chunk").over(Window.partitionBy(*GROUP))
     return cells.withColumns(
         {
-            "_k": F.lit(0).cast("bigint"),
-            "_acc": F.coalesce(first["size"], F.lit(0).cast("bigint")),
-            "_parts": F.coalesce(first["n_parts"], F.lit(0).cast("bigint")),
+            "_open": F.when(is_first, F.col("_all_open")).otherwise(none),
+            "_room": F.aggregate(not_last, zero, lambda s, o: s + F.lit(target) - o["size"]),
+            "_before_last": F.size(not_last),
+            "_acc": F.coalesce(first["size"], zero),
+            "_parts": F.coalesce(first["n_parts"], zero),
         }
-    )
+    ).drop("_all_open")
 
 
 def _with_entries(ordered: DataFrame, cells: DataFrame, target: int) -> DataFrame:
@@ -106,18 +112,11 @@ def _with_entries(ordered: DataFrame, cells: DataFrame, target: int) -> DataFram
     group = Window.partitionBy(*GROUP)
     before = group.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     spanning = cells.withColumn("_n", F.count("*").over(group)).where("_n > 1")
-    # All but the last growable object can be followed by one that is not
-    # empty.  They take in no more than this many bytes, so only chunks that
-    # start before it need their prefix sums in full.
-    not_last = F.slice("_open", F.lit(1), F.greatest(F.size("_open") - 1, F.lit(0)))
-    room = F.aggregate(
-        not_last, F.lit(0).cast("bigint"), lambda s, o: s + F.lit(target) - o["size"] + F.col("_all_largest")
-    )
-    spanning = (
-        spanning.withColumn("_all_largest", F.max("_largest").over(group))
-        .withColumn("_full", F.coalesce(F.sum("_bytes").over(before), F.lit(0)) < room)
-        .select(*CELL, "_full", "_open", "_acc", "_parts")
-    )
+    # Growable objects but the last take in no more than their room and one file
+    # each beyond it, so only chunks that start before that need all prefix sums.
+    reach = F.col("_room") + F.col("_before_last") * F.max("_largest").over(group)
+    spanning = spanning.withColumn("_full", F.coalesce(F.sum("_bytes").over(before), F.lit(0)) < reach)
+    spanning = spanning.select(*CELL, "_full", "_open", "_next", "_acc", "_parts")
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("location")
@@ -147,28 +146,27 @@ def _with_entries(ordered: DataFrame, cells: DataFrame, target: int) -> DataFram
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_chunk")
-        growable = [(o["size"], o["n_parts"]) for o in pdf["_open"].iloc[0]]
-        state = (0, int(pdf["_acc"].iloc[0]), int(pdf["_parts"].iloc[0]))
-        entries = []
+        objects = [o for listed in pdf["_open"] for o in listed]
+        growable = [(int(o["size"]), int(o["n_parts"])) for o in objects]
+        state, entries = (0, int(pdf["_acc"].iloc[0]), int(pdf["_parts"].iloc[0])), []
         for row in pdf.to_dict("records"):
-            entries.append(state)
+            entered, acc, parts = state
             state = _leave_chunk(row, state, growable, target)
-        out = pdf[CELL].copy()
-        out[["_ek", "_eacc", "_eparts"]] = np.array(entries, dtype="int64").reshape(-1, 3)
+            # A chunk gets the objects it may add to, and counts new ones from there.
+            number = int(row["_next"]) + max(entered - len(growable), 0)
+            entries.append((objects[entered : state[0] + 1], number, acc, parts))
+        out = pdf[CELL].reset_index(drop=True)
+        for i, column in enumerate(_ENTRY):
+            out[column] = [e[i] for e in entries]
         return out
 
     entries = (
         exits.join(spanning.drop("_full"), CELL)
         .groupBy(*GROUP)
-        .applyInPandas(walk, f"{_GROUP_TYPES}, _chunk int, _ek bigint, _eacc bigint, _eparts bigint")
+        .applyInPandas(walk, f"{_GROUP_TYPES}, _chunk int, _e_open {_OPEN}, _e_next bigint, _e_acc bigint, _e_parts bigint")
     )
-    return cells.join(entries, CELL, "left").withColumns(
-        {
-            "_k": F.coalesce("_ek", "_k"),
-            "_acc": F.coalesce("_eacc", "_acc"),
-            "_parts": F.coalesce("_eparts", "_parts"),
-        }
-    ).drop("_ek", "_eacc", "_eparts")
+    joined = cells.join(entries, CELL, "left")
+    return joined.withColumns({c.replace("_e", "", 1): F.coalesce(c, c.replace("_e", "", 1)) for c in _ENTRY})
 
 
 def _chunk_exits(sizes: np.ndarray, target: int, full: bool):
@@ -219,7 +217,7 @@ def _assign_chunk(files: pd.DataFrame, cells: pd.DataFrame, target: int) -> pd.D
         cell = states[key]
         growable = [(o["ordinal"], o["size"], o["n_parts"]) for o in cell["_open"]]
         base = np.concatenate(([0], np.cumsum(files["size"].to_numpy()[rows], dtype="int64")))
-        k, acc, parts, at = int(cell["_k"]), int(cell["_acc"]), int(cell["_parts"]), 0
+        k, acc, parts, at = 0, int(cell["_acc"]), int(cell["_parts"]), 0
         while at < len(rows):
             end = min(int(np.searchsorted(base[1:], base[at] + target - acc)) + 1, len(rows))
             number = growable[k][0] if k < len(growable) else int(cell["_next"]) + k - len(growable)

@@ -75,16 +75,20 @@ def diff_flows(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("action", action)
 
 
-def route_events(events: DataFrame, flows: DataFrame, spread_by: tuple[str, ...] = ("uuid",)) -> DataFrame:
+def route_events(
+    events: DataFrame, flows: DataFrame, spread_by: tuple[str, ...] = ("uuid",), stored: bool = False
+) -> DataFrame:
     """Copy every event to each flow of its type; types without a flow vanish.
 
     Only the flow's key and retry setting travel with the copies, not its
-    destinations."""
-    return _copy_to_flows(events, _targets(flows), spread_by)
+    destinations.  ``stored`` says that ``flows`` is read from files and need
+    not be stored before it is measured and joined."""
+    return _copy_to_flows(events, _targets(flows, stored), spread_by)
 
 
-def _targets(flows: DataFrame) -> DataFrame:
-    return small_table(flows.select(F.col("event_type").alias("type"), "flow_id", "qos_enabled"), "targets")
+def _targets(flows: DataFrame, stored: bool = False) -> DataFrame:
+    targets = flows.select(F.col("event_type").alias("type"), "flow_id", "qos_enabled")
+    return targets if stored else small_table(targets, "targets")
 
 
 def _copy_to_flows(events: DataFrame, targets: DataFrame, spread_by: tuple[str, ...]) -> DataFrame:

@@ -56,6 +56,19 @@ def ingest(
             sinks[name](wanted)
 
 
+def post(events: DataFrame, sinks: dict[str, Sink]) -> None:
+    """Give an application's own events to every sink, past the accept list.
+    A failing sink does not keep the others from theirs; all errors are raised at the end."""
+    errors = []
+    for sink in sinks.values():
+        try:
+            sink(events)
+        except Exception as error:
+            errors.append(error)
+    if errors:
+        raise ExceptionGroup("posting failed", errors)
+
+
 def spool_sink(root: str, batch_id: int | None = None, max_records: int = 0, codec: str = "snappy") -> Sink:
     return lambda events: write_spool(events, root, max_records, codec, batch_id)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventweir.functions.transfer import concatenate
-from eventweir.session import written_table
+from eventweir.session import settings, written_table
 
 MAX_TASKS = 10_000
 TASK_BYTES = 512 * 1024 * 1024
@@ -44,7 +44,9 @@ def compact(worklist: DataFrame, stop_on_error: bool = False, name: str = "compa
     tasks = max(1, least, min(MAX_TASKS, -(-int(cost or 0) // TASK_BYTES)))
     spread = work.repartitionByRange(tasks, "rank", F.xxhash64("location"))
     result = spread.mapInPandas(rewrite, "location string, size bigint, status string, message string")
-    return written_table(result, f"{name}-result")
+    # A row names all parts of an object, so a task takes few rows at a time.
+    with settings(work.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="64"):
+        return written_table(result, f"{name}-result")
 
 
 def _rewrite_one(row, stop_on_error: bool) -> tuple:

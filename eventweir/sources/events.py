@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventweir.functions.envelope import one_json_value
 from eventweir.schema import ENVELOPE_TEXT
 
 
@@ -24,12 +25,19 @@ def read_event_batches(spark: SparkSession, path: str) -> DataFrame:
 
 def explode_batches(df: DataFrame, body: str = "body") -> DataFrame:
     """Events from a column of JSON arrays, with their ``seq`` in the batch.
-    The other columns stay; a batch without events has no rows."""
+    The other columns stay; a batch without events has no rows.  Turn away what
+    ``unreadable_batches`` finds first."""
     events = F.from_json(body, f"array<struct<{', '.join(_ddl_fields())}>>")
     others = [c for c in df.columns if c != body]
     return with_instant(df.select(*others, F.posexplode(events).alias("seq", "e")).select(*others, "seq", "e.*"))
 
 
+def unreadable_batches(df: DataFrame, body: str = "body") -> DataFrame:
+    """Batches ``explode_batches`` cannot read: their body is not a JSON array."""
+    is_array = F.json_array_length(body).isNotNull() & one_json_value(F.col(body))
+    return df.where(~F.coalesce(is_array, F.lit(False)))
+
+
 def _ddl_fields() -> list[str]:
     return [field.strip().replace(" ", ": ", 1) for field in ENVELOPE_TEXT.split(",")]
 

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from eventweir.operators.batches import MAX_BATCH
 from eventweir.operators.delivery import CAPACITY, play_tick
+from eventweir.operators.routing import route_events
 from eventweir.plans.flow_table import FlowTable
 from eventweir.plans.ingest import ingest, spool_sink
 
@@ -49,15 +50,13 @@ def run_ingest(
     return writer.trigger(**(trigger or {"processingTime": MAX_BUFFER_TIME})).start()
 
 
-def routed_table_tap(
-    table: FlowTable, out: str, now: Callable[[int], int], route: Callable[[DataFrame, DataFrame], DataFrame]
-) -> Callable[[DataFrame, int], None]:
+def routed_table_tap(table: FlowTable, out: str, now: Callable[[], int]) -> Callable[[DataFrame, int], None]:
     """A tap that refreshes the routing table for every micro-batch and stores
     the routed events as ``out/batch=N``."""
 
     def tap(events: DataFrame, batch_id: int) -> None:
-        flows = table.refresh(now(batch_id))
-        route(events, flows).write.mode("overwrite").parquet(f"{out}/batch={batch_id:09d}")
+        flows = table.refresh(now())
+        route_events(events, flows, stored=True).write.mode("overwrite").parquet(f"{out}/batch={batch_id:09d}")
 
     return tap
 

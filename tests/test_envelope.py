@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from eventweir.functions import envelope as env
 from eventweir.operators import ingest as ops
-from eventweir.sources.events import explode_batches, read_event_batches, read_event_log, to_envelope
+from eventweir.sources.events import explode_batches, read_event_batches, read_event_log, to_envelope, unreadable_batches
 
 EVENT = "type string, uuid string, host string, timestamp timestamp, data string"
 NOON = dt.datetime(2011, 3, 30, 16, 10, 16)
@@ -119,6 +119,12 @@ def test_batches_are_json_arrays(spark, table, tmp_path):
     assert rows(read_event_batches(spark, str(tmp_path)), "uuid") == [("1",), ("2",)]
 
 
+def test_bodies_that_are_no_arrays(table):
+    bodies = ["[]", '[{"type":"a"}]', "{}", "[1", '[{"type":"a"}] x', "", None]
+    df = table([(b,) for b in bodies], "body string")
+    assert rows(unreadable_batches(df)) == sorted([(b,) for b in bodies[2:]], key=repr)
+
+
 def test_lines_survive_writing_and_reading(spark, table, folder):
     path = folder("log")
     data = '{"n":1.50,"z":1,"a":"quote \\" and ü"}'

@@ -2,13 +2,13 @@ import datetime as dt
 import json
 import os
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from eventweir.operators.routing import route_events
 from eventweir.plans.combine import CombineConfig, run_combine
 from eventweir.plans.flow_table import FlowTable
-from eventweir.plans.ingest import hourly_counts, hourly_partition_counts
+from eventweir.plans.ingest import hourly_counts, hourly_partition_counts, post
 from eventweir.sinks.spool import read_spool_lines
 from eventweir.sources.events import read_event_log, stream_events
 from eventweir.streaming.pipelines import routed_table_tap, run_ingest, stream_backlog
@@ -70,7 +70,7 @@ def test_each_micro_batch_sees_the_current_flows(spark, table, folder):
     path, out = folder("stream"), folder("routed")
     announced = [({"eventType": "a", "flowId": "1", "https": "https://x"},)]
     flows = FlowTable(spark, folder("flows"), lambda: table(announced, PROPS), table([("b@1", "http://s", None)], STATIC), 0)
-    tap = routed_table_tap(flows, out, lambda n: 100 + n, lambda e, f: route_events(e, f).select("uuid", "flow_id"))
+    tap = routed_table_tap(flows, out, lambda: 100)
     arrive(f"{path}/in", "1", ("a", "1", 0), ("b", "2", 0))
     ingest(spark, path, [], folder("spool"), tap)
     announced.append(({"eventType": "a", "flowId": "2", "https": "https://y"},))
@@ -115,3 +115,14 @@ def test_late_events_are_combined_by_the_next_pass(spark, folder):
     lines = spark.read.option("recursiveFileLookup", True).text(config.target_root)
     hour = F.regexp_extract(F.col("_metadata.file_path"), r"/(\d\d)\.small", 1)
     assert rows(lines.select(hour.alias("hour"), F.get_json_object("value", "$.uuid").alias("uuid"))) == [("00", "1"), ("00", "3"), ("01", "2")]
+
+
+def test_a_failing_sink_does_not_stop_the_others(table):
+    seen = []
+
+    def fail(_):
+        raise OSError("full")
+
+    with pytest.raises(ExceptionGroup) as raised:
+        post(table([("a",)], "type string"), {"spool": fail, "tap": lambda df: seen.extend(rows(df))})
+    assert seen == [("a",)] and len(raised.value.exceptions) == 1
