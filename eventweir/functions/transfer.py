@@ -14,12 +14,23 @@ BLOCK = 4 * 1024 * 1024
 
 
 def open_location(location: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a location (local, ``file:``, ``hdfs:``, ``s3:``, ``gs:``)."""
-    if location.startswith("s3a://"):
-        location = "s3://" + location[len("s3a://") :]
-    if location.startswith("file:") and not location.startswith("file://"):
-        location = "file://" + location[len("file:") :]
-    return fs.FileSystem.from_uri(location if "://" in location else "file://" + location)
+    """File system and path of a location (plain path, ``file:``, ``hdfs:``,
+    ``s3:``, ``s3a:``, ``gs:``).  The path is taken as it is: a percent sign
+    belongs to the name."""
+    scheme, separator, rest = location.partition("://")
+    if not separator or scheme == "file":
+        return fs.LocalFileSystem(), rest if separator else location.removeprefix("file:")
+    authority, _, path = rest.partition("/")
+    system, base = fs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}://{authority}/")
+    return system, f"{base.rstrip('/')}/{path}"
+
+
+def replace_file(system: fs.FileSystem, source: str, target: str) -> None:
+    """Move a file over one that may be there.  HDFS does not move onto an
+    existing file; should the job die in between, the target counts as missing."""
+    if system.type_name == "hdfs" and system.get_file_info(target).type == fs.FileType.File:
+        system.delete_file(target)
+    system.move(source, target)
 
 
 def subfolders(root: str) -> list[str]:
@@ -89,7 +100,7 @@ def concatenate(sources: list[str], target: str) -> int:
                     while block := data.read(BLOCK):
                         out.write(block)
                         size += len(block)
-        system.move(partial, path)
+        replace_file(system, partial, path)
     except BaseException:
         if system.get_file_info(partial).type != fs.FileType.NotFound:
             system.delete_file(partial)

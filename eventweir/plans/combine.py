@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,7 +113,8 @@ def run_combine(
     log = compact(work.withColumn("rank", rank), config.stop_on_error)
     if announce is not None:
         names = [t for t in event_types(config.staging_root) if types is None or t in types]
-        kinds = spark.createDataFrame([(n,) for n in names], "event_type string")
+        # Folder names escape special characters as %XX.
+        kinds = spark.createDataFrame([(unquote(n),) for n in names], "event_type string")
         announce(ops.combine_completed(kinds, config.group_id, F.lit(as_of)))
     return CombinePass(placed, log, bad)
 

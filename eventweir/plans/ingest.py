@@ -76,7 +76,11 @@ def spool_sink(root: str, batch_id: int | None = None, max_records: int = 0, cod
 def delivery_batches(events: DataFrame, flows: DataFrame, seq: str, max_batch: int = MAX_BATCH) -> DataFrame:
     """Batches as ``deliver`` wants them, for types that have a flow: events in
     order, as JSON lines.  All flows of a type share its batches."""
-    lines = events.select("type", seq, event_line().alias("line"))
+    return line_batches(events.select("type", seq, event_line().alias("line")), flows, seq, max_batch)
+
+
+def line_batches(lines: DataFrame, flows: DataFrame, seq: str, max_batch: int = MAX_BATCH) -> DataFrame:
+    """The same for events that are lines already (``type, line``)."""
     targets = small_table(flows.select(F.col("event_type").alias("type")).distinct(), "types")
     batches = batch_by_type(lines, targets, seq, max_batch)
     return batches.select(F.col("type").alias("event_type"), "batch_id", "pos", "line")

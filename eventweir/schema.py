@@ -46,3 +46,6 @@ ATTEMPT = (
     "event_type string, flow_id string, batch_id bigint, attempt_no int, uri string, "
     "status_code int, n_events bigint, first_batch boolean, dropped_messages bigint"
 )
+
+# What delivery has to remember about a flow between runs.
+TAP_STATE = "event_type string, flow_id string, established array<string>, dropped bigint"

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,14 +64,13 @@ def with_location_parts(listing: DataFrame) -> DataFrame:
 
 def with_bucket(listing: DataFrame) -> DataFrame:
     """Read ``event_type``, ``date`` and ``hour`` off locations: ``column=value``
-    folders anywhere, else plain ``type/date/hour/name`` at the end."""
+    folders anywhere, else plain ``type/date/hour/name`` at the end.  Values are
+    folder names as they are, so that they can name folders again."""
     plain = F.split("location", "/")
 
     def segment(column: str, from_end: int) -> Column:
         named = F.regexp_extract("location", f"/{column}=([^/]*)/", 1)
-        # Spark escapes special characters of folder names as %XX.
-        unescaped = F.coalesce(F.try_url_decode(F.replace(named, F.lit("+"), F.lit("%2B"))), named)
-        return F.when(named != "", unescaped).otherwise(F.try_element_at(plain, F.lit(-from_end)))
+        return F.when(named != "", named).otherwise(F.try_element_at(plain, F.lit(-from_end)))
 
     return listing.withColumns({"event_type": segment("event_type", 4), "date": segment("date", 3), "hour": segment("hour", 2)})
 
@@ -83,6 +81,5 @@ def list_partitions(listing: DataFrame, level: str = "hour") -> DataFrame:
 
 
 def event_types(root: str) -> list[str]:
-    """Names of the folders directly below a staging root."""
-    names = [name.removeprefix("event_type=") for name in subfolders(root) if not name.startswith(("_", "."))]
-    return sorted(unquote(name) for name in names)
+    """Types below a staging root, as their folders are named."""
+    return [name.removeprefix("event_type=") for name in subfolders(root) if not name.startswith(("_", "."))]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,11 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from eventweir.operators.batches import MAX_BATCH
-from eventweir.operators.delivery import CAPACITY, play_tick
+from eventweir.functions.envelope import event_line
+from eventweir.functions.transfer import is_committed, subfolders
+from eventweir.operators.batches import MAX_BATCH, batch_numbers
+from eventweir.operators.delivery import CAPACITY, delivery_outcome, play_tick
+from eventweir.operators.joins import join_small, small_table
 from eventweir.operators.routing import route_events
+from eventweir.operators.running import Running, running_before
 from eventweir.plans.flow_table import FlowTable
-from eventweir.plans.ingest import ingest, spool_sink
+from eventweir.plans.ingest import ingest, line_batches, spool_sink
+from eventweir.schema import FLOW, TAP_STATE
+from eventweir.session import written_table
+from eventweir.sinks.deliver import RETRY_COUNT, RETRY_DELAY, Transport, deliver, next_tap_state
 
 MAX_BUFFER_TIME = "1 minute"
 
@@ -61,6 +69,100 @@ def routed_table_tap(table: FlowTable, out: str, now: Callable[[], int]) -> Call
     return tap
 
 
+WAITING = "event_type string, flow_id string, qos_enabled boolean, seq bigint, line string"
+
+
+def delivery_tap(
+    table: FlowTable,
+    transport: Transport,
+    root: str,
+    now: Callable[[], int],
+    max_batch: int = MAX_BATCH,
+    capacity: int = CAPACITY,
+    retry_count: int = RETRY_COUNT,
+    retry_delay: float = RETRY_DELAY,
+) -> Callable[[DataFrame, int], None]:
+    """A tap that delivers every micro-batch to the flows of the moment.
+
+    Each micro-batch first sends what earlier ones could not deliver, then its
+    own events; what is lost waits for the next one, up to ``capacity`` events
+    per flow.  A flow that is gone or changed its retry setting loses what
+    waits for it.  Below ``root``, by micro-batch: ``attempts``, ``waiting`` and
+    ``state`` (taps that answered, events dropped since the last success).  A
+    repeated micro-batch starts from the state before it.
+    """
+
+    def tap(events: DataFrame, batch_id: int) -> None:
+        spark = events.sparkSession
+        flows = table.refresh(now())
+        before = _last_before(f"{root}/state", batch_id)
+
+        def stored(kind: str, schema: str) -> DataFrame | None:
+            return None if before is None else spark.read.schema(schema).parquet(_batch_path(root, kind, before))
+
+        def send(batches: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+            attempts = deliver(batches, flows, transport, state, retry_count, retry_delay)
+            return attempts, small_table(next_tap_state(attempts, flows, state), "tap-state")
+
+        state = stored("state", TAP_STATE)
+        waiting, old_attempts = stored("waiting", WAITING), None
+        if waiting is not None:
+            waiting = join_small(waiting, flows.select(*FLOW, "qos_enabled"), [*FLOW, "qos_enabled"], ["seq"], "left_semi")
+            waiting = written_table(batch_numbers(waiting, FLOW, "seq", max_batch), "waiting")
+            old_attempts, state = send(waiting, state)
+
+        # Ids of rows differ from run to run, so they are stored with the lines.
+        lines = events.select("type", F.monotonically_increasing_id().alias("seq"), event_line().alias("line"))
+        fresh = written_table(line_batches(written_table(lines, "lines"), flows, "seq", max_batch), "fresh")
+        attempts, state = send(fresh, state)
+
+        lost = [_lost_lines(fresh, attempts, flows, max_batch, ["event_type"]).withColumn("again", F.lit(1))]
+        log = [attempts.withColumn("again", F.lit(False))]
+        if waiting is not None:
+            lost.append(_lost_lines(waiting, old_attempts, flows, max_batch, FLOW).withColumn("again", F.lit(0)))
+            log.append(old_attempts.withColumn("again", F.lit(True)))
+        # What was sent again goes to the tail before what came later.
+        queue = reduce(DataFrame.unionByName, lost)
+        counts = queue.where("again = 0").groupBy(*FLOW).agg(F.count("*").alias("_earlier"))
+        queue = _renumber(queue, small_table(counts, "earlier")).where(F.col("seq") < capacity)
+        _store(queue.select(*[c.split()[0] for c in WAITING.split(", ")]), root, "waiting", batch_id)
+        _store(reduce(DataFrame.unionByName, log), root, "attempts", batch_id)
+        _store(state, root, "state", batch_id)
+
+    return tap
+
+
+def _batch_path(root: str, kind: str, batch_id: int) -> str:
+    return f"{root}/{kind}/batch={batch_id:09d}"
+
+
+def _store(df: DataFrame, root: str, kind: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(_batch_path(root, kind, batch_id))
+
+
+def _last_before(root: str, batch_id: int) -> int | None:
+    """Latest finished micro-batch before this one."""
+    names = [name for name in subfolders(root) if name.startswith("batch=")]
+    done = [int(n.removeprefix("batch=")) for n in names if is_committed(f"{root}/{n}")]
+    return max((n for n in done if n < batch_id), default=None)
+
+
+def _lost_lines(batches: DataFrame, attempts: DataFrame, flows: DataFrame, max_batch: int, keys: list[str]) -> DataFrame:
+    """Events of lost batches, per flow, in their order."""
+    lost = delivery_outcome(attempts, FLOW).where("status = 'lost'").select(*FLOW, "batch_id")
+    lost = small_table(lost.join(flows.select(*FLOW, "qos_enabled"), FLOW), "lost")
+    found = join_small(batches.select(*keys, "batch_id", "pos", "line"), lost, [*keys, "batch_id"], ["pos"])
+    seq = (F.col("batch_id") * max_batch + F.col("pos")).alias("_seq")
+    return found.select(*FLOW, "qos_enabled", seq, "line")
+
+
+def _renumber(queue: DataFrame, counts: DataFrame) -> DataFrame:
+    """Number each flow's queue without gaps: what is sent again, then the rest."""
+    placed = running_before(queue, [*FLOW, "again"], "_seq", {"_at": Running(F.lit(1).cast("bigint"))})
+    placed = join_small(placed, counts, FLOW, ["_seq"], "left")
+    return placed.withColumn("seq", F.col("_at") + F.when(F.col("again") == 1, F.coalesce("_earlier", F.lit(0))).otherwise(0))
+
+
 def partial_counts(events: DataFrame, flow: str = "flow_id") -> DataFrame:
     """Arrivals per flow, counted within each task before anything is shuffled."""
 

@@ -317,6 +317,17 @@ def test_types_can_be_combined_one_by_one(spark, table, config):
     assert len(combined(spark, config)) == 2
 
 
+def test_any_type_can_name_a_folder(spark, table, config):
+    kind = "x y%/z:1"
+    write_spool(events(table, 1, 2, kind=kind), config.staging_root)
+    announced = []
+    run_combine(spark, config, AT, announce=announced.append)
+    again = run_combine(spark, config, AT)
+    assert (again.placed.count(), again.log.count()) == (0, 0)
+    assert [sorted(v) for v in combined(spark, config).values()] == [[f"{kind}-1", f"{kind}-2"]]
+    assert rows(announced[0].select(F.get_json_object("data", "$.eventType").alias("t"))) == [(kind,)]
+
+
 def test_another_writer_waits(spark, table, config):
     write_spool(events(table, 1), config.staging_root)
     run_combine(spark, config, AT)

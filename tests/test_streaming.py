@@ -11,7 +11,7 @@ from eventweir.plans.flow_table import FlowTable
 from eventweir.plans.ingest import hourly_counts, hourly_partition_counts, post
 from eventweir.sinks.spool import read_spool_lines
 from eventweir.sources.events import read_event_log, stream_events
-from eventweir.streaming.pipelines import routed_table_tap, run_ingest, stream_backlog
+from eventweir.streaming.pipelines import delivery_tap, routed_table_tap, run_ingest, stream_backlog
 
 PROPS = "properties map<string,string>"
 STATIC = "flow_key string, uris string, qos_delivery string"
@@ -79,6 +79,47 @@ def test_each_micro_batch_sees_the_current_flows(spark, table, folder):
     assert rows(spark.read.parquet(out), "uuid", "flow_id") == [("1", "1"), ("2", "1"), ("3", "1"), ("3", "2")]
 
 
+def test_lost_batches_are_sent_again(spark, table, folder):
+    path, root, up = folder("stream"), folder("delivery"), folder("up")
+    announced = [({"eventType": "a", "flowId": f, "https": f"https://{f}"},) for f in "xy"]
+    flows = FlowTable(spark, folder("flows"), lambda: table(announced, PROPS), table([("b@z", "http://z", None)], STATIC), 0)
+
+    def transport(uri, headers, lines):
+        if uri == "https://x" and not os.path.exists(up):
+            return 503
+        return 202 if lines else 400
+
+    tap = delivery_tap(flows, transport, root, lambda: 100, max_batch=2, capacity=4, retry_delay=0)
+
+    def log(n):
+        found = spark.read.parquet(f"{root}/attempts/batch={n:09d}")
+        return rows(found.where("flow_id = 'x'"), "again", "batch_id", "status_code", "n_events", "first_batch", "dropped_messages")
+
+    def waiting(n):
+        found = spark.read.parquet(f"{root}/waiting/batch={n:09d}")
+        return [(r[0], r[1], json.loads(r[2])["uuid"]) for r in rows(found, "flow_id", "seq", "line")]
+
+    arrive(f"{path}/in", "1", ("a", "1", 0), ("a", "2", 0), ("a", "3", 0), ("b", "9", 0))
+    ingest(spark, path, [], folder("spool"), tap)
+    assert log(0) == [(False, 0, 503, 2, True, 0), (False, 1, 503, 1, True, 0)]
+    assert waiting(0) == [("x", 0, "1"), ("x", 1, "2"), ("x", 2, "3")]
+
+    arrive(f"{path}/in", "2", ("a", "4", 0), ("a", "5", 0))
+    ingest(spark, path, [], folder("spool"), tap)
+    assert log(1)[0] == (False, 0, 503, 2, True, 6)
+    assert waiting(1) == [("x", 0, "1"), ("x", 1, "2"), ("x", 2, "3"), ("x", 3, "4")]
+
+    open(up, "w").close()
+    arrive(f"{path}/in", "3", ("a", "6", 0))
+    ingest(spark, path, [], folder("spool"), tap)
+    assert log(2) == [(False, 0, 202, 1, False, 0), (True, 0, 202, 2, True, 8), (True, 1, 202, 2, True, 0)]
+    assert waiting(2) == []
+    state = spark.read.parquet(f"{root}/state/batch=000000002")
+    assert rows(state, "flow_id", "established", "dropped") == [("x", ["https://x"], 0), ("y", ["https://y"], 0), ("z", ["http://z"], 0)]
+    taken = spark.read.parquet(f"{root}/attempts").where("flow_id = 'y'")
+    assert rows(taken.groupBy("status_code").agg(F.sum("n_events").alias("n"))) == [(202, 6)]
+
+
 def test_backlog_goes_from_batch_to_batch(spark, folder):
     path, out = folder("stream"), folder("backlog")
     for n, count in enumerate([5, 9, 1]):
