@@ -109,6 +109,8 @@ def upload_stats(file_log: DataFrame) -> DataFrame:
     ``processed_time``: attempts and their time per type, whatever came out;
     corrupt files never get as far as an attempt.
     """
+    # Counted per type and outcome first; only those few rows become entries.
+    counted = file_log.groupBy("event_type", "outcome").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("ms"))
     outcome, event_type = F.col("outcome"), F.col("event_type")
 
     def entry(metric: str, key: Column, status: Column, ms: Column = F.lit(None)) -> Column:
@@ -116,6 +118,7 @@ def upload_stats(file_log: DataFrame) -> DataFrame:
             F.lit(metric).alias("metric"),
             key.alias("event_type"),
             status.cast("string").alias("status"),
+            F.col("n").alias("n"),
             ms.cast("bigint").alias("ms"),
         )
 
@@ -126,14 +129,14 @@ def upload_stats(file_log: DataFrame) -> DataFrame:
             F.array(
                 F.when(outcome == "success", entry("processed_files", event_type, F.lit("uploaded"))),
                 entry("upload_attempts", event_type, outcome),
-                entry("processed_time", event_type, F.lit(None), F.col("duration_ms")),
+                entry("processed_time", event_type, F.lit(None), F.col("ms")),
             )
         )
     )
     return (
-        file_log.select(F.explode(entries).alias("e"))
+        counted.select(F.explode(entries).alias("e"))
         .groupBy("e.metric", "e.event_type", "e.status")
-        .agg(F.count("*").alias("n"), F.sum("e.ms").alias("total_ms"))
+        .agg(F.sum("e.n").alias("n"), F.sum("e.ms").alias("total_ms"))
     )
 
 

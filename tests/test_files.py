@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from eventweir.functions import transfer
 from eventweir.operators import files as ops
-from eventweir.session import shared_root, written_table
+from eventweir.session import settings, shared_root, written_table
 from eventweir.sinks.spool import read_spool_lines, write_spool
 from eventweir.sources.events import read_event_log
 from eventweir.sources.listing import event_types, list_objects, list_partitions, with_bucket
@@ -61,6 +61,22 @@ def test_a_repeated_batch_replaces_its_files(spark, table, folder):
     assert read_spool_lines(spark, root).count() == 10
 
 
+def test_a_hot_bucket_is_written_by_several_tasks(spark, folder):
+    root = folder("spool")
+    df = spark.range(60_000).select(
+        F.lit("hot").alias("type"),
+        F.sha2(F.col("id").cast("string"), 256).alias("uuid"),
+        F.lit("h").alias("host"),
+        F.lit(dt.datetime(2024, 1, 1)).alias("timestamp"),
+        F.lit("{}").alias("data"),
+    )
+    with settings(spark, spark__sql__adaptive__advisoryPartitionSizeInBytes="512k"):
+        write_spool(df, root)
+    found = [f for _, _, fs in os.walk(root) for f in fs if f.endswith(".snappy")]
+    assert len(found) > 3
+    assert read_spool_lines(spark, root).count() == 60_000
+
+
 def test_corrupt_files(spark, folder):
     root = folder("staging")
     packed = gzip.compress(GOOD * 2000)
