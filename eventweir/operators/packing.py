@@ -55,8 +55,10 @@ def pack_first_fit(
     ordered = written_table(ordered, "pack")
 
     cells = ordered.groupBy(*CELL).agg(F.sum("size").alias("_bytes"), F.max("size").alias("_largest"))
-    cells = _with_manifest_state(cells, open_objects, next_ordinals, target)
-    if ordered.agg(F.max("_chunk") > F.min("_chunk")).first()[0]:
+    # A row per group and chunk; stored, since what they take from the manifest
+    # costs joins over all its parts.
+    cells = written_table(_with_manifest_state(cells, open_objects, next_ordinals, target), "cells")
+    if cells.agg(F.max("_chunk") > F.min("_chunk")).first()[0]:
         cells = _with_entries(ordered, cells, target)
 
     def assign(files: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
