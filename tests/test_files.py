@@ -7,6 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from eventweir.functions import transfer
+from eventweir.functions.inspection import inspect_file
 from eventweir.operators import files as ops
 from eventweir.session import settings, shared_root, written_table
 from eventweir.sinks.spool import read_spool_lines, write_spool
@@ -109,6 +110,15 @@ def test_corrupt_files(spark, folder):
     }
 
 
+def test_zstd_files_are_read_through(folder):
+    zstandard = pytest.importorskip("zstandard")
+    root = folder("staging")
+    packed = zstandard.ZstdCompressor().compress(GOOD * 50)
+    assert inspect_file(put(root, "good.json.zst", packed + packed)) == (True, 200, GOOD.split(b"\n")[0].decode())
+    assert inspect_file(put(root, "cut.json.zst", packed[:-5]))[0] is False
+    assert inspect_file(put(root, "not.json.zst", b"nonsense"))[0] is False
+
+
 def test_quarantine_moves_only_corrupt_files(spark, folder):
     root = folder("root")
     for place in "ab":
