@@ -49,16 +49,16 @@ def settings(spark: SparkSession, **values: str):
 def shared_root(spark: SparkSession) -> str:
     """Folder that driver and executors share, named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder; on a
-    cluster a machine-local folder would lose data with its machine, so the
-    setting is required there.
+    A machine-local folder would lose data with its machine, so on a cluster
+    the setting is required.  Only a local session without it, as in tests, gets
+    a folder of its own, kept under ``eventweir.shared.dir``.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("eventweir.shared.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         root = tempfile.mkdtemp(prefix="eventweir-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.conf.set("eventweir.shared.dir", root)
     return root.rstrip("/")
 
 
@@ -78,3 +78,11 @@ def written_table(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_tables(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared one with all that was written to it."""
+    if not path.startswith(shared_root(spark) + "/"):
+        raise ValueError(f"not below the shared folder: {path}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
