@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventweir.llm import bpe, line_dedup, warc
+from eventweir.llm import bpe, decontaminate, line_dedup, secret_scan, token_counts, warc
 from eventweir.llm.text import session
 from eventweir.session import scratch_path
 
@@ -37,6 +37,7 @@ def sha256_of(text):
 
 
 BLANK_CLASS = r"[\x20\x09-\x0D]"
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -86,3 +87,64 @@ def op7(spark, table):
     path = scratch_path(spark, "archives")
     warc.write_archives(warc.resolve_revisits(pages, min_bytes=0), path)
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query(
+    "op3_decontaminate",
+    rf"""
+    WITH docs AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
+    items AS (
+        SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w
+        FROM benchmark),
+    windows AS (
+        SELECT item, least(len(w), 10) AS n, unnest(list_transform(generate_series(1, greatest(len(w) - 9, 1)), lambda i: w[i : i + 9])) AS win
+        FROM items WHERE len(w) > 0),
+    sizes AS (SELECT DISTINCT n FROM windows),
+    places AS (
+        SELECT doc_id, n, unnest(generate_series(1, len(w) - n + 1)) AS start,
+               unnest(list_transform(generate_series(1, len(w) - n + 1), lambda i: w[i : i + n - 1])) AS win
+        FROM docs JOIN sizes ON len(w) >= n),
+    found AS (
+        SELECT doc_id, start, p.n, item FROM places p JOIN windows v ON p.n = v.n AND p.win = v.win),
+    hit AS (
+        SELECT doc_id, count(DISTINCT pos) AS n_hit
+        FROM (SELECT doc_id, unnest(generate_series(start, start + n - 1)) AS pos FROM found) GROUP BY doc_id),
+    named AS (
+        SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found GROUP BY doc_id)
+    SELECT docs.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM docs LEFT JOIN hit ON docs.doc_id = hit.doc_id LEFT JOIN named ON docs.doc_id = named.doc_id""",
+)
+def op3(spark, table):
+    """Documents with words of benchmark items, by windows of ten words."""
+    found = decontaminate.contamination(table("documents").select("doc_id", "text"), table("benchmark"), size=10)
+    items = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", items.alias("items_sha256"), "contaminated")
+
+
+@query("op9_token_counts")
+def op9(spark, table):
+    """Tokens of every line of every document, from one encoding of the whole text."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.count_sections(table("documents").select("doc_id", "text"), path, rule="most")
+
+
+@query("op10_secret_scan")
+def op10(spark, table):
+    """Secrets of every document, from one pass over its bytes."""
+    found = secret_scan.scan(table("documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"].isin([rule.kind for rule in secret_scan.BASE]))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[count(rule.kind) for rule in secret_scan.BASE],
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
