@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventweir.llm import bpe, decontaminate, line_dedup, secret_scan, token_counts, warc
+from eventweir.llm import bpe, decontaminate, line_dedup, secret_scan, spot_signatures, token_counts, warc
 from eventweir.llm.text import session
 from eventweir.session import scratch_path
 
@@ -148,3 +148,18 @@ def op10(spark, table):
         F.sha2(listed(base), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
     )
+
+
+@query("op4_spot_signatures")
+def op4(spark, table):
+    """Fingerprints of all documents and of their edited texts, and how alike they are."""
+    found = spot_signatures.fingerprints(table("documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        sha256_of(F.col("edited")).alias("edited_sha256"),
+        spot_signatures.as_text(F.col("found")).alias("fingerprint"),
+        spot_signatures.as_text(F.col("edited_found")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
