@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventweir.llm import bpe, decontaminate, line_dedup, secret_scan, spot_signatures, token_counts, warc
+from eventweir.llm import bpe, decontaminate, line_dedup, quotations, secret_scan, spot_signatures, token_counts, toxicity, warc
 from eventweir.llm.text import session
 from eventweir.session import scratch_path
 
@@ -163,3 +163,22 @@ def op4(spark, table):
         "near_edited",
         "near_next",
     )
+
+
+@query("op5_quotations")
+def op5(spark, table):
+    """All conversations in reply order, without quotes."""
+    return quotations.conversations(table("conversations"))
+
+
+@query("op8_toxicity")
+def op8(spark, table):
+    """The probability of being toxic, learnt from the labels that are not held out."""
+    docs = table("documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.train(docs, table("labels")))
+    return scored.select(
+        "doc_id",
+        toxicity.is_held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
