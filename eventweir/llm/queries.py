@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventweir.llm import bpe, decontaminate, line_dedup, quotations, secret_scan, spot_signatures, token_counts, toxicity, warc
+from eventweir.llm import bpe, decontaminate, line_dedup, ngram_join, quotations, secret_scan, spot_signatures, token_counts, toxicity, warc
 from eventweir.llm.text import session
 from eventweir.session import scratch_path
 
@@ -41,6 +41,35 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+@query(
+    "op1_ngram_join",
+    rf"""
+    WITH RECURSIVE docs AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    shingles AS (
+        SELECT DISTINCT doc_id, unnest(
+            CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))
+                 WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+        FROM docs),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    common AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+        FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+    links AS (
+        SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+    ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reached(doc_id, other) AS (
+        SELECT doc_id, doc_id FROM docs
+        UNION SELECT reached.doc_id, ways.b FROM reached JOIN ways ON reached.other = ways.a)
+    SELECT reached.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
+    FROM reached LEFT JOIN sizes ON reached.doc_id = sizes.doc_id GROUP BY reached.doc_id""",
+)
+def op1(spark, table):
+    """The near-duplicate component of every document."""
+    found = ngram_join.components(table("documents"), ngram_join.Join(k=5, similarity=80))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 @query(
     "op2_line_dedup",
     rf"""
