@@ -524,17 +524,19 @@ def components(docs: DataFrame, join: Join = Join(), text: str = "text", doc_id:
     return result.select("id", "n_shingles", component.alias("component_id"))
 
 
-def join_by_size(large: DataFrame, ids: DataFrame, key: str, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The rows of ``large`` whose key is in a stored table of distinct ids; the
-    table is broadcast when its rows, counted, take less than ``max_bytes``."""
+def join_by_size(large: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of ``large`` whose key is (or with ``left_anti`` is not) in a
+    stored table of distinct ids; the table is broadcast when its rows, counted,
+    take less than ``max_bytes``."""
     small = ids.count() * 64 <= max_bytes
-    return large.join(F.broadcast(ids) if small else ids, key, "left_semi")
+    return large.join(F.broadcast(ids) if small else ids, key, how)
 
 
 def keep_one(docs: DataFrame, join: Join = Join(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each component, that of the smallest id.
 
-    Documents without shingles or without an id stay."""
+    Documents without shingles or without an id stay, and rows that repeat the
+    smallest id do too."""
     found = components(docs, join, text, doc_id)
-    gone = found.where("id != component_id").select(F.col("id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[doc_id].cast("bigint") == gone["gone_id"], "left_anti")
+    gone = found.where("id != component_id").select(F.col("id").alias(doc_id)).distinct()
+    return join_by_size(docs, written_table(gone, "copies"), doc_id, "left_anti").select(*docs.columns)

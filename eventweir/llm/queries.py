@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,13 +17,22 @@ QUERIES = {}
 ORACLES = {}
 
 
+class Tables:
+    """Reads the given tables of one scale by name."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
+
+
 def query(name: str, sql: str | None = None):
-    """Register ``function(spark, table)``; ``table`` reads a given table by name."""
+    """Register ``function(spark, table)``."""
 
     def register(function):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark = session(spark)
-            return function(spark, lambda table: spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet")))
+            return function(session(spark), Tables(spark, sf_dir))
 
         QUERIES[name] = run
         if sql is not None:
@@ -211,3 +221,9 @@ def op8(spark, table):
         "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, table):
+    """The stages of the corpus pipeline, one after the other."""
+    return corpus_pipeline.run(spark, table.sf_dir)
