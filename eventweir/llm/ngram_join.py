@@ -182,7 +182,7 @@ class Join:
         every = np.arange(len(sizes))
         # Sets that link with equal sets only need no index.
         own = every[(self.largest(sizes) > sizes) | (self.smallest(sizes) < sizes)]
-        below = every[self.smallest(sizes) < 2**band]
+        below = every[(sizes > 0) & (self.smallest(sizes) < 2**band)]
         return [
             (shingles, starts[own], sizes[own], band[own], self.differences(sizes[own], self.largest(sizes[own])), own),
             (shingles, starts[below], sizes[below], band[below] - 1, self.differences(sizes[below], 2 ** band[below] - 1), below),
