@@ -40,7 +40,7 @@ WIDTH = 8
 GRAMS = (3, 4, 5)
 WINDOW, STRIDE = 3, 1
 THRESHOLD = 0.3
-SAMPLE = {"max_rows": 3000, "max_chars": 20_000}
+SAMPLE = {"max_rows": 2000, "max_chars": 20_000}
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -49,7 +49,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the n-grams of all words, one word after the other, and where each word's begin."""
+    """Buckets of the n-grams of some words, one word after the other, and where each word's begin."""
     marked = [f"<{w}>" for w in words]
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lengths = np.array([len(m) for m in marked], np.int64)
@@ -61,7 +61,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         rolling = np.zeros(len(codes), np.uint64)
         for n in range(1, max(GRAMS) + 1):
             shifted = np.zeros(len(codes), np.uint64)
-            shifted[: len(codes) - n + 1] = codes[n - 1 :]
+            shifted[: max(len(codes) - n + 1, 0)] = codes[n - 1 :]
             rolling = (rolling ^ shifted) * np.uint64(0x9E3779B97F4A7C15)
             rolling ^= rolling >> np.uint64(29)
             if n in GRAMS:
@@ -108,12 +108,13 @@ class Model:
     slope: float
     offset: float
 
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        if not words:
-            return np.zeros(0)
-        grams, first = subwords(words)
-        sizes = np.diff(np.concatenate([first, [len(grams)]]))
-        return np.add.reduceat(self.buckets[grams], first) / sizes
+    def word_scores(self, words: list[str], at_once: int = 20_000) -> np.ndarray:
+        out = [np.zeros(0)]
+        for i in range(0, len(words), at_once):
+            grams, first = subwords(words[i : i + at_once])
+            sizes = np.diff(np.concatenate([first, [len(grams)]]))
+            out.append(np.add.reduceat(self.buckets[grams], first) / sizes)
+        return np.concatenate(out)
 
     def probabilities(self, highest: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * (highest + self.bias) + self.offset, -500, 500)))
@@ -131,14 +132,19 @@ def highest_windows(scores: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class Training:
     """Windows of words, and the parameters fitted to them by Adam."""
 
-    def __init__(self, docs: list[list[str]], seed: int):
-        self.vocabulary = list(dict.fromkeys(chain.from_iterable(docs)))
-        index = {w: i for i, w in enumerate(self.vocabulary)}
-        self.flat = np.fromiter((index[w] for d in docs for w in d), np.int64)
+    def __init__(self, texts: list[str], seed: int):
+        index: dict[str, int] = {}
+        docs = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], np.int32) for t in texts]
+        self.vocabulary = list(index)
+        del index
+        self.flat = np.concatenate([np.zeros(0, np.int32), *docs])
         self.counts = np.array([len(d) for d in docs], np.int64)
-        self.starts, self.ends, self.first = windows(self.counts)
-        self.doc = np.repeat(np.arange(len(docs)), np.diff(np.concatenate([self.first, [len(self.starts)]])))
-        self.grams, self.gram_first = subwords(self.vocabulary)
+        self.starts, self.ends, self.first = (a.astype(np.int32) for a in windows(self.counts))
+        self.doc = np.repeat(np.arange(len(docs), dtype=np.int32), np.diff(np.concatenate([self.first, [len(self.starts)]])))
+        parts = [subwords(self.vocabulary[i : i + 20_000]) for i in range(0, len(self.vocabulary), 20_000)]
+        self.grams = np.concatenate([np.zeros(0, np.int32), *(grams.astype(np.int32) for grams, _ in parts)])
+        sizes = np.cumsum([0, *(len(grams) for grams, _ in parts)])
+        self.gram_first = np.concatenate([np.zeros(0, np.int64), *(first + n for (_, first), n in zip(parts, sizes, strict=False))])
         self.gram_n = np.diff(np.concatenate([self.gram_first, [len(self.grams)]]))
         self.rng = np.random.default_rng(seed)
         self.table = self.rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH))
@@ -153,13 +159,14 @@ class Training:
     def scores(self) -> np.ndarray:
         """Logit of every window."""
         model = self.model()
-        upto = np.concatenate([[0], np.cumsum(model.word_scores(self.vocabulary)[self.flat])])
+        of_words = np.add.reduceat(model.buckets[self.grams], self.gram_first) / self.gram_n
+        upto = np.concatenate([[0], np.cumsum(of_words[self.flat])])
         return (upto[self.ends] - upto[self.starts]) / np.maximum(self.ends - self.starts, 1) + model.bias
 
     def step(self, chosen: np.ndarray, y: np.ndarray, rate: float) -> None:
         """One update from some windows, none empty, and their labels."""
         length = self.ends[chosen] - self.starts[chosen]
-        words, _ = gather(self.flat, self.starts[chosen], length)
+        words, _ = gather(self.flat, self.starts[chosen], length.astype(np.int64))
         window = np.repeat(np.arange(len(chosen)), length)
         words, place = np.unique(words, return_inverse=True)
         gram_n = self.gram_n[words]
@@ -190,11 +197,10 @@ def fit(texts: list[str], labels: list[int], epochs: int = 12, steps: int = 20,
     An update takes as many windows of toxic texts as of clean ones."""
     y = np.array(labels, np.int64)
     share = (y.sum() + 0.5) / (len(y) + 1)
-    docs = [words_of(t) for t in texts]
     held = np.zeros(len(y), bool)
     for c in (0, 1):
         held[np.flatnonzero(y == c)[4::5]] = True
-    t = Training(docs, seed)
+    t = Training(texts, seed)
     teach = ~held[t.doc] & (t.ends > t.starts)
     clean, toxic = np.flatnonzero(teach & (y[t.doc] == 0)), np.flatnonzero(teach & (y[t.doc] == 1))
     if not (len(clean) and len(toxic) and 0 < y[held].sum() < held.sum()):
