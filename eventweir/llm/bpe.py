@@ -46,7 +46,7 @@ def byte_characters() -> dict[str, int]:
 class Bpe:
     """A vocabulary as arrays, and the words encoded so far."""
 
-    def __init__(self, path: str, max_words: int = 500_000):
+    def __init__(self, path: str, max_words: int = 200_000):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model, of = spec["model"], byte_characters()

@@ -37,7 +37,7 @@ of their own number.  Repeated rows are copies of each other.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -262,7 +262,12 @@ def no_docs(n: int) -> pa.Array:
     return pa.nulls(n, DOC)
 
 
-def indexed(docs: DataFrame, join: Join, max_rows: int = 3_000_000) -> DataFrame:
+def sliced(batch: pa.RecordBatch, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """A large batch as small ones, which the JVM takes one at a time."""
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
+def indexed(docs: DataFrame, join: Join, max_rows: int = 2_000_000) -> DataFrame:
     """Rows of ``id, text`` as ``key, cls, hub, doc``, of three kinds:
 
     * the smallest class of a task that holds a piece, under the piece's key;
@@ -298,10 +303,10 @@ def indexed(docs: DataFrame, join: Join, max_rows: int = 3_000_000) -> DataFrame
                 classes.append(c1[of])
                 waiting += len(found)
                 if waiting > max_rows:
-                    yield flushed(keys, classes)
+                    yield from sliced(flushed(keys, classes))
                     keys, classes, waiting = [], [], 0
         if waiting:
-            yield flushed(keys, classes)
+            yield from sliced(flushed(keys, classes))
 
     return docs.mapInArrow(run, "key bigint, cls bigint, hub bigint, doc struct<id: bigint, n: bigint, c2: bigint>")
 
@@ -335,7 +340,7 @@ def paired(rows: DataFrame) -> DataFrame:
         hub = c[fresh][np.cumsum(fresh) - 1] if len(k) else c
         pairs.append(np.stack([hub[hub != c], c[hub != c]]))
         both, n = np.unique(np.concatenate(pairs, axis=1), axis=1, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(both[1]), pa.array(both[0]), pa.array(n), no_docs(len(n))], ["cls", "hub", "n", "doc"])
+        yield from sliced(pa.RecordBatch.from_arrays([pa.array(both[1]), pa.array(both[0]), pa.array(n), no_docs(len(n))], ["cls", "hub", "n", "doc"]))
 
     return rows.repartition("key").mapInArrow(run, "cls bigint, hub bigint, n bigint, doc struct<id: bigint, n: bigint, c2: bigint>")
 
@@ -391,46 +396,46 @@ def rare_shingles_of(sets: DataFrame, join: Join) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """The pairs ``a, b`` whose sets are similar enough."""
+    """The pairs ``a, b`` with ``linked``: are their sets similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            linked = []
             for x, y in zip(column(batch, "set_a"), column(batch, "set_b"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
                 small, large = (x, y) if len(x) <= len(y) else (y, x)
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 common = int((large[at] == small).sum())
-                keep.append(100 * common >= join.similarity * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                linked.append(100 * common >= join.similarity * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     both = pairs.select("a", "b").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b")), "b")
     both = both.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a")), "a")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint, linked boolean")
 
 
-def merge_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``cls, label`` after joining the components that links connect.
+def merge_labels(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
+    """``cls, label`` after joining the components that links connect, and how
+    many classes got another label.
 
     Every label that has a link to a smaller one is hung below the smallest
-    such; paths are halved until all hang below their root; then again, until no
-    link leads from one label to another."""
+    such, and moves up two steps at once; again, until no link leads from one
+    label to another."""
+    moves = 0
     while True:
         of_a = labels.select(F.col("cls").alias("a"), F.col("label").alias("la"))
         of_b = labels.select(F.col("cls").alias("b"), F.col("label").alias("lb"))
         open_links = links.join(of_a, "a").join(of_b, "b").where("la != lb")
         parents = open_links.groupBy(F.greatest("la", "lb").alias("label")).agg(F.min(F.least("la", "lb")).alias("parent"))
-        parents = written_table(parents, "parents")
-        if not parents.take(1):
-            return labels
-        while True:
-            above = parents.select(F.col("label").alias("parent"), F.col("parent").alias("further"))
-            joined = written_table(parents.join(above, "parent", "left"), "parents")
-            if not joined.where("further is not null").take(1):
-                break
-            parents = joined.select("label", F.coalesce("further", "parent").alias("parent"))
-        moved = labels.join(parents, "label", "left").select("cls", F.coalesce("parent", "label").alias("label"))
-        labels = written_table(moved, "labels")
+        above = parents.select(F.col("label").alias("parent"), F.col("parent").alias("further"))
+        parents = parents.join(above, "parent", "left").select("label", F.coalesce("further", "parent").alias("parent"))
+        moved = labels.join(parents, "label", "left")
+        moved = moved.select("cls", F.coalesce("parent", "label").alias("label"), F.col("parent").isNotNull().alias("moved"))
+        moved = written_table(moved, "labels")
+        n = moved.where("moved").count()
+        if not n:
+            return labels, moves
+        labels, moves = moved.select("cls", "label"), moves + n
 
 
 @dataclass
@@ -439,8 +444,8 @@ class Search:
 
     join: Join
     sets: DataFrame
-    tested: DataFrame
     labels: DataFrame
+    tested: list[DataFrame] = field(default_factory=list)
 
     def mixed(self, pieces: DataFrame) -> DataFrame:
         """The pieces that lie in more than one component, with ``label``, stored."""
@@ -449,27 +454,34 @@ class Search:
         return written_table(labelled.join(mixed.select("key"), "key"), "mixed-pieces")
 
     def test(self, pairs: DataFrame) -> int:
-        """Verify pairs that were not verified before; how many linked."""
+        """Verify pairs that were not verified before; how many sets changed their component."""
         pairs = pairs.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
-        pairs = written_table(pairs.join(self.tested, ["a", "b"], "left_anti"), "tested")
-        links = written_table(verified(pairs, self.sets, self.join), "links")
-        self.tested = self.tested.union(pairs)
-        self.labels = merge_labels(self.labels, links)
-        return links.count()
-
-    def hubs(self, pieces: DataFrame, least: float = 0.01) -> DataFrame:
-        """Pair all sets of a piece with one of another component, again and again
-        while that links at least a share of ``least`` of the sets; the pieces still mixed."""
+        for before in self.tested:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        found = written_table(verified(pairs, self.sets, self.join), "verified")
+        self.tested.append(found.select("a", "b"))
+        self.labels, moves = merge_labels(self.labels, found.where("linked").select("a", "b"))
+        return moves
+
+    def hubs(self, pieces: DataFrame, each: int = 4, least: float = 0.01) -> DataFrame:
+        """The pieces that are still mixed after pairing their sets with hubs.
+
+        While there would be more than ``each`` pairs across components for
+        every row, all sets of a piece are paired with one of another component,
+        as long as that moves at least a share of ``least`` of the sets."""
         turn, n_sets = 0, self.sets.count()
         while True:
             pieces = self.mixed(pieces)
-            if not pieces.take(1):
+            sizes = pieces.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key")
+            sizes = sizes.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
+            rows, pairs = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)).first()
+            if not rows or pairs <= each * rows:
                 return pieces
             turn += 1
             row = F.struct(*[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "rank", "label")])
             hub = pieces.groupBy("key").agg(F.min_by(row, F.xxhash64("cls", F.lit(turn))).alias("hub")).select("key", "hub.*")
-            pairs = _named(pieces, "b").join(hub, "key").where((F.col("label_a") != F.col("label_b")) & self.join.fits("a", "b"))
-            if self.test(pairs) <= least * n_sets:
+            found = _named(pieces, "b").join(hub, "key").where((F.col("label_a") != F.col("label_b")) & self.join.fits("a", "b"))
+            if self.test(found) <= least * n_sets:
                 return self.mixed(pieces)
 
     def across(self, pieces: DataFrame) -> None:
@@ -484,7 +496,6 @@ def _named(pieces: DataFrame, side: str) -> DataFrame:
 
 def components(docs: DataFrame, join: Join = Join(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: ``id, n_shingles, component_id`` (smallest id that links reach)."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
     found = written_table(paired(indexed(rows, join)), "pieces")
     members = found.where("doc is not null").select("doc.id", F.col("doc.n").alias("n_shingles"), F.col("cls").alias("c1"), "doc.c2")
@@ -495,14 +506,13 @@ def components(docs: DataFrame, join: Join = Join(), text: str = "text", doc_id:
     active = pairs.select("cls").union(pairs.select("hub")).distinct()
     reps = members.join(active, members["c1"] == active["cls"]).groupBy("c1").agg(F.min("id").alias("id"))
     sets = sets_of(join_by_size(rows, written_table(reps.select("id").distinct(), "representatives"), "id"), join)
-    sets = written_table(sets.join(active, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
-    labels = written_table(sets.select("cls", F.col("cls").alias("label")), "labels")
+    sets = written_table(sets.dropDuplicates(["cls"]), "sets")
 
     # Every class with the hub it shares most pieces with, if their sizes allow it.
     of = lambda name: sets.select(F.col("cls").alias(f"cls_{name}"), F.col("n").alias(f"n_{name}"), F.lit(0).alias(f"rank_{name}"))
     first = pairs.select(F.col("cls").alias("cls_b"), F.col("hub").alias("cls_a"), "n").join(of("a"), "cls_a").join(of("b"), "cls_b")
     first = first.where(join.fits("a", "b")).groupBy("cls_b").agg(F.max_by("cls_a", F.struct("n", "cls_a")).alias("cls_a"))
-    search = Search(join, sets, spark.createDataFrame([], "a bigint, b bigint"), labels)
+    search = Search(join, sets, sets.select("cls", F.col("cls").alias("label")))
     search.test(first)
     pieces = search.hubs(pieces_of(sets, join))
     # Pieces that few sets share: all pairs across components.  The sets with

@@ -16,9 +16,10 @@ BLANKS = " \t\n\x0b\f\r"
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """Settings for tables of long texts: Arrow batches of few rows."""
+    """Settings for tables of long texts: Arrow batches of few rows and bytes."""
     use_settings(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8388608")
     return spark
 
 
@@ -34,7 +35,7 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def text_chunks(batch: pa.RecordBatch, name: str, max_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def text_chunks(batch: pa.RecordBatch, name: str, max_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have about ``max_bytes`` together; at least one row each."""
     first, size = 0, 0
     for i, n in enumerate(pa.compute.binary_length(column(batch, name)).fill_null(0).to_pylist()):
