@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventweir.functions.envelope import event_line, event_partition
+from eventweir.functions.envelope import event_line, event_partition, problems
 from eventweir.operators.batches import MAX_BATCH
 from eventweir.operators.ingest import SINKS
 from eventweir.operators.joins import small_table
@@ -41,19 +41,35 @@ def hourly_counts(events: DataFrame) -> DataFrame:
     ).select("event_type", F.date_format("_w.start", "yyyy-MM-dd HH:mm:ss").alias("hour_start"), "n_events")
 
 
+def judged_events(events: DataFrame, accepted: Iterable[str], type_pattern: str | None = None) -> DataFrame:
+    """Accepted events with what is wrong with them in ``problems``.  Events of
+    types that are not accepted are left out; what has no type stays, as an
+    accept list cannot tell what it is."""
+    accepted = list(accepted)
+    if accepted:
+        events = events.where(F.col("type").isin(accepted) | F.col("type").isNull())
+    return events.withColumn("problems", problems(events.columns, type_pattern))
+
+
 def ingest(
     events: DataFrame,
     accepted: Iterable[str],
     sinks: dict[str, Sink],
     process_type: str = "write",
+    type_pattern: str | None = None,
 ) -> None:
     """Give the accepted events to each sink that the way they came in calls for.
 
-    ``sinks`` maps ``spool`` and ``tap`` to what to do with events."""
-    wanted = accepted_events(events, accepted)
+    ``sinks`` maps ``spool`` and ``tap`` to what to do with events, and
+    ``rejects`` to what to do with those that cannot be stored; their
+    ``problems`` say why.  No other sink gets to see these."""
+    judged = judged_events(events, accepted, type_pattern)
+    wanted = judged.where(F.size("problems") == 0).drop("problems")
     for name in SINKS[process_type]:
         if name in sinks:
             sinks[name](wanted)
+    if "rejects" in sinks:
+        sinks["rejects"](judged.where(F.size("problems") > 0))
 
 
 def post(events: DataFrame, sinks: dict[str, Sink]) -> None:

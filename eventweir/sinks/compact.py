@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from eventweir.functions.transfer import concatenate
 from eventweir.session import settings, written_table
 
-MAX_TASKS = 10_000
 TASK_BYTES = 512 * 1024 * 1024
 # Opening and closing an object takes as long as copying so many bytes.
 OBJECT_COST = 4 * 1024 * 1024
@@ -41,7 +40,7 @@ def compact(worklist: DataFrame, stop_on_error: bool = False, name: str = "compa
     # bytes to copy.  Tasks start in order: low ranks, the urgent types, first.
     count, cost = work.agg(F.count("*"), F.sum(F.col("size") + OBJECT_COST)).first()
     least = min(count, work.sparkSession.sparkContext.defaultParallelism)
-    tasks = max(1, least, min(MAX_TASKS, -(-int(cost or 0) // TASK_BYTES)))
+    tasks = max(1, least, -(-int(cost or 0) // TASK_BYTES))
     spread = work.repartitionByRange(tasks, "rank", F.xxhash64("location"))
     result = spread.mapInPandas(rewrite, "location string, size bigint, status string, message string")
     # A row names all parts of an object, so a task takes few rows at a time.

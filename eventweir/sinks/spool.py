@@ -13,7 +13,10 @@ DEFAULT_CODEC = "snappy"
 
 
 def spool_lines(df: DataFrame) -> DataFrame:
-    """Bucket columns and the line of each event."""
+    """Bucket columns and the line of each event.  An event without a type or a
+    timestamp belongs to no bucket and is an error."""
+    nowhere = F.raise_error(F.lit("an event without type or timestamp has no bucket"))
+    df = df.withColumn("type", F.when(F.col("type").isNull() | F.col("timestamp").isNull(), nowhere).otherwise(F.col("type")))
     return event_partition(df).select(F.col("type").alias("event_type"), "date", "hour", event_line().alias("value"))
 
 

@@ -34,8 +34,7 @@ def explode_batches(df: DataFrame, body: str = "body") -> DataFrame:
 
 def unreadable_batches(df: DataFrame, body: str = "body") -> DataFrame:
     """Batches ``explode_batches`` cannot read: their body is not a JSON array."""
-    is_array = F.json_array_length(body).isNotNull() & one_json_value(F.col(body))
-    return df.where(~F.coalesce(is_array, F.lit(False)))
+    return df.where(~_is_array(F.col(body)))
 
 
 def _ddl_fields() -> list[str]:
@@ -51,11 +50,43 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_events(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Batches arriving as files below ``path``, each a JSON array or JSON lines."""
-    reader = spark.readStream.schema(ENVELOPE_TEXT).option("recursiveFileLookup", True)
+    """Events arriving as files below ``path``; see ``events_of_files``."""
+    reader = spark.readStream.option("recursiveFileLookup", True)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return with_instant(reader.json(path))
+    return events_of_files(reader.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path")))
+
+
+def stream_event_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """Events arriving as files too large to be taken whole, an event or an
+    array of events on every line.  Lines that do not parse are in ``corrupt_body``."""
+    reader = spark.readStream.schema(f"{ENVELOPE_TEXT}, corrupt_body string").option("recursiveFileLookup", True)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return with_instant(reader.option("columnNameOfCorruptRecord", "corrupt_body").json(path))
+
+
+def events_of_files(df: DataFrame) -> DataFrame:
+    """Events of whole files (``file, value``) with ``batch_id`` and ``seq``.
+
+    A file is one JSON array, over as many lines as it likes, or has an array or
+    a single event on every line; each array is a batch.  What cannot be read
+    becomes one row with its text in ``corrupt_body``, so nothing is lost."""
+    whole = _is_array(F.col("value"))
+    lines = F.filter(F.split("value", r"\r?\n"), lambda line: F.btrim(line) != "")
+    bodies = F.when(whole, F.array("value")).otherwise(lines)
+    rows = df.select("file", F.posexplode(bodies).alias("_line", "_body"))
+    single = F.col("_body").startswith("{") & one_json_value(F.col("_body"))
+    rows = rows.withColumn("_body", F.when(single, F.concat(F.lit("["), "_body", F.lit("]"))).otherwise(F.col("_body")))
+    rows = rows.withColumn("corrupt_body", F.when(~_is_array(F.col("_body")), F.col("_body")))
+    rows = rows.withColumn("_body", F.when(F.col("corrupt_body").isNull(), F.col("_body")).otherwise("[null]"))
+    rows = rows.select(F.concat_ws("#", "file", "_line").alias("batch_id"), "corrupt_body", "_body")
+    return explode_batches(rows, "_body")
+
+
+def _is_array(body: Column) -> Column:
+    """True when the text is exactly one JSON array."""
+    return F.coalesce(F.json_array_length(body).isNotNull() & one_json_value(body), F.lit(False))
 
 
 def to_envelope(

@@ -42,11 +42,12 @@ def explode_parts(manifest: DataFrame) -> DataFrame:
 
 
 def group_headers(manifest: DataFrame) -> DataFrame:
-    """Version, writer, time and number of combined objects of each group."""
+    """Version, writer, time and next free ordinal of each group.  Objects of
+    a commit that died may be missing, so the next one comes after the last, not after as many."""
     newest = F.max_by(F.struct("version", "creator", "updated_ts", "location_prefix"), "version")
     return (
         manifest.groupBy(*GROUP)
-        .agg(newest.alias("_h"), F.count("*").alias("n_objects"))
+        .agg(newest.alias("_h"), (F.max("ordinal") + 1).alias("n_objects"))
         .select(*GROUP, "_h.*", "n_objects")
     )
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventweir.functions.uris import parse_qos, uri_parses, valid_uri
+from eventweir.functions.uris import audit_uri_list, parse_qos, valid_uri
 
 # Keys of an announcement's property map.
 EVENT_TYPE, FLOW_ID, HTTP, HTTPS, QOS = "eventType", "flowId", "http", "https", "qos.delivery"
 
+# Schemes a flow's configured URIs may have.
+SCHEMES = (HTTP, HTTPS)
+
 # What is wrong with a static flow key.
 ONE_SEPARATOR = "Flow key must have a single @ character"
 NOT_EMPTY = "Elements separate by @ cannot be empty"
@@ -35,11 +38,13 @@ def read_static_taps(df: DataFrame, start_time: Column) -> DataFrame:
 
     The key is ``type@flow``, the URIs a comma-separated list; blanks around
     either are dropped.  A key of another form, a flow without URIs or a URI
-    that does not parse is an error.
+    that does not parse or has another scheme than HTTP or HTTPS is an error.
     """
     tokens = F.transform(F.split(F.coalesce("flow_key", F.lit("")), "@"), _strip)
     uris = F.array_distinct(F.filter(F.transform(F.split(F.coalesce("uris", F.lit("")), ","), _strip), lambda u: u != ""))
 
+    audit = audit_uri_list(uris, SCHEMES)
+
     def invalid(reason: str) -> Column:
         return F.raise_error(F.concat(F.lit("Invalid flow key: "), F.coalesce("flow_key", F.lit("null")), F.lit(f"; {reason}")))
 
@@ -50,7 +55,7 @@ def read_static_taps(df: DataFrame, start_time: Column) -> DataFrame:
     )
     listed = (
         F.when(F.size(uris) == 0, F.raise_error(F.concat(F.lit("uris may not be empty: "), F.col("flow_key"))))
-        .when(~F.forall(uris, uri_parses), F.raise_error(F.concat(F.lit("invalid uri: "), F.array_join(uris, ", "))))
+        .when(~audit["ok"], F.raise_error(audit["message"]))
         .otherwise(uris)
     )
     specs = df.select(key.alias("_key"), F.explode(listed).alias("uri"), parse_qos(F.col("qos_delivery")).alias("qos"))

@@ -15,6 +15,7 @@ from eventweir.functions.envelope import event_line
 from eventweir.functions.transfer import is_committed, subfolders
 from eventweir.operators.batches import MAX_BATCH, batch_numbers
 from eventweir.operators.delivery import CAPACITY, delivery_outcome, play_tick
+from eventweir.operators.ingest import batch_verdicts, inbound_counts
 from eventweir.operators.joins import join_small, small_table
 from eventweir.operators.routing import route_events
 from eventweir.operators.running import Running, running_before
@@ -35,10 +36,17 @@ def run_ingest(
     tap: Callable[[DataFrame, int], None] | None = None,
     process_type: str = "write",
     trigger: dict | None = None,
+    reports: str | None = None,
+    type_pattern: str | None = None,
 ) -> StreamingQuery:
     """Spool every micro-batch and hand it to ``tap(events, batch_id)``.
 
-    Both happen under one checkpoint.  A repeated micro-batch replaces its own
+    Below ``reports`` every micro-batch leaves, as ``batch=N``: ``rejects``,
+    events that cannot be stored and why; ``counts`` per type and status; and
+    ``verdicts``, the answer to each batch of events that says where it came in.
+    Without it a micro-batch with such events fails, so that none gets lost.
+
+    All happens under one checkpoint.  A repeated micro-batch replaces its own
     spool files; ``tap`` gets the batch id so that it can do likewise.  By
     default a micro-batch is what arrives in the maximum buffer time.
     """
@@ -50,7 +58,13 @@ def run_ingest(
             sinks = {"spool": spool_sink(spool_root, batch_id)}
             if tap is not None:
                 sinks["tap"] = lambda events: tap(events, batch_id)
-            ingest(batch, accepted, sinks, process_type)
+            sinks["rejects"] = lambda events: _keep_rejects(events, reports, batch_id)
+            ingest(batch, accepted, sinks, process_type, type_pattern)
+            if reports is not None:
+                readable = batch.where("corrupt_body is null") if "corrupt_body" in batch.columns else batch
+                _store(inbound_counts(readable, accepted, process_type), reports, "counts", batch_id)
+                if "batch_id" in batch.columns:
+                    _store(batch_verdicts(readable, accepted), reports, "verdicts", batch_id)
         finally:
             batch.unpersist()
 
@@ -58,6 +72,13 @@ def run_ingest(
     return writer.trigger(**(trigger or {"processingTime": MAX_BUFFER_TIME})).start()
 
 
+def _keep_rejects(events: DataFrame, reports: str | None, batch_id: int) -> None:
+    if reports is not None:
+        _store(events, reports, "rejects", batch_id)
+    elif events.take(1):
+        raise ValueError("events that cannot be stored came in; name a folder for reports to keep them")
+
+
 def routed_table_tap(table: FlowTable, out: str, now: Callable[[], int]) -> Callable[[DataFrame, int], None]:
     """A tap that refreshes the routing table for every micro-batch and stores
     the routed events as ``out/batch=N``."""
@@ -78,15 +99,16 @@ def delivery_tap(
     root: str,
     now: Callable[[], int],
     max_batch: int = MAX_BATCH,
-    capacity: int = CAPACITY,
+    capacity: int | None = None,
     retry_count: int = RETRY_COUNT,
     retry_delay: float = RETRY_DELAY,
 ) -> Callable[[DataFrame, int], None]:
     """A tap that delivers every micro-batch to the flows of the moment.
 
     Each micro-batch first sends what earlier ones could not deliver, then its
-    own events; what is lost waits for the next one, up to ``capacity`` events
-    per flow.  A flow that is gone or changed its retry setting loses what
+    own events; what is lost waits for the next one.  With a ``capacity`` no
+    more events than that wait per flow, and ``drops`` counts, per flow and
+    micro-batch, those that found no room.  A flow that is gone or changed its retry setting loses what
     waits for it.  Below ``root``, by micro-batch: ``attempts``, ``waiting`` and
     ``state`` (taps that answered, events dropped since the last success).  A
     repeated micro-batch starts from the state before it.
@@ -124,7 +146,12 @@ def delivery_tap(
         # What was sent again goes to the tail before what came later.
         queue = reduce(DataFrame.unionByName, lost)
         counts = queue.where("again = 0").groupBy(*FLOW).agg(F.count("*").alias("_earlier"))
-        queue = _renumber(queue, small_table(counts, "earlier")).where(F.col("seq") < capacity)
+        queue = _renumber(queue, small_table(counts, "earlier"))
+        if capacity is not None:
+            queue = written_table(queue, "queue")
+            dropped = queue.where(F.col("seq") >= capacity).groupBy(*FLOW).agg(F.count("*").alias("n_dropped"))
+            _store(dropped, root, "drops", batch_id)
+            queue = queue.where(F.col("seq") < capacity)
         _store(queue.select(*[c.split()[0] for c in WAITING.split(", ")]), root, "waiting", batch_id)
         _store(reduce(DataFrame.unionByName, log), root, "attempts", batch_id)
         _store(state, root, "state", batch_id)
@@ -142,9 +169,9 @@ def _store(df: DataFrame, root: str, kind: str, batch_id: int) -> None:
 
 def _last_before(root: str, batch_id: int) -> int | None:
     """Latest finished micro-batch before this one."""
-    names = [name for name in subfolders(root) if name.startswith("batch=")]
-    done = [int(n.removeprefix("batch=")) for n in names if is_committed(f"{root}/{n}")]
-    return max((n for n in done if n < batch_id), default=None)
+    names = (int(name.removeprefix("batch=")) for name in subfolders(root) if name.startswith("batch="))
+    earlier = sorted((n for n in names if n < batch_id), reverse=True)
+    return next((n for n in earlier if is_committed(f"{root}/batch={n:09d}")), None)
 
 
 def _lost_lines(batches: DataFrame, attempts: DataFrame, flows: DataFrame, max_batch: int, keys: list[str]) -> DataFrame:

@@ -43,7 +43,7 @@ def packed(df):
 
 
 def test_worked_example(table):
-    sizes = [400, 200, 200, 200, 300, 100]
+    sizes = [480, 90, 250, 140, 350, 70]
     files = [file(f"f{i}", s * MB) for i, s in enumerate(sizes)]
     first = pack_first_fit(table(files, FILES), target=512 * MB)
     assert [packed(first)[f"f{i}"][0] for i in range(6)] == [0, 0, 1, 1, 1, 2]

@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 from conftest import rows
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ EVENT = "type string, uuid string, host string, timestamp timestamp, data string
 NOON = dt.datetime(2011, 3, 30, 16, 10, 16)
 
 
-def event(kind="Test", uuid="u", host="h", at=NOON, data='{"foo":"bar"}'):
+def event(kind="Order", uuid="u", host="h", at=NOON, data='{"foo":"bar"}'):
     return (kind, uuid, host, at, data)
 
 
@@ -30,16 +31,16 @@ def test_each_missing_field_is_reported(table):
 
 
 def test_type_must_be_alphanumeric(table):
-    for bad in ["hello!", "!hello", "0abc", "", "a\n", "a b"]:
+    for bad in ["order-placed", "_order", "7up", "", "a\n", "a b"]:
         assert found(table, *event(kind=bad)) == [("type", "must be alphanumeric")], bad
 
 
 def test_accept_list(table):
-    df = table([event("Test"), event("TestBad"), event("TestBad"), event(None)], EVENT)
-    assert rows(env.accept_types(df, ["Test"]), "type", "status") == [
-        ("Test", "valid"),
-        ("TestBad", "unsupported"),
-        ("TestBad", "unsupported"),
+    df = table([event("Order"), event("Refund"), event("Refund"), event(None)], EVENT)
+    assert rows(env.accept_types(df, ["Order"]), "type", "status") == [
+        ("Order", "valid"),
+        ("Refund", "unsupported"),
+        ("Refund", "unsupported"),
         (None, "unsupported"),
     ]
     assert {r.status for r in env.accept_types(df, []).collect()} == {"valid"}
@@ -47,16 +48,16 @@ def test_accept_list(table):
 
 
 def test_inbound_counts(table):
-    df = table([event("Test"), event("TestBad"), event("TestBad")], EVENT)
-    assert rows(ops.inbound_counts(df, ["Test"]), "event_type", "status", "process_type", "n_events") == [
-        ("Test", "valid", "write", 1),
-        ("TestBad", "unsupported", "write", 2),
+    df = table([event("Order"), event("Refund"), event("Refund")], EVENT)
+    assert rows(ops.inbound_counts(df, ["Order"]), "event_type", "status", "process_type", "n_events") == [
+        ("Order", "valid", "write", 1),
+        ("Refund", "unsupported", "write", 2),
     ]
 
 
 def test_batch_verdicts(table):
-    df = table([(1, "Test"), (1, "b"), (1, "a"), (1, "b"), (2, "Test")], "batch_id int, type string")
-    assert rows(ops.batch_verdicts(df, ["Test"]), "batch_id", "http_status", "message") == [
+    df = table([(1, "Order"), (1, "b"), (1, "a"), (1, "b"), (2, "Order")], "batch_id int, type string")
+    assert rows(ops.batch_verdicts(df, ["Order"]), "batch_id", "http_status", "message") == [
         (1, 400, "Unsupported event type(s): a, b"),
         (2, 202, None),
     ]
@@ -69,24 +70,24 @@ def test_forwarded_events_are_not_spooled(table):
 
 
 def test_bucket_is_the_utc_hour_of_the_event(table):
-    df = table([("Test", "2011-03-30T23:30:00-02:00")], "type string, at string")
+    df = table([("Order", "2011-03-30T23:30:00-02:00")], "type string, at string")
     df = df.withColumn("timestamp", F.to_timestamp("at"))
-    assert env.event_partition(df).select("date", "hour", "path").first()[:] == ("2011-03-31", "01", "Test/2011-03-31/01")
+    assert env.event_partition(df).select("date", "hour", "path").first()[:] == ("2011-03-31", "01", "Order/2011-03-31/01")
 
 
 def test_property_selection(table):
-    data = '{"key1":"v1","key2":1.50,"key3":{"subkey1":"s","key1":"deep"},"key4":["x"]}'
+    data = '{"city":"Oslo","rate":1.50,"stock":{"left":"s","city":"deep"},"tags":["x"]}'
     df = table([event(data=data)], EVENT)
 
     def kept(policies):
         return env.select_properties(df, policies).first()["data"]
 
-    assert kept({"data": ["key1"]}) == '{"key1":"v1"}'
-    assert kept({"data": ["key3", "key4"]}) == '{"key3":{"key1":"deep","subkey1":"s"},"key4":["x"]}'
+    assert kept({"data": ["city"]}) == '{"city":"Oslo"}'
+    assert kept({"data": ["stock", "tags"]}) == '{"stock":{"left":"s","city":"deep"},"tags":["x"]}'
     assert kept({"data": []}) == data
-    assert kept({"elsewhere": ["key1"]}) == data
+    assert kept({"elsewhere": ["city"]}) == data
     assert kept({"data": ["none"]}) == "{}"
-    assert kept([("data", ["key1"]), ("data", ["key2"])]) == '{"key1":"v1"}'
+    assert kept([("data", ["city"]), ("data", ["rate"])]) == '{"city":"Oslo"}'
 
 
 def test_equality_ignores_key_order_and_offset(table):
@@ -97,6 +98,32 @@ def test_equality_ignores_key_order_and_offset(table):
     assert pair.select(env.event_equal("l", "r")).first()[0] is True
 
 
+def test_kept_values_keep_kind_and_digits(table):
+    long = "9" * 42
+    data = f'{{"a":1.0,"b":1e3,"c":1.10,"d":{long},"e":"x \\"1.0\\" é","f":null,"g":true,"h":[1.0,"2"],"i\\"j":"1"}}'
+    df = table([(data, "plain text", "[1]")], "data string, other string, list string")
+    keys = [*"abcdefgh", 'i"j']
+    got = env.select_properties(df, {"data": keys, "other": keys, "list": keys}).first()
+    assert json.loads(got["data"], parse_float=str, parse_int=str) == {
+        "a": "1.0", "b": "1000.0", "c": "1.1", "d": long, "e": 'x "1.0" é', "f": None, "g": True, "h": ["1.0", "2"], 'i"j': "1"
+    }
+    assert (got["other"], got["list"]) == ("plain text", "[1]")
+
+
+def test_numbers_are_equal_by_kind_and_value(table):
+    long = "9" * 42
+    same = [("1.0", "1.00"), ("1e1", "10.0"), ('{"a":1,"b":2}', '{"b":2, "a":1}'), ('"1.0"', '"1.0"'), (long, long), ("no json", "no json")]
+    other = [("1", "1.0"), ('{"a":[1]}', '{"a":[1.0]}'), ('"1.0"', "1.0"), (long, long[:-1] + "8"), ('"1"', "1"), ("10", "1e1")]
+    for pairs, want in ((same, True), (other, False)):
+        df = table(pairs, "a string, b string")
+        assert [r[0] for r in df.select(env.canonical_json(F.col("a")) == env.canonical_json(F.col("b"))).collect()] == [want] * len(pairs)
+
+
+def test_payload_that_is_no_json_cannot_spoil_a_line(table):
+    lines = table([event(data="hello world"), event(data='{"n": 1.0}'), event(data=None), event(data='1} {"x":2')], EVENT).select(env.event_line()).collect()
+    assert [json.loads(r[0])["data"] for r in lines] == ["hello world", {"n": 1.0}, None, '1} {"x":2']
+
+
 def test_diff_counts_repeated_events(table):
     left = table([event(), event(), event(uuid=None)], EVENT)
     right = table([event(), event(host="other")], EVENT)
@@ -108,8 +135,8 @@ def test_diff_counts_repeated_events(table):
 
 
 def test_batches_are_json_arrays(spark, table, tmp_path):
-    body = """[{"type":"Test","uuid":"1","host":"h","timestamp":"2011-03-30T16:10:16.000Z","data":{"foo":"bar","n":{"x":[1]}}},
-    {"type":"Test","uuid":"2","host":"h","timestamp":"not a time","data":null}]"""
+    body = """[{"type":"Order","uuid":"1","host":"h","timestamp":"2011-03-30T16:10:16.000Z","data":{"foo":"bar","n":{"x":[1]}}},
+    {"type":"Order","uuid":"2","host":"h","timestamp":"not a time","data":null}]"""
     out = explode_batches(table([(7, body), (8, "[]")], "batch_id int, body string"))
     assert rows(out, "batch_id", "seq", "uuid", "timestamp", "timestamp_text", "data") == [
         (7, 0, "1", NOON, "2011-03-30T16:10:16.000Z", '{"foo":"bar","n":{"x":[1]}}'),

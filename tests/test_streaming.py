@@ -6,11 +6,12 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from eventweir.functions.envelope import TYPE_PATTERN
 from eventweir.plans.combine import CombineConfig, run_combine
 from eventweir.plans.flow_table import FlowTable
 from eventweir.plans.ingest import hourly_counts, hourly_partition_counts, post
 from eventweir.sinks.spool import read_spool_lines
-from eventweir.sources.events import read_event_log, stream_events
+from eventweir.sources.events import read_event_log, stream_event_lines, stream_events
 from eventweir.streaming.pipelines import delivery_tap, routed_table_tap, run_ingest, stream_backlog
 
 PROPS = "properties map<string,string>"
@@ -108,6 +109,7 @@ def test_lost_batches_are_sent_again(spark, table, folder):
     ingest(spark, path, [], folder("spool"), tap)
     assert log(1)[0] == (False, 0, 503, 2, True, 6)
     assert waiting(1) == [("x", 0, "1"), ("x", 1, "2"), ("x", 2, "3"), ("x", 3, "4")]
+    assert rows(spark.read.parquet(f"{root}/drops/batch=000000001")) == [("a", "x", 1)]
 
     open(up, "w").close()
     arrive(f"{path}/in", "3", ("a", "6", 0))
@@ -120,6 +122,78 @@ def test_lost_batches_are_sent_again(spark, table, folder):
     assert rows(taken.groupBy("status_code").agg(F.sum("n_events").alias("n"))) == [(202, 6)]
 
 
+def test_nothing_that_waits_is_dropped(spark, table, folder):
+    path, root = folder("stream"), folder("delivery")
+    flows = FlowTable(spark, folder("flows"), lambda: table([], PROPS), table([("a@x", "http://x", None)], STATIC), 0)
+    tap = delivery_tap(flows, lambda uri, headers, lines: 503, root, lambda: 100, max_batch=2, retry_delay=0)
+    for n in range(3):
+        arrive(f"{path}/in", str(n), *[("a", f"{n}{i}", 0) for i in range(3)])
+        ingest(spark, path, [], folder("spool"), tap)
+    assert spark.read.parquet(f"{root}/waiting/batch=000000002").count() == 9
+    assert not os.path.exists(f"{root}/drops")
+
+
+def write(path, name, text):
+    os.makedirs(path, exist_ok=True)
+    with open(f"{path}/{name}.json", "w") as f:
+        f.write(text)
+
+
+def body(*events):
+    return [dict({"type": "a", "uuid": "1", "host": "h", "timestamp": "2024-01-01T00:00:00Z", "data": {"n": 1}}, **e) for e in events]
+
+
+def test_what_cannot_be_stored_is_kept_apart(spark, folder):
+    path, spool, reports = folder("stream"), folder("spool"), folder("reports")
+    write(f"{path}/in", "1", json.dumps(body({"uuid": "ok"}, {"uuid": "x", "type": "other"}), indent=2))
+    write(f"{path}/in", "2", "[{")
+    faulty = [{"data": "hello world"}, {"data": None}, {"timestamp": "soon"}, {"timestamp": None}, {"type": None}, {"data": [1]}]
+    write(f"{path}/in", "3", "\n".join(json.dumps(body(e)) for e in faulty) + "\n" + json.dumps(body({"uuid": "line"})[0]))
+    ingest(spark, path, ["a"], spool, reports=reports)
+
+    lines = [json.loads(r["value"]) for r in read_spool_lines(spark, spool).collect()]
+    assert sorted(line["uuid"] for line in lines) == ["line", "ok"] and all(line["data"] == {"n": 1} for line in lines)
+    assert sorted(os.listdir(f"{spool}/event_type=a")) == ["date=2024-01-01"]
+    rejects = spark.read.parquet(f"{reports}/rejects").select(F.explode("problems").alias("p")).select("p.*")
+    assert rows(rejects) == [
+        ("body", "is no JSON array"), ("data", "is missing"), ("data", "is no JSON object"), ("data", "is no JSON object"),
+        ("timestamp", "is missing"), ("timestamp", "is unreadable"), ("type", "is missing"),
+    ]
+    counts = spark.read.parquet(f"{reports}/counts").groupBy("status").agg(F.sum("n_events").alias("n"))
+    assert rows(counts) == [("unsupported", 2), ("valid", 7)]
+    verdicts = spark.read.parquet(f"{reports}/verdicts")
+    assert rows(verdicts.where("http_status = 400"), "n_events", "message") == [
+        (1, "Unsupported event type(s): null"), (2, "Unsupported event type(s): other")
+    ]
+
+
+def test_without_reports_faulty_events_stop_the_stream(spark, folder):
+    path = folder("stream")
+    write(f"{path}/in", "1", json.dumps(body({"data": "hello"})))
+    with pytest.raises(Exception, match="cannot be stored"):
+        ingest(spark, path, [], folder("spool"))
+
+
+def test_type_pattern_is_a_choice(spark, folder):
+    path, spool, reports = folder("stream"), folder("spool"), folder("reports")
+    write(f"{path}/in", "1", json.dumps(body({"type": "order-placed"})))
+    ingest(spark, path, [], spool, reports=reports)
+    assert read_spool_lines(spark, spool).count() == 1
+    path = folder("stream")
+    write(f"{path}/in", "1", json.dumps(body({"type": "order-placed"})))
+    ingest(spark, path, [], spool, reports=reports, type_pattern=TYPE_PATTERN)
+    assert read_spool_lines(spark, spool).count() == 1
+
+
+def test_large_files_are_read_by_line(spark, folder):
+    path, spool = folder("stream"), folder("spool")
+    write(f"{path}/in", "1", json.dumps(body({})) + "\nnot json\n" + json.dumps(body({})[0]))
+    out = folder("out")
+    stream = stream_event_lines(spark, f"{path}/in").writeStream.option("checkpointLocation", f"{path}/checkpoint")
+    stream.trigger(availableNow=True).format("parquet").start(out).awaitTermination()
+    assert rows(spark.read.parquet(out), "uuid", "corrupt_body") == [("1", None), ("1", None), (None, "not json")]
+
+
 def test_backlog_goes_from_batch_to_batch(spark, folder):
     path, out = folder("stream"), folder("backlog")
     for n, count in enumerate([5, 9, 1]):

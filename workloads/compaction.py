@@ -118,7 +118,7 @@ def _(t):
 
 # Targets as they are: those of hour 04 are missing, those of hour 03 have another size.
 OBJECTS_SQL = f"SELECT {G}, ordinal, CAST(sum(size) AS BIGINT) AS size FROM ({fx.PARTS}) p GROUP BY {G}, ordinal"
-TARGETS_SQL = f"""SELECT concat('s3://target/', event_type, '/', date, '/', hour, '.', size_class, '.', lpad(CAST(ordinal AS VARCHAR(20)), 5, '0'), '.json.snappy') AS location,
+TARGETS_SQL = f"""SELECT concat('s3://target/', event_type, '/', date, '/', hour, '.', size_class, '.', lpad(CAST(ordinal AS VARCHAR(20)), greatest(5, length(CAST(ordinal AS VARCHAR(20)))), '0'), '.json.snappy') AS location,
     CASE WHEN hour = '03' THEN size + 1 ELSE size END AS size FROM ({OBJECTS_SQL}) o WHERE hour <> '04'"""
 
 
