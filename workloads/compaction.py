@@ -315,10 +315,10 @@ def _(t):
     return after.where(place == F.col("status")).groupBy(named.alias("event_type"), place.alias("status")).agg(F.sum("n_records").alias("n_records"))
 
 
-def written_batches(t) -> str:
+def written_batches(t, text=fx.ENVELOPE) -> str:
     """Request bodies as files to stream in."""
     path = scratch_path(t.spark, "arriving")
-    bodies(t).select("body").write.text(path)
+    bodies(t, text).select("body").write.text(path)
     return path
 
 
@@ -337,6 +337,52 @@ def _(t):
     return lines.groupBy("event_type", "date", "hour").agg(F.count("*").alias("n_events"))
 
 
+def reported(t, kind: str):
+    """What a stream of faulty events reports."""
+    root = scratch_path(t.spark, "reports")
+    stream = stream_events(t.spark, written_batches(t, fx.FAULTY_BODIES))
+    spool, checkpoint = scratch_path(t.spark, "spool"), scratch_path(t.spark, "checkpoint")
+    run_ingest(stream, checkpoint, fx.ACCEPTED, spool, trigger={"availableNow": True}, reports=root).awaitTermination()
+    return t.spark.read.parquet(f"{root}/{kind}")
+
+
+WANTED_SQL = f"SELECT * FROM ({fx.FAULTY_BODIES}) x WHERE type IS NULL OR type IN {fx.ACCEPTED_SQL}"
+MISSING_SQL = " UNION ALL ".join(
+    f"SELECT '{field}' AS field, 'is missing' AS message FROM ({WANTED_SQL}) w WHERE {column} IS NULL"
+    for field, column in (("type", "type"), ("uuid", "uuid"), ("host", "host"), ("timestamp", "event_ts"), ("data", "data"))
+)
+
+
+@query(
+    "stream_rejects",
+    f"""SELECT field, message, count(*) AS n_events FROM (
+        {MISSING_SQL} UNION ALL
+        SELECT 'data', 'is no JSON object' FROM ({WANTED_SQL}) w WHERE data LIKE '"%' OR data LIKE '[%') p GROUP BY 1, 2""",
+)
+def _(t):
+    """Why events of a stream cannot be stored."""
+    found = reported(t, "rejects").select(F.explode("problems").alias("p")).select("p.field", "p.message")
+    return found.groupBy("field", "message").agg(F.count("*").alias("n_events"))
+
+
+@query(
+    "stream_verdicts",
+    f"""WITH b AS (
+        SELECT batch_id, count(*) AS n_events,
+               string_agg(DISTINCT CASE WHEN type IS NULL THEN 'null' WHEN type NOT IN {fx.ACCEPTED_SQL} THEN type END, ', '
+                          ORDER BY CASE WHEN type IS NULL THEN 'null' WHEN type NOT IN {fx.ACCEPTED_SQL} THEN type END) AS bad
+        FROM ({fx.FAULTY_BODIES}) x GROUP BY batch_id)
+    SELECT CASE WHEN bad IS NULL THEN 202 ELSE 400 END AS http_status,
+           CASE WHEN bad IS NOT NULL THEN concat('Unsupported event type(s): ', bad) END AS message,
+           CAST(sum(n_events) AS BIGINT) AS n_events, count(*) AS n_batches
+    FROM b GROUP BY 1, 2""",
+)
+def _(t):
+    """Answers to the batches of a stream."""
+    verdicts = reported(t, "verdicts").groupBy("http_status", "message")
+    return verdicts.agg(F.sum("n_events").alias("n_events"), F.count("*").alias("n_batches"))
+
+
 @query(
     "stream_backlog",
     f"""WITH a AS (SELECT event_type AS flow_id, count(*) AS n FROM events WHERE event_type IN {fx.ACCEPTED_SQL} GROUP BY 1)

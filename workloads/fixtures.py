@@ -36,6 +36,11 @@ SELECT CAST(floor(event_id / 50) AS BIGINT) AS batch_id, event_id AS seq,
        CASE WHEN event_id % 67 = 0 THEN NULL ELSE props END AS data
 FROM events"""
 
+# Faulty events in bodies: some payloads are JSON, but no objects.
+FAULTY_BODIES = FAULTY.replace(
+    "% 67 = 0 THEN NULL", """% 67 = 0 THEN NULL WHEN event_id % 61 = 0 THEN '"text"' WHEN event_id % 59 = 0 THEN '[1]'"""
+)
+
 ANNOUNCEMENTS = """
 SELECT s_suppkey AS ann_id,
        CASE WHEN s_suppkey % 23 = 0 THEN NULL WHEN s_suppkey % 19 = 0 THEN ''

@@ -50,9 +50,9 @@ def _(t):
     return explode_batches(bodies(t)).select("batch_id", F.col("seq").cast("bigint"), "type", "uuid", "host", ts_text(), k_value())
 
 
-def bodies(t):
+def bodies(t, text=fx.ENVELOPE):
     """Request bodies: JSON arrays of up to 50 events."""
-    lines = fx.envelope(t).select(F.floor(F.col("seq") / 50).alias("batch_id"), "seq", event_line().alias("line"))
+    lines = fx.envelope(t, text).select(F.floor(F.col("seq") / 50).alias("batch_id"), "seq", event_line().alias("line"))
     batches = lines.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("e"))
     return batches.select("batch_id", F.concat(F.lit("["), F.array_join("e.line", ","), F.lit("]")).alias("body"))
 
