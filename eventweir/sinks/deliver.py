@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventweir.operators.delivery import delivery_outcome
@@ -40,16 +40,30 @@ def deliver(
 
     The taps of a flow are tried in turn from a start that depends on the batch
     only; 2xx and 4xx end the batch.  Flows that want retries get up to
-    ``retry_count`` more rounds, ``retry_delay`` seconds apart.  Batches are
-    sent in parallel, a batch by one task.
+    ``retry_count`` more rounds, ``retry_delay`` seconds apart.
 
     ``tap_state`` (flow, ``established`` URIs, ``dropped`` so far) comes from the
     attempts before this call: batches to a tap that is not established carry
     the first-batch mark, and the flow's first batch reports what was dropped.
 
+    So batches go in two waves, those of a wave in parallel, a batch by one
+    task.  The first wave tries every tap that is not established with one
+    batch, and reports drops.  The second, all the rest, knows what the first
+    established and lost.
+
     Delivery is at least once: a batch whose task is lost is sent again.
     Everything is sent, and the attempts are stored, when this returns.
     """
+    first = small_table(_pilots(batches, flows, tap_state), "pilots")
+    if not first.take(1):
+        return _send_wave(batches, flows, transport, tap_state, retry_count, retry_delay)
+    pilots = _send_wave(batches, flows, transport, tap_state, retry_count, retry_delay, first, "left_semi")
+    state = small_table(next_tap_state(pilots, flows, tap_state), "tap-state")
+    return pilots.unionByName(_send_wave(batches, flows, transport, state, retry_count, retry_delay, first, "left_anti"))
+
+
+def _targets(flows: DataFrame, tap_state: DataFrame | None) -> DataFrame:
+    """Flows with the taps that answered before and what was dropped since."""
     none, zero = F.expr("CAST(array() AS array<string>)"), F.lit(0).cast("bigint")
     targets = flows.select(*FLOW, "destinations", "qos_enabled")
     if tap_state is None:
@@ -57,13 +71,48 @@ def deliver(
     else:
         targets = targets.join(tap_state.select(*FLOW, "established", "dropped"), FLOW, "left")
         targets = targets.withColumns({"established": F.coalesce("established", none), "dropped": F.coalesce("dropped", zero)})
+    return targets
+
+
+def _start() -> Column:
+    return F.pmod(F.xxhash64(*FLOW, "batch_id"), F.size("destinations"))
+
+
+def _pilots(batches: DataFrame, flows: DataFrame, tap_state: DataFrame | None) -> DataFrame:
+    """The first batch to each tap that is not established, and of each flow with drops."""
+    keys = FLOW if "flow_id" in batches.columns else ["event_type"]
+    numbers = batches.select(*keys, "batch_id").distinct()
+    targets = small_table(_targets(flows, tap_state), "targets")
+    tried = join_small(numbers, targets, keys, ["batch_id"]).withColumn("uri", F.get("destinations", _start().cast("int")))
+    new = tried.where(~F.array_contains("established", F.col("uri"))).groupBy(*FLOW, "uri").agg(F.min("batch_id").alias("batch_id"))
+    reporting = tried.where("dropped > 0").groupBy(*FLOW).agg(F.min("batch_id").alias("batch_id"))
+    return new.select(*FLOW, "batch_id").union(reporting).distinct()
+
+
+def _send_wave(
+    batches: DataFrame,
+    flows: DataFrame,
+    transport: Transport,
+    tap_state: DataFrame | None,
+    retry_count: int,
+    retry_delay: float,
+    pilots: DataFrame | None = None,
+    how: str = "left_semi",
+) -> DataFrame:
+    """Send the batches of one wave, chosen by ``pilots``, in parallel."""
+    targets = _targets(flows, tap_state)
     # A batch is bounded by the batch size, so it may become one row; flows are
     # joined to batches, not to events.
     keys = FLOW if "flow_id" in batches.columns else ["event_type"]
     whole = batches.groupBy(*keys, "batch_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("entries"))
-    first = batches.groupBy(*keys).agg(F.min("batch_id").alias("first_batch_id"))
-    targets = small_table(targets.join(first, keys), "targets")
+    targets = small_table(targets, "targets")
     joined = join_small(whole, targets, keys, ["batch_id"])
+    numbers = join_small(batches.select(*keys, "batch_id").distinct(), targets.select(*FLOW), keys, ["batch_id"])
+    if pilots is not None:
+        joined = join_small(joined, pilots, [*FLOW, "batch_id"], ["batch_id"], how)
+        numbers = join_small(numbers, pilots, [*FLOW, "batch_id"], ["batch_id"], how)
+    first = small_table(numbers.groupBy(*FLOW).agg(F.min("batch_id").alias("first_batch_id")), "first-batches")
+    joined = join_small(joined, first, FLOW, ["batch_id"])
     ready = joined.select(
         *FLOW,
         "batch_id",
@@ -71,7 +120,7 @@ def deliver(
         "established",
         F.when(F.col("qos_enabled"), retry_count).otherwise(0).alias("retries"),
         F.when(F.col("batch_id") == F.col("first_batch_id"), F.col("dropped")).otherwise(0).alias("dropped"),
-        F.pmod(F.xxhash64(*FLOW, "batch_id"), F.size("destinations")).alias("start"),
+        _start().alias("start"),
         F.col("entries.line").alias("lines"),
     )
 

@@ -23,7 +23,7 @@ from eventweir.plans.flow_table import FlowTable
 from eventweir.plans.ingest import ingest, line_batches, spool_sink
 from eventweir.schema import FLOW, TAP_STATE
 from eventweir.session import written_table
-from eventweir.sinks.deliver import RETRY_COUNT, RETRY_DELAY, Transport, deliver, next_tap_state
+from eventweir.sinks.deliver import RETRY_DELAY, Transport, deliver, next_tap_state
 
 MAX_BUFFER_TIME = "1 minute"
 
@@ -100,13 +100,14 @@ def delivery_tap(
     now: Callable[[], int],
     max_batch: int = MAX_BATCH,
     capacity: int | None = None,
-    retry_count: int = RETRY_COUNT,
+    retry_count: int = 0,
     retry_delay: float = RETRY_DELAY,
 ) -> Callable[[DataFrame, int], None]:
     """A tap that delivers every micro-batch to the flows of the moment.
 
     Each micro-batch first sends what earlier ones could not deliver, then its
-    own events; what is lost waits for the next one.  With a ``capacity`` no
+    own events; what is lost waits for the next one, which is the next round of
+    retries, so no task sleeps unless ``retry_count`` asks for it.  With a ``capacity`` no
     more events than that wait per flow, and ``drops`` counts, per flow and
     micro-batch, those that found no room.  A flow that is gone or changed its retry setting loses what
     waits for it.  Below ``root``, by micro-batch: ``attempts``, ``waiting`` and
