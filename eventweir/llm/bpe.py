@@ -46,7 +46,7 @@ def byte_characters() -> dict[str, int]:
 class Bpe:
     """A vocabulary as arrays, and the words encoded so far."""
 
-    def __init__(self, path: str, max_words: int = 200_000):
+    def __init__(self, path: str, max_words: int = 100_000):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model, of = spec["model"], byte_characters()
@@ -72,9 +72,9 @@ class Bpe:
         self.words = regex.compile(WORDS)
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.max_words = max_words
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         """Start the table of known words anew, special tokens first."""
         self.index: dict[str | tuple[str], int] = {(s,): i for i, s in enumerate(self.special)}
         self.ids = np.array(list(self.special.values()), np.int32)
@@ -84,7 +84,7 @@ class Bpe:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts in one array, and how many each text has."""
         if len(self.index) > self.max_words:
-            self._forget()
+            self.forget()
         parts = [self._parts(t or "") for t in texts]
         self._learn(parts)
         known = self.index
@@ -173,6 +173,12 @@ def vocabulary(path: str) -> Bpe:
     return Bpe(path)
 
 
+def release(bpe: Bpe) -> None:
+    """At a task's end: the worker process lives on, and serves other operators."""
+    bpe.forget()
+    pa.default_memory_pool().release_unused()
+
+
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Replace the column ``text`` by its token ids, an array of int; other columns stay."""
     others = [c for c in df.columns if c != text]
@@ -185,6 +191,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
                 offsets = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*[column(chunk, c) for c in others], lists], [*others, ids])
+        release(bpe)
 
     schema = ", ".join(filter(None, [fields(df, *others), f"`{ids}` array<int>"]))
     return df.mapInArrow(run, schema)
@@ -202,5 +209,6 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> Da
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             texts = pa.array(bpe.decode(flat, count), pa.string())
             yield pa.RecordBatch.from_arrays([*[column(batch, c) for c in others], texts], [*others, text])
+        release(bpe)
 
     return df.mapInArrow(run, f"{fields(df, *others)}, `{text}` string")

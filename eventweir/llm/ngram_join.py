@@ -42,7 +42,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventweir.llm.bpe import gather
@@ -54,6 +54,8 @@ U64 = np.uint64
 
 #: Sets that may share a piece before their rarer pieces are indexed.
 MANY = 50
+#: Counters of shingles for the order of rare ones.
+BUCKETS = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -374,25 +376,49 @@ def pieces_of(sets: DataFrame, join: Join) -> DataFrame:
     return rows.distinct().withColumn("rank", F.lit(0))
 
 
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of the sets fall into each of ``BUCKETS`` buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            flat = np.frombuffer(b"".join(column(batch, "shingles").to_pylist()), U64)
+            total += np.bincount((flat % U64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["bucket", "n"])
+
+    counts = sets.select("shingles").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    out = np.zeros(BUCKETS, np.int64)
+    for bucket, n in counts.collect():  # BUCKETS rows at most
+        out[bucket] = n
+    return out
+
+
 def rare_shingles_of(sets: DataFrame, join: Join) -> DataFrame:
-    """``key, cls, n, rank`` for the shingles of each set that fewest of the sets have.
+    """``key, cls, n, rank`` for the shingles of each set that come first in a
+    common order, those in rarely used buckets.
 
-    This is the finest partition: each segment holds one shingle.  The rarest
-    come first in the common order, and a shingle's rank bounds what two sets
-    can share if it is the first they share."""
+    This is the finest partition: each segment holds one shingle.  Any common
+    order finds all links, rare shingles first finds few others.  A shingle's
+    rank bounds what two sets can share if it is the first they share."""
+    counts = shingle_counts(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, n = np.frombuffer(b"".join(column(batch, "shingles").to_pylist()), np.int64), column(batch, "n")
-            of = pa.array(np.repeat(np.arange(len(n)), n.to_numpy()))
-            yield pa.RecordBatch.from_arrays([pa.array(flat), column(batch, "cls").take(of), n.take(of)], ["key", "cls", "n"])
-
-    rows = written_table(sets.select("cls", "n", "shingles").mapInArrow(run, "key bigint, cls bigint, n bigint"), "shingles")
-    counted = rows.join(rows.groupBy("key").agg(F.count("*").alias("sets")), "key")
-    rank = F.row_number().over(Window.partitionBy("cls").orderBy("sets", "key")) - 1
-    needed = F.col("n") - F.ceil(F.col("n") * join.similarity / 100)
-    # A shingle of one set alone finds nobody.
-    return counted.withColumn("rank", rank).where((F.col("rank") <= needed) & (F.col("sets") > 1)).drop("sets")
+            keys, of, ranks = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, shingles in enumerate(column(batch, "shingles")):
+                own = np.frombuffer(shingles.as_buffer(), U64)
+                used = counts[(own % U64(BUCKETS)).astype(np.int64)]
+                first = np.lexsort((own, used))[: len(own) - join.smallest(len(own)) + 1]
+                rank = np.flatnonzero(used[first] > 1)  # else no other set has the shingle
+                keys.append(own[first[rank]])
+                of.append(np.full(len(rank), i))
+                ranks.append(rank)
+            keys, of, ranks = np.concatenate(keys), pa.array(np.concatenate(of)), np.concatenate(ranks)
+            columns = [pa.array(keys.view(np.int64)), column(batch, "cls").take(of), column(batch, "n").take(of), pa.array(ranks)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "cls", "n", "rank"])
+
+    return sets.select("cls", "n", "shingles").mapInArrow(run, "key bigint, cls bigint, n bigint, rank bigint")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
@@ -448,18 +474,23 @@ class Search:
     tested: list[DataFrame] = field(default_factory=list)
 
     def mixed(self, pieces: DataFrame) -> DataFrame:
-        """The pieces that lie in more than one component, with ``label``, stored."""
-        labelled = pieces.select("key", "cls", "n", "rank").join(self.labels, "cls")
+        """The pieces that lie in more than one component, stored."""
+        labelled = pieces.join(self.labels, "cls")
         mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-        return written_table(labelled.join(mixed.select("key"), "key"), "mixed-pieces")
+        return written_table(pieces.join(mixed.select("key"), "key", "left_semi"), "mixed-pieces")
 
     def test(self, pairs: DataFrame) -> int:
         """Verify pairs that were not verified before; how many sets changed their component."""
         pairs = pairs.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
         for before in self.tested:
             pairs = pairs.join(before, ["a", "b"], "left_anti")
-        found = written_table(verified(pairs, self.sets, self.join), "verified")
-        self.tested.append(found.select("a", "b"))
+        pairs = written_table(pairs, "tested")
+        self.tested.append(pairs)
+        sets = self.sets
+        if pairs.count() * 64 <= BROADCAST_BYTES:  # else the semi join would move all sets once more
+            ids = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+            sets = sets.join(F.broadcast(ids), "cls", "left_semi")
+        found = written_table(verified(pairs, sets, self.join), "verified")
         self.labels, moves = merge_labels(self.labels, found.where("linked").select("a", "b"))
         return moves
 
@@ -467,25 +498,34 @@ class Search:
         """The pieces that are still mixed after pairing their sets with hubs.
 
         While there would be more than ``each`` pairs across components for
-        every row, all sets of a piece are paired with one of another component,
-        as long as that moves at least a share of ``least`` of the sets."""
-        turn, n_sets = 0, self.sets.count()
+        every row, each set is paired with a hub of one of its pieces, as long
+        as that moves at least a share of ``least`` of the sets."""
+        pieces, turn, n_sets = self.mixed(pieces), 0, self.sets.count()
         while True:
-            pieces = self.mixed(pieces)
-            sizes = pieces.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key")
-            sizes = sizes.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
-            rows, pairs = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)).first()
+            labelled = pieces.join(self.labels, "cls")
+            row = F.struct(*[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "rank", "label")])
+            some = F.min_by(row, F.xxhash64("cls", F.lit(turn))).alias("hub")
+            per_label = labelled.groupBy("key", "label").agg(F.count("*").alias("n"), some)
+            per_key = per_label.groupBy("key").agg(
+                F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count("*").alias("labels")
+            )
+            per_key = per_key.where("labels > 1").withColumn("pairs", (F.col("n") * F.col("n") - F.col("within")) / 2)
+            rows, pairs = per_key.agg(F.sum("n"), F.sum("pairs")).first()
             if not rows or pairs <= each * rows:
                 return pieces
             turn += 1
-            row = F.struct(*[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "rank", "label")])
-            hub = pieces.groupBy("key").agg(F.min_by(row, F.xxhash64("cls", F.lit(turn))).alias("hub")).select("key", "hub.*")
-            found = _named(pieces, "b").join(hub, "key").where((F.col("label_a") != F.col("label_b")) & self.join.fits("a", "b"))
-            if self.test(found) <= least * n_sets:
-                return self.mixed(pieces)
+            # Every set is paired by one of its pieces, with a set of the piece's
+            # largest component, other ones every time.
+            one = labelled.groupBy("cls").agg(F.max_by(F.struct("key", "n", "rank", "label"), F.xxhash64("key", F.lit(turn))).alias("p"))
+            one = one.select("cls", "p.*")
+            hub = per_label.groupBy("key").agg(F.max_by("hub", F.struct("n", "label")).alias("hub")).select("key", "hub.*")
+            found = _named(one, "b").join(hub, "key").where((F.col("label_a") != F.col("label_b")) & self.join.fits("a", "b"))
+            if self.test(found) <= least * n_sets and turn >= 4:
+                return pieces
 
     def across(self, pieces: DataFrame) -> None:
         """Verify all pairs that share a piece, lie in different components and can link."""
+        pieces = pieces.join(self.labels, "cls")
         pairs = _named(pieces, "a").join(_named(pieces, "b"), "key")
         self.test(pairs.where((F.col("label_a") < F.col("label_b")) & self.join.fits("a", "b")))
 
@@ -521,7 +561,7 @@ def components(docs: DataFrame, join: Join = Join(), text: str = "text", doc_id:
     search.across(pieces.join(often, "key", "left_anti"))
     if often.take(1):
         crowded = pieces.join(often, "key", "left_semi").select("cls").distinct()
-        rare = rare_shingles_of(sets.join(crowded, "cls", "left_semi"), join)
+        rare = rare_shingles_of(written_table(sets.join(crowded, "cls", "left_semi"), "crowded-sets"), join)
         search.across(search.hubs(rare))
     # Equal sets without any link are a component too.
     of_class = search.labels.select(F.col("cls").alias("c1"), "label")

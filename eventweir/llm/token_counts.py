@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventweir.llm.bpe import Bpe, vocabulary
+from eventweir.llm.bpe import Bpe, release, vocabulary
 from eventweir.llm.text import column, fields, text_chunks
 
 RULES = ("most", "first")
@@ -85,6 +85,7 @@ def count_sections(df: DataFrame, path: str, rule: str = "most", text: str = "te
                 of = pa.array(rows["doc"])
                 values = [pa.array(rows[m].astype(np.int64)) for m in made]
                 yield pa.RecordBatch.from_arrays([*[column(chunk, c).take(of) for c in others], *values], [*others, *made])
+        release(bpe)
 
     return df.mapInArrow(run, ", ".join(filter(None, [fields(df, *others), *[f"{m} bigint" for m in made]])))
 

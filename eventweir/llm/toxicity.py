@@ -276,7 +276,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
         for batch in batches:
             for chunk in text_chunks(batch, text):
                 found = [words_of(t) for t in column(chunk, text).to_pylist()]
-                if len(known) > 200_000:
+                if len(known) > 100_000:
                     known.clear()
                 new = list(set().union(*found) - known.keys())
                 known.update(zip(new, model.word_scores(new).tolist(), strict=True))
