@@ -38,6 +38,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -482,8 +483,8 @@ class Search:
     def test(self, pairs: DataFrame) -> int:
         """Verify pairs that were not verified before; how many sets changed their component."""
         pairs = pairs.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
-        for before in self.tested:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        if self.tested:
+            pairs = pairs.join(reduce(DataFrame.union, self.tested), ["a", "b"], "left_anti")
         pairs = written_table(pairs, "tested")
         self.tested.append(pairs)
         sets = self.sets
