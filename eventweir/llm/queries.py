@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventweir.llm import bpe, decontaminate, line_dedup, ngram_join, quotations, secret_scan, spot_signatures, token_counts, toxicity, warc
+from eventweir.llm import (
+    bpe,
+    decontaminate,
+    hard_negatives,
+    line_dedup,
+    ngram_join,
+    quality,
+    quotations,
+    secret_scan,
+    spelling,
+    spot_signatures,
+    token_counts,
+    toxicity,
+    warc,
+)
 from eventweir.llm.text import session
 from eventweir.session import scratch_path
 
@@ -223,6 +237,99 @@ def op8(spark, table):
     )
 
 
+@query(
+    "op11_hard_negatives",
+    """
+    WITH usable AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+               CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+        FROM usable a JOIN usable b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    positives AS (
+        SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+    SELECT p.anchor_id, positive_id,
+           CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.other_id) AS INTEGER) AS rank,
+           n.other_id AS negative_id, positive_score, n.score AS negative_score
+    FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same
+     AND 30 * positive_score <= 100 * n.score AND 100 * n.score <= 90 * positive_score
+    QUALIFY rank <= 10""",
+)
+def op11(spark, table):
+    """Hard negatives for every anchor and positive, a hundredth of the rows against all."""
+    rows = table("embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = hard_negatives.mine(rows.withColumn("label", noisy), F.col("vec_id") % 100 == 0)
+    return found.drop("anchor_row")
+
+
+#: The table of the checksum that crc32 takes a byte at a time.
+CRC_TABLE = """
+    crc_bits AS (
+        SELECT i, 0 AS step, i::BIGINT AS c FROM range(256) t(i)
+        UNION ALL SELECT i, step + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_bits WHERE step < 8),
+    crc_table AS (SELECT list(c ORDER BY i) AS t FROM crc_bits WHERE step = 8)"""
+
+
+@query(
+    "op12_spelling_variants",
+    f"""
+    WITH RECURSIVE {CRC_TABLE},
+    runs AS (
+        SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+               unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-z\u00C0-\u00FF]+')) AS run
+        FROM documents),
+    counted AS (SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+    coded AS (SELECT id, run, n, hex(encode(id || ':' || run)) AS h FROM counted),
+    checked AS (
+        SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(h) // 2), lambda i:
+                   CAST('0x' || h[2 * i + 1 : 2 * i + 2] AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc
+        FROM coded, crc_table),
+    spoilt AS (
+        SELECT CASE WHEN crc % 31 = 0 THEN run[1 : crc % length(run)] || run[crc % length(run) + 2 :] ELSE run END AS word, n FROM checked),
+    words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spoilt WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+    places AS (SELECT word, n, unnest(range(0, length(word))) AS i FROM words),
+    shortened AS (SELECT word, n, i, word[1 : i] || word[i + 2 :] AS rest FROM places),
+    pairs AS (
+        SELECT a.word AS a, b.word AS b FROM shortened a JOIN shortened b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+        UNION SELECT a.word, b.word FROM shortened a JOIN words b ON a.rest = b.word
+        UNION SELECT b.word, a.word FROM shortened a JOIN words b ON a.rest = b.word),
+    near AS (
+        SELECT a, count(*) AS n_near, first(b ORDER BY n DESC, b) AS form, max(n) AS form_n FROM pairs JOIN words ON b = word GROUP BY a),
+    formed AS (
+        SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * n THEN form END AS form,
+               CASE WHEN form_n >= 10 * n THEN form_n END AS form_n
+        FROM words LEFT JOIN near ON word = a),
+    ways(word, root) AS (
+        SELECT word, word FROM words
+        UNION ALL SELECT ways.word, formed.form FROM ways JOIN formed ON ways.root = formed.word AND formed.form IS NOT NULL)
+    SELECT formed.word, formed.form, ways.root, formed.n, formed.n_near, formed.form_n
+    FROM formed JOIN ways ON formed.word = ways.word
+    JOIN formed r ON ways.root = r.word AND r.form IS NULL""",
+)
+def op12(spark, table):
+    """Words with the more frequent spelling that each is a variant of."""
+    how = spelling.Spelling(min_chars=7, min_count=2, times=10, spoil=31)
+    return spelling.variants(table("documents").select("doc_id", "text"), how)
+
+
+@query("op13_quality")
+def op13(spark, table):
+    """Documents that rules, weighed by how they agree, hold to be good."""
+
+    def base_failed():
+        return (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+
+    judged = quality.judge(table("documents").select("doc_id", "text"), must=lambda: ~base_failed())
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *base, base_failed().alias("base_failed"), "kept", "quality")
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, table):
     """The stages of the corpus pipeline, one after the other."""

@@ -49,5 +49,5 @@ def test_stages_keep_the_columns(spark, folder_of_tables):
 
 
 def test_every_operator_has_a_query():
-    assert {int(name[2:].split("_")[0]) for name in queries.QUERIES if name.startswith("op")} == set(range(1, 11))
+    assert {int(name[2:].split("_")[0]) for name in queries.QUERIES if name.startswith("op")} == set(range(1, 14))
     assert "pipeline" in queries.QUERIES
