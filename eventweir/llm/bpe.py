@@ -212,3 +212,24 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> Da
         release(bpe)
 
     return df.mapInArrow(run, f"{fields(df, *others)}, `{text}` string")
+
+
+def encode_and_decode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", max_bytes: int = 1_000_000) -> DataFrame:
+    """``encode``, then ``decode``, in one pass: ``ids`` and the decoded ``text`` beside the other columns.
+
+    A column of ``df`` named as ``ids`` is replaced."""
+    others = [c for c in df.columns if c not in (text, ids)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = vocabulary(path)
+        for batch in batches:
+            for chunk in text_chunks(batch, text, max_bytes):
+                flat, count = bpe.encode(column(chunk, text).to_pylist())
+                offsets = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32)))
+                texts = pa.array(bpe.decode(flat.astype(np.int64), count), pa.string())
+                yield pa.RecordBatch.from_arrays([*[column(chunk, c) for c in others], lists, texts], [*others, ids, text])
+        release(bpe)
+
+    schema = ", ".join(filter(None, [fields(df, *others), f"`{ids}` array<int>, `{text}` string"]))
+    return df.select(*others, text).mapInArrow(run, schema)

@@ -57,6 +57,8 @@ U64 = np.uint64
 MANY = 50
 #: Counters of shingles for the order of rare ones.
 BUCKETS = 1 << 18
+#: Bytes of text hashed at once; the arrays for them take some forty times as much.
+CHUNK = 1_000_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -295,7 +297,7 @@ def indexed(docs: DataFrame, join: Join, max_rows: int = 2_000_000) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, classes, waiting = [], [], 0
         for batch in batches:
-            for chunk in text_chunks(batch, "text"):
+            for chunk in text_chunks(batch, "text", CHUNK):
                 flat, sizes = shingle_sets(column(chunk, "text").to_pylist(), join.k)
                 c1, c2 = class_hashes(flat, sizes)
                 doc = pa.StructArray.from_arrays([column(chunk, "id"), pa.array(sizes), pa.array(c2)], fields=list(DOC))
@@ -353,7 +355,7 @@ def sets_of(docs: DataFrame, join: Join) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in text_chunks(batch, "text"):
+            for chunk in text_chunks(batch, "text", CHUNK):
                 flat, sizes = shingle_sets(column(chunk, "text").to_pylist(), join.k)
                 data = pa.py_buffer(flat.tobytes())
                 offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(sizes) * 8]).astype(np.int32).tobytes())
@@ -377,21 +379,38 @@ def pieces_of(sets: DataFrame, join: Join) -> DataFrame:
     return rows.distinct().withColumn("rank", F.lit(0))
 
 
-def shingle_counts(sets: DataFrame) -> np.ndarray:
-    """How many shingles of the sets fall into each of ``BUCKETS`` buckets."""
+@dataclass(frozen=True)
+class Buckets:
+    """Per bucket of shingles: how many there are, and the smallest and largest
+    component of their sets."""
+
+    used: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+
+def shingle_buckets(sets: DataFrame) -> Buckets:
+    """The buckets of all shingles of some sets with their ``label``."""
+    low_end, high_end = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        used, low, high = np.zeros(BUCKETS, np.int64), np.full(BUCKETS, low_end), np.full(BUCKETS, high_end)
         for batch in batches:
-            flat = np.frombuffer(b"".join(column(batch, "shingles").to_pylist()), U64)
-            total += np.bincount((flat % U64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["bucket", "n"])
-
-    counts = sets.select("shingles").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    out = np.zeros(BUCKETS, np.int64)
-    for bucket, n in counts.collect():  # BUCKETS rows at most
-        out[bucket] = n
+            sizes, label = column(batch, "n").to_numpy(), column(batch, "label").to_numpy()
+            bucket = np.frombuffer(b"".join(column(batch, "shingles").to_pylist()), U64) % U64(BUCKETS)
+            bucket, label = bucket.astype(np.int64), np.repeat(label, sizes)
+            used += np.bincount(bucket, minlength=BUCKETS)
+            np.minimum.at(low, bucket, label)
+            np.maximum.at(high, bucket, label)
+        found = np.flatnonzero(used)
+        columns = [pa.array(found), pa.array(used[found]), pa.array(low[found]), pa.array(high[found])]
+        yield pa.RecordBatch.from_arrays(columns, ["bucket", "used", "low", "high"])
+
+    counts = sets.select("n", "shingles", "label").mapInArrow(run, "bucket bigint, used bigint, low bigint, high bigint")
+    counts = counts.groupBy("bucket").agg(F.sum("used"), F.min("low"), F.max("high"))
+    out = Buckets(np.zeros(BUCKETS, np.int64), np.full(BUCKETS, low_end), np.full(BUCKETS, high_end))
+    for bucket, used, low, high in counts.collect():  # BUCKETS rows at most
+        out.used[bucket], out.low[bucket], out.high[bucket] = used, low, high
     return out
 
 
@@ -401,17 +420,19 @@ def rare_shingles_of(sets: DataFrame, join: Join) -> DataFrame:
 
     This is the finest partition: each segment holds one shingle.  Any common
     order finds all links, rare shingles first finds few others.  A shingle's
-    rank bounds what two sets can share if it is the first they share."""
-    counts = shingle_counts(sets)
+    rank bounds what two sets can share if it is the first they share.  Shingles
+    whose bucket holds sets of one component only can't link components."""
+    buckets = sets.sparkSession.sparkContext.broadcast(shingle_buckets(sets))  # three numbers for each of BUCKETS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = buckets.value
         for batch in batches:
             keys, of, ranks = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, shingles in enumerate(column(batch, "shingles")):
                 own = np.frombuffer(shingles.as_buffer(), U64)
-                used = counts[(own % U64(BUCKETS)).astype(np.int64)]
-                first = np.lexsort((own, used))[: len(own) - join.smallest(len(own)) + 1]
-                rank = np.flatnonzero(used[first] > 1)  # else no other set has the shingle
+                bucket = (own % U64(BUCKETS)).astype(np.int64)
+                first = np.lexsort((own, b.used[bucket]))[: len(own) - join.smallest(len(own)) + 1]
+                rank = np.flatnonzero(b.low[bucket[first]] != b.high[bucket[first]])
                 keys.append(own[first[rank]])
                 of.append(np.full(len(rank), i))
                 ranks.append(rank)
@@ -521,7 +542,7 @@ class Search:
             one = one.select("cls", "p.*")
             hub = per_label.groupBy("key").agg(F.max_by("hub", F.struct("n", "label")).alias("hub")).select("key", "hub.*")
             found = _named(one, "b").join(hub, "key").where((F.col("label_a") != F.col("label_b")) & self.join.fits("a", "b"))
-            if self.test(found) <= least * n_sets and turn >= 4:
+            if self.test(found) <= least * n_sets and turn >= 2:
                 return pieces
 
     def across(self, pieces: DataFrame) -> None:
@@ -562,8 +583,10 @@ def components(docs: DataFrame, join: Join = Join(), text: str = "text", doc_id:
     search.across(pieces.join(often, "key", "left_anti"))
     if often.take(1):
         crowded = pieces.join(often, "key", "left_semi").select("cls").distinct()
-        rare = rare_shingles_of(written_table(sets.join(crowded, "cls", "left_semi"), "crowded-sets"), join)
-        search.across(search.hubs(rare))
+        labelled = sets.join(crowded, "cls", "left_semi").join(search.labels, "cls")
+        rare = rare_shingles_of(written_table(labelled, "crowded-sets"), join)
+        # Ranks rule most of these pairs out, so more of them are cheaper than another hub.
+        search.across(search.hubs(rare, each=32))
     # Equal sets without any link are a component too.
     of_class = search.labels.select(F.col("cls").alias("c1"), "label")
     grouped = members.join(of_class, "c1", "left").select(

@@ -275,15 +275,37 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
         known: dict[str, float] = {}
         for batch in batches:
             for chunk in text_chunks(batch, text):
-                found = [words_of(t) for t in column(chunk, text).to_pylist()]
-                if len(known) > 100_000:
-                    known.clear()
-                new = list(set().union(*found) - known.keys())
-                known.update(zip(new, model.word_scores(new).tolist(), strict=True))
-                scores = np.fromiter(map(known.__getitem__, chain.from_iterable(found)), np.float64)
-                best = highest_windows(scores, np.array([len(f) for f in found], np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [*[column(chunk, c) for c in others], pa.array(model.probabilities(best))], [*others, out]
-                )
+                likely = probabilities(model, column(chunk, text).to_pylist(), known)
+                yield pa.RecordBatch.from_arrays([*[column(chunk, c) for c in others], pa.array(likely)], [*others, out])
 
     return docs.mapInArrow(run, ", ".join(filter(None, [fields(docs, *others), f"`{out}` double"])))
+
+
+def probabilities(model: Model, texts: list[str | None], known: dict[str, float]) -> np.ndarray:
+    """The probability for each text; ``known`` keeps the scores of words, 100,000 and those of one call at most."""
+    found = [words_of(t) for t in texts]
+    if len(known) > 100_000:
+        known.clear()
+    new = list(set().union(*found) - known.keys())
+    known.update(zip(new, model.word_scores(new).tolist(), strict=True))
+    scores = np.fromiter(map(known.__getitem__, chain.from_iterable(found)), np.float64)
+    return model.probabilities(highest_windows(scores, np.array([len(f) for f in found], np.int64)))
+
+
+def likelihood(text: Column, model: Model, max_bytes: int = 1_000_000) -> Column:
+    """The probability that a text is toxic, as a column.
+
+    Only the texts go to Python and only numbers come back; what else the rows
+    hold stays in the JVM."""
+
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, float] = {}
+        for texts in batches:
+            batch = pa.RecordBatch.from_arrays([texts], ["text"])
+            chunks = [probabilities(model, column(c, "text").to_pylist(), known) for c in text_chunks(batch, "text", max_bytes)]
+            yield pa.array(np.concatenate([np.zeros(0), *chunks]))
+        known.clear()
+        pa.default_memory_pool().release_unused()
+
+    return run(text)

@@ -95,3 +95,10 @@ def test_field_counts(table, bpe_path):
 def test_sections_of_nothing(table, bpe_path, awkward):
     assert token_counts.count_sections(table([], "doc_id bigint, text string"), bpe_path).collect() == []
     assert token_counts.count_sections(awkward(["a\nb", None]), bpe_path).count() == 2 + 1 + 2 + 2
+
+
+def test_one_pass_equals_two(awkward, bpe_path):
+    df = awkward(["a b", None, "", "long words " * 3000, "é\U0001f600 <|endoftext|>"]).withColumnRenamed("words", "ids")
+    two = bpe.decode(bpe.encode(df.drop("ids"), bpe_path), bpe_path)
+    one = bpe.encode_and_decode(df, bpe_path, max_bytes=50)
+    assert sorted(map(tuple, one.select(*two.columns).collect()), key=repr) == sorted(map(tuple, two.collect()), key=repr)

@@ -67,6 +67,18 @@ def test_crowded_pieces_are_indexed_again(table, words, monkeypatch):
     assert {tuple(x) for x in n.components(table(rows, "doc_id bigint, text string")).collect()} == brute(rows)
 
 
+def test_crowd_of_texts_that_nearly_link(table, words, monkeypatch):
+    """Many texts whose similarities lie on both sides of the threshold."""
+    monkeypatch.setattr(n, "MANY", 5)
+    r = random.Random(12)
+    text = words(3, 90)
+    texts = [edited(text, r, share) for share in (0.01, 0.02, 0.03, 0.04, 0.05, 0.07, 0.09) for _ in range(14)]
+    rows = list(enumerate(texts))
+    expected = brute(rows)
+    assert 5 < len({c for _, _, c in expected}) < 95
+    assert {tuple(x) for x in n.components(table(rows, "doc_id bigint, text string")).collect()} == expected
+
+
 @pytest.mark.parametrize("similarity", [60, 80, 95])
 def test_linked_sets_share_an_indexed_piece(similarity):
     join, r = n.Join(similarity=similarity), np.random.default_rng(similarity)

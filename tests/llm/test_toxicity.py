@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from eventweir.llm import toxicity as t
 
@@ -69,3 +70,10 @@ def test_columns_stay(awkward, table):
     got = t.score(docs, t.fit([], []))
     assert got.columns == [c for c in docs.columns if c != "score"] + ["score"] and got.count() == 4
     assert t.score(table([], "text string"), t.fit([], [])).collect() == []
+
+
+def test_the_column_equals_the_table(awkward):
+    model = t.fit([text for _, text, _ in corpus(200)], [x for _, _, x in corpus(200)])
+    df = awkward([corpus(3)[0][1], None, "", "x " * 4000, corpus(200)[7][1]])
+    both = t.score(df, model, out="likely").withColumn("same", t.likelihood(F.col("text"), model, max_bytes=20))
+    assert both.where("abs(likely - same) < 1e-9").count() == df.count()  # sums run over other chunks
