@@ -2,7 +2,13 @@
 
 Each stage is a function of ``(spark, docs, sf_dir)``; its result is written as
 Parquet and read again as the next one's ``docs``.  All but the last return the
-columns of ``documents``.
+columns of ``documents``; other columns of the table go in the first stage.
+
+Documents with null or empty texts are not toxic, have no near copies and no
+leaks, so they stay.  Documents without an id stay too, as they can't be named
+as copies.  Repeated rows are copies of each other: those that share the
+smallest id of their component all stay.  Empty tables pass through; without
+labels or benchmark items the stages that need them keep everything.
 """
 
 from __future__ import annotations
@@ -28,8 +34,7 @@ def clean_tone(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the toxicity model rejects."""
     spark = session(spark)
     model = toxicity.train(docs.select("doc_id", "text"), read(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.select(*COLUMNS), model, out="toxicity")
-    return scored.where(F.col("toxicity") < toxicity.THRESHOLD).select(*COLUMNS)
+    return docs.select(*COLUMNS).where(toxicity.likelihood(F.col("text"), model) < toxicity.THRESHOLD)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +62,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and the text they decode to."""
     session(spark)
     path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path), path)
+    coded = bpe.encode_and_decode(docs.select("doc_id", "text"), path)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 
