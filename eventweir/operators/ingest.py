@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventweir.functions.envelope import accept_status, canonical_json
+from eventweir.operators.joins import join_small, small_table
+from eventweir.operators.running import Running, running_before
 from eventweir.schema import ENVELOPE_FIELDS
 
 # Verdict of an event batch.
@@ -101,3 +103,24 @@ def records_per_file(lines: DataFrame, target_bytes: int, keys: list[str], line:
         .agg(F.count("*").alias("records"), size.alias("bytes"))
         .withColumn("records_per_file", F.ceil(F.lit(target_bytes) * F.col("records") / F.col("bytes")))
     )
+
+
+def file_numbers(lines: DataFrame, target_bytes: int, keys: list[str], position: str, line: str = "line") -> DataFrame:
+    """Add ``file``: the lines of each key in order of ``position`` (a unique
+    integer), cut into files of about equal size, as few as ``target_bytes`` allows.
+
+    A line belongs to the file in which it begins.  So a file has no more than
+    the target and one line, and of a key with several files none has less than
+    half the target less one line.  ``lines`` should be stored, as it is read twice.
+
+    A key may hold most lines: their bytes are summed by ranges of positions, and
+    its files can be written by as many tasks.
+    """
+    size = (F.octet_length(F.col(line)) + 1).cast("bigint")
+    totals = lines.groupBy(*keys).agg(F.sum(size).alias("_total"))
+    n_files = F.ceil(F.col("_total") / F.lit(target_bytes)).cast("bigint")
+    share = F.ceil(F.col("_total") / n_files).cast("bigint").alias("_share")
+    shares = small_table(totals.select(*keys, share), "file-shares")
+    placed = running_before(lines, keys, position, {"_begin": Running(size)})
+    placed = join_small(placed, shares, keys, [position])
+    return placed.withColumn("file", F.expr("_begin div _share")).drop("_begin", "_share")

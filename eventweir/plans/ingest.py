@@ -62,14 +62,15 @@ def ingest(
 
     ``sinks`` maps ``spool`` and ``tap`` to what to do with events, and
     ``rejects`` to what to do with those that cannot be stored; their
-    ``problems`` say why.  No other sink gets to see these."""
+    ``problems`` say why.  No other sink gets to see these.  They come first: a
+    sink that refuses them does so before anything is stored or delivered."""
     judged = judged_events(events, accepted, type_pattern)
+    if "rejects" in sinks:
+        sinks["rejects"](judged.where(F.size("problems") > 0))
     wanted = judged.where(F.size("problems") == 0).drop("problems")
     for name in SINKS[process_type]:
         if name in sinks:
             sinks[name](wanted)
-    if "rejects" in sinks:
-        sinks["rejects"](judged.where(F.size("problems") > 0))
 
 
 def post(events: DataFrame, sinks: dict[str, Sink]) -> None:
@@ -85,8 +86,8 @@ def post(events: DataFrame, sinks: dict[str, Sink]) -> None:
         raise ExceptionGroup("posting failed", errors)
 
 
-def spool_sink(root: str, batch_id: int | None = None, max_records: int = 0, codec: str = "snappy") -> Sink:
-    return lambda events: write_spool(events, root, max_records, codec, batch_id)
+def spool_sink(root: str, batch_id: int | None = None, max_records: int = 0, codec: str = "snappy", target_bytes: int = 0) -> Sink:
+    return lambda events: write_spool(events, root, max_records, codec, batch_id, target_bytes)
 
 
 def delivery_batches(events: DataFrame, flows: DataFrame, seq: str, max_batch: int = MAX_BATCH) -> DataFrame:

@@ -6,22 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventweir.functions.envelope import event_line, event_partition
+from eventweir.operators.ingest import file_numbers
 from eventweir.schema import BUCKET
-from eventweir.session import settings
+from eventweir.session import settings, written_table
 
 DEFAULT_CODEC = "snappy"
 
 
-def spool_lines(df: DataFrame) -> DataFrame:
+def spool_lines(df: DataFrame, *others: str) -> DataFrame:
     """Bucket columns and the line of each event.  An event without a type or a
     timestamp belongs to no bucket and is an error."""
     nowhere = F.raise_error(F.lit("an event without type or timestamp has no bucket"))
     df = df.withColumn("type", F.when(F.col("type").isNull() | F.col("timestamp").isNull(), nowhere).otherwise(F.col("type")))
-    return event_partition(df).select(F.col("type").alias("event_type"), "date", "hour", event_line().alias("value"))
+    return event_partition(df).select(F.col("type").alias("event_type"), "date", "hour", event_line().alias("value"), *others)
 
 
 def write_spool(
-    df: DataFrame, root: str, max_records: int = 0, codec: str = DEFAULT_CODEC, batch_id: int | None = None
+    df: DataFrame,
+    root: str,
+    max_records: int = 0,
+    codec: str = DEFAULT_CODEC,
+    batch_id: int | None = None,
+    target_bytes: int = 0,
+    position: str | None = None,
 ) -> None:
     """Write events below ``root`` as ``event_type=/date=/hour=`` line files.
 
@@ -30,9 +37,23 @@ def write_spool(
     is split over as many tasks as its size asks for.  ``max_records`` rolls
     files earlier.  With ``batch_id`` the files go to a folder of that batch,
     which a repeated run of the batch replaces.
+
+    ``target_bytes`` rolls files by the bytes of their lines, see ``file_numbers``:
+    each is a ``file=`` folder's only one, its lines in the order of the integer
+    column ``position`` (or else as they came), a hot bucket cut into as many as
+    its size asks for.
     """
-    lines = spool_lines(df).hint("rebalance", *BUCKET)
     partitions = list(BUCKET)
+    if target_bytes:
+        numbered = spool_lines(df.withColumn("_position", F.col(position) if position else F.monotonically_increasing_id()), "_position")
+        # Generated positions are pinned by storing them.
+        numbered = file_numbers(written_table(numbered, "spool-lines"), target_bytes, BUCKET, "_position", "value")
+        partitions.append("file")
+        # By hash, not a rebalance: that might cut a file in two.
+        lines = numbered.repartition(*partitions).sortWithinPartitions(*partitions, "_position")
+        lines = lines.select(*BUCKET, F.lpad(F.col("file").cast("string"), 6, "0").alias("file"), "value")
+    else:
+        lines = spool_lines(df).hint("rebalance", *BUCKET)
     if batch_id is not None:
         lines = lines.withColumn("batch", F.lit(f"{batch_id:09d}"))
         partitions.append("batch")

@@ -38,13 +38,15 @@ def run_ingest(
     trigger: dict | None = None,
     reports: str | None = None,
     type_pattern: str | None = None,
+    target_bytes: int = 0,
 ) -> StreamingQuery:
     """Spool every micro-batch and hand it to ``tap(events, batch_id)``.
 
     Below ``reports`` every micro-batch leaves, as ``batch=N``: ``rejects``,
     events that cannot be stored and why; ``counts`` per type and status; and
     ``verdicts``, the answer to each batch of events that says where it came in.
-    Without it a micro-batch with such events fails, so that none gets lost.
+    Without it a micro-batch with such events fails, so that none gets lost,
+    before any of it is spooled or handed on.  ``target_bytes`` rolls spool files by size.
 
     All happens under one checkpoint.  A repeated micro-batch replaces its own
     spool files; ``tap`` gets the batch id so that it can do likewise.  By
@@ -55,7 +57,7 @@ def run_ingest(
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            sinks = {"spool": spool_sink(spool_root, batch_id)}
+            sinks = {"spool": spool_sink(spool_root, batch_id, target_bytes=target_bytes)}
             if tap is not None:
                 sinks["tap"] = lambda events: tap(events, batch_id)
             sinks["rejects"] = lambda events: _keep_rejects(events, reports, batch_id)

@@ -78,6 +78,49 @@ def test_a_hot_bucket_is_written_by_several_tasks(spark, folder):
     assert read_spool_lines(spark, root).count() == 60_000
 
 
+def sizes(spark, root):
+    """Lines and bytes of each file, by its folder."""
+    found = spark.read.text(root).select(F.col("_metadata.file_path").alias("path"), "value")
+    return rows(found.groupBy("path").agg(F.count("*").alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes")), "n", "bytes")
+
+
+@pytest.mark.parametrize("target", [400, 1500, 10**6])
+def test_files_are_rolled_by_bytes(spark, table, folder, target):
+    root, line = folder("spool"), 110
+    many = events(table, 300).unionByName(events(table, 3, "Rare")).withColumn("at", F.monotonically_increasing_id())
+    write_spool(many, root, target_bytes=target, position="at")
+    total = {k: v for k, v in rows(read_spool_lines(spark, root).groupBy("event_type", "hour").agg(F.sum(F.octet_length("value") + 1).alias("n")).select(F.concat("event_type", "hour"), "n"))}
+    assert len(sizes(spark, root)) == sum(-(-n // target) for n in total.values())
+    large = [b for _, b in sizes(spark, root) if b > 400]
+    assert all(b <= target + line for _, b in sizes(spark, root))
+    assert target >= 10**6 or all(b >= target / 2 - line for b in large)
+    assert rows(read_event_log(spark, root), "uuid") == rows(many, "uuid")
+
+
+def test_rolled_files_keep_the_order_and_a_hot_bucket_is_cut(spark, folder):
+    root = folder("spool")
+    df = spark.range(20_000).repartition(7).select(
+        F.lit("hot").alias("type"), F.col("id").cast("string").alias("uuid"), F.lit("h").alias("host"),
+        F.lit(dt.datetime(2024, 1, 1)).alias("timestamp"), F.lit("{}").alias("data"), "id",
+    )
+    write_spool(df, root, target_bytes=100_000, position="id")
+    lines = spark.read.text(root).select(F.col("_metadata.file_path").alias("p"), F.get_json_object("value", "$.uuid").cast("int").alias("u"))
+    files = sorted(rows(lines.groupBy("p").agg(F.min("u").alias("a"), F.max("u").alias("b"), F.count("*").alias("n")), "a", "b", "n"))
+    assert len(files) > 10 and [a for a, _, _ in files] == [0, *[b + 1 for _, b, _ in files[:-1]]]
+    assert all(b - a + 1 == n for a, b, n in files)
+    for path, name in [(d, f) for d, _, fs in os.walk(root) for f in fs if f.endswith(".snappy")][:2]:
+        u = [r[0] for r in spark.read.text(f"{path}/{name}").select(F.get_json_object("value", "$.uuid").cast("int")).collect()]
+        assert u == sorted(u)
+
+
+def test_a_repeated_batch_replaces_its_rolled_files(spark, table, folder):
+    root = folder("spool")
+    write_spool(events(table, 40), root, batch_id=1, target_bytes=500)
+    write_spool(events(table, 4), root, batch_id=2, target_bytes=500)
+    write_spool(events(table, 40), root, batch_id=1, target_bytes=500)
+    assert read_spool_lines(spark, root).count() == 44
+
+
 def test_corrupt_files(spark, folder):
     root = folder("staging")
     packed = gzip.compress(GOOD * 2000)

@@ -174,6 +174,23 @@ def test_without_reports_faulty_events_stop_the_stream(spark, folder):
         ingest(spark, path, [], folder("spool"))
 
 
+def test_a_refused_micro_batch_stores_and_delivers_nothing(spark, folder):
+    path, spool, seen = folder("stream"), folder("spool"), []
+    write(f"{path}/in", "1", json.dumps(body({}, {"data": "hello"})))
+    for _ in range(2):
+        with pytest.raises(Exception, match="cannot be stored"):
+            ingest(spark, path, [], spool, lambda events, n: seen.extend(rows(events, "uuid")))
+    assert seen == [] and not os.path.exists(spool)
+
+
+def test_spool_files_of_a_stream_are_rolled_by_bytes(spark, folder):
+    path, spool = folder("stream"), folder("spool")
+    arrive(f"{path}/in", "1", *[("a", str(i), 0) for i in range(50)])
+    ingest(spark, path, [], spool, target_bytes=1000)
+    assert len([f for _, _, fs in os.walk(spool) for f in fs if f.endswith(".snappy")]) > 3
+    assert read_spool_lines(spark, spool).count() == 50
+
+
 def test_type_pattern_is_a_choice(spark, folder):
     path, spool, reports = folder("stream"), folder("spool"), folder("reports")
     write(f"{path}/in", "1", json.dumps(body({"type": "order-placed"})))

@@ -29,7 +29,7 @@ FROM events"""
 FAULTY = """
 SELECT CAST(floor(event_id / 50) AS BIGINT) AS batch_id, event_id AS seq,
        CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_id % 89 = 0 THEN '0bad'
-            WHEN event_id % 83 = 0 THEN 'hello!' ELSE event_type END AS type,
+            WHEN event_id % 83 = 0 THEN 'no-name' ELSE event_type END AS type,
        CASE WHEN event_id % 79 = 0 THEN NULL ELSE CAST(event_id AS VARCHAR(20)) END AS uuid,
        CASE WHEN event_id % 73 = 0 THEN NULL ELSE concat('host', CAST(user_id % 16 AS VARCHAR(20))) END AS host,
        CASE WHEN event_id % 71 = 0 THEN NULL ELSE ts END AS event_ts,

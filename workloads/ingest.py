@@ -222,6 +222,36 @@ def _(t):
     return ops.records_per_file(spool_lines(fx.envelope(t)), 5 * 1024 * 1024, ["event_type"], "value")
 
 
+LINE_SQL = """concat('{"type":"', type, '","uuid":"', uuid, '","host":"', host, '","timestamp":"',
+      strftime(event_ts, '%Y-%m-%dT%H:%M:%S.%fZ'), '","data":', data, '}')"""
+MONTHLY = fx.ENVELOPE.replace("ts AS event_ts", "date_trunc('month', ts) AS event_ts")
+ROLL_BYTES = 16384
+
+
+@query(
+    "roll_by_bytes",
+    f"""WITH l AS (SELECT type AS event_type, strftime(event_ts, '%Y-%m-%d') AS date, seq, {LINE_SQL} AS line FROM ({MONTHLY}) x),
+    s AS (SELECT *, octet_length(encode(line)) + 1 AS n FROM l),
+    t AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY event_type, date ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin,
+                 CAST(sum(n) OVER (PARTITION BY event_type, date) AS BIGINT) AS total FROM s),
+    f AS (SELECT *, (total + {ROLL_BYTES} - 1) // {ROLL_BYTES} AS files FROM t)
+    SELECT event_type, date, lpad(CAST(begin // ((total + files - 1) // files) AS VARCHAR), 6, '0') AS file,
+           CAST(1 AS BIGINT) AS n_files, count(*) AS n_lines, CAST(sum(n) AS BIGINT) AS bytes, min(seq) AS first_seq, max(seq) AS last_seq
+    FROM f GROUP BY ALL""",
+)
+def _(t):
+    """What the files hold that a spool rolls at 16 kB, a bucket for each month."""
+    root = scratch_path(t.spark, "spool")
+    write_spool(fx.envelope(t, MONTHLY), root, target_bytes=ROLL_BYTES, position="seq")
+    lines = t.spark.read.schema("value string, event_type string, date string, hour string, file string").text(root)
+    lines = lines.withColumns({"path": F.col("_metadata.file_path"), "seq": F.get_json_object("value", "$.uuid").cast("bigint")})
+    size = F.sum((F.octet_length("value") + 1).cast("bigint")).alias("bytes")
+    files = lines.groupBy("event_type", "date", "file", "path").agg(F.count("*").alias("n"), size, F.min("seq").alias("a"), F.max("seq").alias("b"))
+    return files.groupBy("event_type", "date", "file").agg(
+        F.count("*").alias("n_files"), F.sum("n").alias("n_lines"), F.sum("bytes").alias("bytes"), F.min("a").alias("first_seq"), F.max("b").alias("last_seq")
+    )
+
+
 @query(
     "hourly_counts",
     f"""SELECT type AS event_type, strftime(date_trunc('hour', event_ts), '%Y-%m-%d %H:%M:%S') AS hour_start, count(*) AS n_events
