@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,32 +35,48 @@ def deliver(
     tap_state: DataFrame | None = None,
     retry_count: int = RETRY_COUNT,
     retry_delay: float = RETRY_DELAY,
+    wait: Callable[[float], None] = time.sleep,
 ) -> DataFrame:
     """Send every batch (``event_type, batch_id, pos, line``) to each flow of its
     type and return the attempts.  With a ``flow_id`` column a batch goes to that flow only.
 
     The taps of a flow are tried in turn from a start that depends on the batch
-    only; 2xx and 4xx end the batch.  Flows that want retries get up to
-    ``retry_count`` more rounds, ``retry_delay`` seconds apart.
+    only; 2xx and 4xx end the batch.  What no tap of a flow that wants retries
+    took is sent again in up to ``retry_count`` more rounds, ``retry_delay``
+    seconds apart.  A round is a job over the batches that are due; between
+    rounds the caller waits, and no task does.
 
     ``tap_state`` (flow, ``established`` URIs, ``dropped`` so far) comes from the
     attempts before this call: batches to a tap that is not established carry
     the first-batch mark, and the flow's first batch reports what was dropped.
 
-    So batches go in two waves, those of a wave in parallel, a batch by one
-    task.  The first wave tries every tap that is not established with one
-    batch, and reports drops.  The second, all the rest, knows what the first
-    established and lost.
+    So the first round goes in two waves.  The first tries every tap that is not
+    established with one batch, and reports drops; the few batches of a flow go
+    one after the other, as failing over may lead them to the same tap, and the
+    mark ends with a tap's first success.  The second sends the rest, all in
+    parallel, and knows what the first established and lost.
 
     Delivery is at least once: a batch whose task is lost is sent again.
     Everything is sent, and the attempts are stored, when this returns.
     """
-    first = small_table(_pilots(batches, flows, tap_state), "pilots")
-    if not first.take(1):
-        return _send_wave(batches, flows, transport, tap_state, retry_count, retry_delay)
-    pilots = _send_wave(batches, flows, transport, tap_state, retry_count, retry_delay, first, "left_semi")
-    state = small_table(next_tap_state(pilots, flows, tap_state), "tap-state")
-    return pilots.unionByName(_send_wave(batches, flows, transport, state, retry_count, retry_delay, first, "left_anti"))
+    targets = small_table(_targets(flows, tap_state), "targets")
+    ready = _ready(batches, targets, retry_count)
+    first = small_table(_pilots(ready, targets), "pilots")
+    waves, state, rest = [], tap_state, ready
+    if first.take(1):
+        waves.append(_send_in_turn(join_small(ready, first, [*FLOW, "batch_id"], ["batch_id"], "left_semi"), targets, transport))
+        state = small_table(next_tap_state(_ended(waves, flows, retry_count), flows, tap_state), "tap-state")
+        rest = join_small(ready, first, [*FLOW, "batch_id"], ["batch_id"], "left_anti")
+    waves.append(_send_wave(rest, flows, transport, state))
+    for _ in range(retry_count):
+        due = small_table(_lost(waves, flows.where("qos_enabled")), "due")
+        if not due.take(1):
+            break
+        wait(retry_delay)
+        state = small_table(next_tap_state(_ended(waves, flows, retry_count), flows, tap_state), "tap-state")
+        again = join_small(ready.drop("tried"), due, [*FLOW, "batch_id"], ["batch_id"])
+        waves.append(_send_wave(again, flows, transport, state))
+    return reduce(DataFrame.unionByName, waves)
 
 
 def _targets(flows: DataFrame, tap_state: DataFrame | None) -> DataFrame:
@@ -78,83 +95,98 @@ def _start() -> Column:
     return F.pmod(F.xxhash64(*FLOW, "batch_id"), F.size("destinations"))
 
 
-def _pilots(batches: DataFrame, flows: DataFrame, tap_state: DataFrame | None) -> DataFrame:
-    """The first batch to each tap that is not established, and of each flow with drops."""
+def _ready(batches: DataFrame, targets: DataFrame, retry_count: int) -> DataFrame:
+    """Whole batches, stored, for each flow they go to.
+
+    A batch is bounded by the batch size, so it may become one row; flows are
+    joined to batches, not to events."""
     keys = FLOW if "flow_id" in batches.columns else ["event_type"]
-    numbers = batches.select(*keys, "batch_id").distinct()
-    targets = small_table(_targets(flows, tap_state), "targets")
-    tried = join_small(numbers, targets, keys, ["batch_id"]).withColumn("uri", F.get("destinations", _start().cast("int")))
+    whole = batches.groupBy(*keys, "batch_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("entries"))
+    whole = written_table(whole.select(*keys, "batch_id", F.col("entries.line").alias("lines")), "batches")
+    joined = join_small(whole, targets.select(*FLOW, "destinations"), keys, ["batch_id"])
+    return joined.select(*FLOW, "batch_id", "lines", "destinations", _start().alias("start"), F.lit(0).alias("tried"))
+
+
+def _pilots(ready: DataFrame, targets: DataFrame) -> DataFrame:
+    """The first batch to each tap that is not established, and of each flow with drops."""
+    state = targets.select(*FLOW, "established", "dropped")
+    tried = join_small(ready.select(*FLOW, "batch_id", F.get("destinations", F.col("start").cast("int")).alias("uri")), state, FLOW, ["batch_id"])
     new = tried.where(~F.array_contains("established", F.col("uri"))).groupBy(*FLOW, "uri").agg(F.min("batch_id").alias("batch_id"))
     reporting = tried.where("dropped > 0").groupBy(*FLOW).agg(F.min("batch_id").alias("batch_id"))
     return new.select(*FLOW, "batch_id").union(reporting).distinct()
 
 
-def _send_wave(
-    batches: DataFrame,
-    flows: DataFrame,
-    transport: Transport,
-    tap_state: DataFrame | None,
-    retry_count: int,
-    retry_delay: float,
-    pilots: DataFrame | None = None,
-    how: str = "left_semi",
-) -> DataFrame:
-    """Send the batches of one wave, chosen by ``pilots``, in parallel."""
-    targets = _targets(flows, tap_state)
-    # A batch is bounded by the batch size, so it may become one row; flows are
-    # joined to batches, not to events.
-    keys = FLOW if "flow_id" in batches.columns else ["event_type"]
-    whole = batches.groupBy(*keys, "batch_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("entries"))
-    targets = small_table(targets, "targets")
-    joined = join_small(whole, targets, keys, ["batch_id"])
-    numbers = join_small(batches.select(*keys, "batch_id").distinct(), targets.select(*FLOW), keys, ["batch_id"])
-    if pilots is not None:
-        joined = join_small(joined, pilots, [*FLOW, "batch_id"], ["batch_id"], how)
-        numbers = join_small(numbers, pilots, [*FLOW, "batch_id"], ["batch_id"], how)
-    first = small_table(numbers.groupBy(*FLOW).agg(F.min("batch_id").alias("first_batch_id")), "first-batches")
-    joined = join_small(joined, first, FLOW, ["batch_id"])
-    ready = joined.select(
-        *FLOW,
-        "batch_id",
-        "destinations",
-        "established",
-        F.when(F.col("qos_enabled"), retry_count).otherwise(0).alias("retries"),
-        F.when(F.col("batch_id") == F.col("first_batch_id"), F.col("dropped")).otherwise(0).alias("dropped"),
-        _start().alias("start"),
-        F.col("entries.line").alias("lines"),
-    )
+def _lost(waves: list[DataFrame], flows: DataFrame) -> DataFrame:
+    """Batches of these flows that no tap took so far, and their tries."""
+    outcomes = delivery_outcome(reduce(DataFrame.unionByName, waves), FLOW).where("status = 'lost'")
+    return outcomes.join(flows.select(*FLOW), FLOW, "left_semi").select(*FLOW, "batch_id", F.col("attempts").alias("tried"))
+
+
+def _ended(waves: list[DataFrame], flows: DataFrame, retry_count: int) -> DataFrame:
+    """Attempts of batches that are done with; what will be sent again is not lost yet."""
+    attempts = reduce(DataFrame.unionByName, waves)
+    if not retry_count:
+        return attempts
+    waiting = small_table(_lost(waves, flows.where("qos_enabled")).drop("tried"), "waiting-batches")
+    return join_small(attempts, waiting, [*FLOW, "batch_id"], ["batch_id"], "left_anti")
+
+
+ATTEMPT_COLUMNS = [c.split()[0] for c in ATTEMPT.split(", ")]
+
+
+def _send_in_turn(pilots: DataFrame, targets: DataFrame, transport: Transport) -> DataFrame:
+    """Send a few batches of every flow, one after the other: one a tap and one that reports drops."""
+    joined = join_small(pilots, targets.select(*FLOW, "established", "dropped"), FLOW, ["batch_id"])
+
+    def send(key, pdf):
+        rows, established, dropped = [], set(pdf["established"].iloc[0]), int(pdf["dropped"].iloc[0])
+        for batch in pdf.sort_values("batch_id").itertuples(index=False):
+            rows.extend(_send_batch(batch, transport, established, dropped))
+            status = rows[-1][5]
+            if status is not None and 200 <= status <= 299:
+                established.add(rows[-1][4])
+                dropped = 0
+            else:
+                dropped += len(batch.lines)
+        return pd.DataFrame(rows, columns=ATTEMPT_COLUMNS)
+
+    return written_table(joined.groupBy(*FLOW).applyInPandas(send, ATTEMPT), "attempts")
+
+
+def _send_wave(ready: DataFrame, flows: DataFrame, transport: Transport, tap_state: DataFrame | None) -> DataFrame:
+    """Send the batches of one wave in parallel."""
+    known = small_table(_targets(flows, tap_state).select(*FLOW, "established", "dropped"), "targets")
+    first = small_table(ready.groupBy(*FLOW).agg(F.min("batch_id").alias("first_batch_id")), "first-batches")
+    joined = join_small(join_small(ready, known, FLOW, ["batch_id"]), first, FLOW, ["batch_id"])
+    report = F.when(F.col("batch_id") == F.col("first_batch_id"), F.col("dropped")).otherwise(0)
 
     def send(frames):
         for pdf in frames:
             rows = []
             for batch in pdf.itertuples(index=False):
-                rows.extend(_send_batch(batch, transport, retry_delay))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ATTEMPT.split(", ")])
+                rows.extend(_send_batch(batch, transport, set(batch.established), int(batch.dropped)))
+            yield pd.DataFrame(rows, columns=ATTEMPT_COLUMNS)
 
     # A row is a whole batch, so a task takes few rows at a time.
-    with settings(batches.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="16"):
-        return written_table(ready.mapInPandas(send, ATTEMPT), "attempts")
+    with settings(ready.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="16"):
+        return written_table(joined.withColumn("dropped", report).drop("first_batch_id").mapInPandas(send, ATTEMPT), "attempts")
 
 
-def _send_batch(batch, transport: Transport, retry_delay: float) -> list[tuple]:
+def _send_batch(batch, transport: Transport, established: set[str], dropped: int) -> list[tuple]:
+    """One round over the taps of a batch, up to the one that answers."""
     taps, start, lines = list(batch.destinations), int(batch.start), list(batch.lines)
-    established, dropped = set(batch.established), int(batch.dropped)
     attempts: list[tuple] = []
-    for round_no in range(int(batch.retries) + 1):
-        for uri in taps[start:] + taps[:start]:
-            first = uri not in established
-            marks = ([FIRST_BATCH] if first else []) + ([DROPPED_MESSAGES.format(dropped)] if dropped else [])
-            try:
-                status = int(transport(uri, {QOS_HEADER: marks} if marks else {}, lines))
-            except Exception:
-                status = None
-            attempts.append(
-                (batch.event_type, batch.flow_id, batch.batch_id, len(attempts) + 1, uri, status, len(lines), first, dropped)
-            )
-            if status is not None and (200 <= status <= 299 or 400 <= status <= 499):
-                return attempts
-        if round_no < batch.retries and retry_delay > 0:
-            time.sleep(retry_delay)
+    for uri in taps[start:] + taps[:start]:
+        first = uri not in established
+        marks = ([FIRST_BATCH] if first else []) + ([DROPPED_MESSAGES.format(dropped)] if dropped else [])
+        try:
+            status = int(transport(uri, {QOS_HEADER: marks} if marks else {}, lines))
+        except Exception:
+            status = None
+        number = int(batch.tried) + len(attempts) + 1
+        attempts.append((batch.event_type, batch.flow_id, batch.batch_id, number, uri, status, len(lines), first, dropped))
+        if status is not None and (200 <= status <= 299 or 400 <= status <= 499):
+            break
     return attempts
 
 

@@ -226,3 +226,39 @@ def test_state_goes_from_one_delivery_to_the_next(table):
     assert rows(state) == [("a", "f", ["u"], 6), ("a", "g", [], 5)]
     three = table([("a", "g", 3, 1, "u", 200, 3), ("a", "f", 3, 1, "v", 200, 3)], schema)
     assert rows(next_tap_state(three, flows, state)) == [("a", "f", ["u", "v"], 0), ("a", "g", ["u"], 0)]
+
+
+def test_a_mark_ends_with_the_first_success_of_a_tap(table):
+    """Batches fail over to the same tap; only the first of them tells it so."""
+    flows = [("a", "f", ["a", "b", "down"], False, 1)]
+    batches = [("a", "f", i, 0, f"line {i}") for i in range(12)]
+    got = sent(table, lambda uri, headers, lines: 503 if uri == "down" else 202, flows, batches)
+    marked = [(r[3], r[4]) for r in got if r[6] and r[3] != "down"]
+    assert sorted(marked) == [("a", 202), ("b", 202)]
+    assert {r[1] for r in got if r[4] == 202} == set(range(12))
+
+
+def test_rounds_wait_outside_of_tasks_and_send_what_is_lost(table, folder):
+    path, waits = folder("calls"), []
+
+    def transport(uri, headers, lines):
+        """Takes a batch when it comes for the third time."""
+        import os
+
+        os.makedirs(f"{path}/{lines[0]}/{len(os.listdir(f'{path}/{lines[0]}')) if os.path.exists(f'{path}/{lines[0]}') else 0}")
+        return 202 if len(os.listdir(f"{path}/{lines[0]}")) == 3 or lines[0] == "x" else 503
+
+    flows = table([("a", "f", ["u"], True, 1), ("b", "g", ["v"], False, 1)], FLOWS)
+    batches = table([("a", "f", 1, 0, "x"), ("a", "f", 2, 0, "y"), ("b", "g", 1, 0, "z")], BATCHES)
+    out = rows(deliver(batches, flows, transport, retry_count=5, retry_delay=7.5, wait=waits.append))
+    assert waits == [7.5, 7.5]
+    assert [(r[1], r[2], r[3], r[5]) for r in out] == [("f", 1, 1, 202), ("f", 2, 1, 503), ("f", 2, 2, 503), ("f", 2, 3, 202), ("g", 1, 1, 503)]
+
+
+def test_what_waits_for_a_round_is_not_reported_as_dropped(table):
+    flows = [("a", "f", ["u"], True, 1), ("a", "g", ["u"], False, 1)]
+    batches = [("a", f, i, 0, "bad" if i == 0 else "good") for f in "fg" for i in range(3)]
+    got = sent(table, lambda uri, headers, lines: 503 if lines[0] == "bad" else 202, flows, batches, retry_count=2)
+    reports = {(r[0], r[1], r[2]): r[7] for r in got}
+    assert reports[("f", 1, 1)] == 0 and reports[("g", 1, 1)] == 1
+    assert [r[2] for r in got if r[0] == "f" and r[1] == 0] == [1, 2, 3]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from eventweir.operators import delivery as ops
@@ -138,3 +140,31 @@ def _(t):
     sent = deliver(batches, table, lambda uri, headers, lines: 202, retry_delay=0)
     counts = ops.outbound_counts(ops.delivery_outcome(sent, FLOW))
     return counts.groupBy("event_type", "flow_id", "status").agg(F.sum("n_events").alias("n_events"))
+
+
+FAILOVER_SQL = f"""WITH n AS (SELECT type, seq, row_number() OVER (PARTITION BY type ORDER BY seq) - 1 AS rn FROM ({fx.ENVELOPE}) x),
+    b AS (SELECT type, CAST(rn // 100 AS BIGINT) AS batch_id, min(seq) AS e, count(*) AS n_events FROM n GROUP BY 1, 2),
+    s AS (SELECT f.event_type, f.flow_id, batch_id, n_events, e, qos_enabled, len(destinations) AS taps,
+                 concat('http://tap', e % 12, '.example:8080') AS up FROM b JOIN ({FLOWS_SQL}) f ON b.type = f.event_type),
+    h AS (SELECT *, list_contains((SELECT any_value(destinations) FROM ({FLOWS_SQL}) g
+                                   WHERE g.event_type = s.event_type AND g.flow_id = s.flow_id), up) AS hit FROM s)
+    SELECT event_type, flow_id, batch_id, n_events, CASE WHEN NOT hit THEN 'lost' WHEN e % 5 = 0 THEN 'rejected' ELSE 'delivered' END AS status,
+           CASE WHEN hit THEN up END AS uri, CASE WHEN NOT hit THEN CAST(taps * CASE WHEN qos_enabled THEN 3 ELSE 1 END AS BIGINT) END AS tries FROM h"""
+
+
+@query("deliver_failover", FAILOVER_SQL)
+def _(t):
+    """Of twelve taps only the one that a batch's first event names answers; retries change nothing."""
+
+    def transport(uri, headers, lines):
+        event = int(json.loads(lines[0])["uuid"])
+        if uri != f"http://tap{event % 12}.example:8080":
+            return 503
+        return 404 if event % 5 == 0 else 202
+
+    table = small_table(flows(t), "flows")
+    batches = delivery_batches(fx.envelope(t), table, "seq", 100)
+    sent = deliver(batches, table, transport, retry_count=2, retry_delay=0)
+    found = ops.delivery_outcome(sent, FLOW)
+    tries = F.when(F.col("status") == "lost", F.col("attempts").cast("bigint"))
+    return found.select(*FLOW, "batch_id", F.col("n_events").cast("bigint"), "status", "uri", tries.alias("tries"))
