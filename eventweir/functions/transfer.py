@@ -6,6 +6,7 @@ Tasks open files by URI where they run; nothing passes through the driver.
 from __future__ import annotations
 
 import hashlib
+import os
 import uuid
 
 from pyarrow import fs
@@ -80,6 +81,46 @@ def is_committed(folder: str) -> bool:
     return system.get_file_info(f"{path}/_SUCCESS").type == fs.FileType.File
 
 
+def create_exclusive(location: str, content: bytes) -> bool:
+    """Create a small file unless it is there; of several who try, one succeeds.
+
+    The content is written beside it first, so that nobody sees half of it, and
+    then linked (local files) or renamed (HDFS, where that does not replace).
+    An object store offers neither here: what is there is seen, two who try at
+    the same moment may both succeed."""
+    system, path = open_location(location)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    if system.get_file_info(path).type != fs.FileType.NotFound:
+        return False
+    folder, _, name = path.rpartition("/")
+    draft = f"{folder}/_{name}.{uuid.uuid4().hex}"
+    with system.open_output_stream(draft) as out:
+        out.write(content)
+    try:
+        if isinstance(system, fs.LocalFileSystem):
+            os.link(draft, path)
+        else:
+            system.move(draft, path)
+            return True
+    except FileExistsError:
+        return False
+    except OSError:
+        if system.get_file_info(path).type == fs.FileType.NotFound:
+            raise
+        return False
+    finally:
+        if system.get_file_info(draft).type == fs.FileType.File:
+            system.delete_file(draft)
+    return True
+
+
+def read_small(location: str) -> bytes:
+    """All of a small file."""
+    system, path = open_location(location)
+    with system.open_input_stream(path) as source:
+        return source.read()
+
+
 def concatenate(sources: list[str], target: str) -> int:
     """Write the bytes of ``sources``, in order, as ``target``; returns its size.
 

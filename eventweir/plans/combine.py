@@ -11,13 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventweir.functions.locations import DEFAULT_TARGET, priority_class
-from eventweir.functions.transfer import subfolders
 from eventweir.operators import combine as ops
 from eventweir.operators.packing import pack_first_fit
 from eventweir.schema import GROUP
 from eventweir.session import written_table
 from eventweir.sinks.compact import compact
-from eventweir.sinks.manifests import write_manifest
+from eventweir.sinks.manifests import claim_groups, pass_name, write_manifest
 from eventweir.sources.listing import event_types, list_objects, with_bucket
 from eventweir.sources.manifests import explode_parts, group_headers, read_manifests
 
@@ -101,9 +100,12 @@ def run_combine(
         proposed = changed.select(*GROUP, "location_prefix").distinct().join(read, GROUP, "left")
         proposed = proposed.withColumn("read_version", F.coalesce("read_version", F.lit(0).cast("bigint")))
         stored = group_headers(read_manifests(spark, config.manifest_root, window))
-        lost = ops.manifest_conflicts(stored, proposed).where("status = 'conflict'")
-        changed = changed.join(lost.select(*GROUP), GROUP, "left_anti")
-        write_manifest(changed, config.manifest_root, _next_pass(config.manifest_root))
+        free = ops.manifest_conflicts(stored, proposed).where("status = 'commit'")
+        name = pass_name(now_ms)
+        claims = claim_groups(free, config.manifest_root, name, now_ms)
+        ours = claims.where("status = 'commit'")
+        if not ours.isEmpty():
+            write_manifest(changed.join(ours.select(*GROUP), GROUP, "left_semi"), config.manifest_root, name)
 
     manifest = only(read_manifests(spark, config.manifest_root, window))
     manifest = ops.in_writable_groups(manifest, group_headers(manifest), config.node, now_ms)
@@ -126,8 +128,3 @@ def window_days(as_of: dt.date, start_days_ago: int, end_days_ago: int) -> list[
 
 def _day_after(day: str) -> str:
     return (dt.date.fromisoformat(day) + dt.timedelta(days=1)).isoformat()
-
-
-def _next_pass(manifest_root: str) -> int:
-    passes = [int(name.removeprefix("pass=")) for name in subfolders(manifest_root) if name.startswith("pass=")]
-    return max(passes, default=0) + 1

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,25 +11,33 @@ from eventweir.schema import GROUP, GROUP_DOCUMENT, MANIFEST
 def read_manifests(spark: SparkSession, root: str, dates: tuple[str, str] | None = None) -> DataFrame:
     """Current manifest: one row per combined object, at its latest version.
 
-    Every pass over the data adds a folder with the objects it changed.
+    Every pass over the data adds a folder with the objects it changed; one that
+    was not finished is not read.  Of equal versions, which only a writer that
+    outlived its claim can leave, the later pass counts.
     ``dates`` (first, beyond last) keeps the scan to that window.  No manifest
     yet means no rows; one that does not parse is an error.
     """
-    schema = f"{MANIFEST}, pass bigint"
-    try:
-        rows = spark.read.schema(schema).option("mode", "FAILFAST").option("basePath", root).json(f"{root}/pass=*")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    schema = f"{MANIFEST}, pass string"
+    passes = committed_passes(spark, root)
+    if passes:
+        rows = spark.read.schema(schema).option("mode", "FAILFAST").option("basePath", root).json(passes)
+    else:
         rows = spark.createDataFrame([], schema)
     if dates:
         rows = rows.where((F.col("date") >= dates[0]) & (F.col("date") < dates[1]))
     columns = [c for c in rows.columns if c not in (*GROUP, "ordinal")]
     others = [c for c in columns if c != "version"]
-    latest = rows.groupBy(*GROUP, "ordinal").agg(F.max_by(F.struct("version", *others), "version").alias("_o"))
+    latest = rows.groupBy(*GROUP, "ordinal").agg(F.max_by(F.struct("version", *others), F.struct("version", "pass")).alias("_o"))
     return latest.select(*GROUP, "ordinal", "_o.*").select(*[c for c in rows.columns if c != "pass"])
 
 
+def committed_passes(spark: SparkSession, root: str) -> list[str]:
+    """Folders of the passes whose job finished, by one look at their markers."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/pass=*/_SUCCESS")
+    found = marker.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marker) or []
+    return sorted(status.getPath().getParent().toString() for status in found)
+
+
 def explode_parts(manifest: DataFrame) -> DataFrame:
     """One row per source part, with its position in the combined object."""
     return manifest.select(

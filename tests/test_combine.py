@@ -9,12 +9,13 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from eventweir.functions.locations import combined_location, location_parts, priority_class
+from eventweir.functions.transfer import create_exclusive, read_small
 from eventweir.operators import combine as ops
 from eventweir.operators.packing import pack_first_fit
 from eventweir.plans.combine import CombineConfig, run_combine
 from eventweir.schema import GROUP, MANIFEST
 from eventweir.sinks.compact import compact
-from eventweir.sinks.manifests import write_manifest
+from eventweir.sinks.manifests import claim_groups, write_manifest
 from eventweir.sinks.spool import write_spool
 from eventweir.sources.manifests import explode_parts, group_headers, read_group_documents, read_manifests
 
@@ -364,3 +365,37 @@ def test_completion_events_are_ordinary_events(table):
         ("CombineCompleted", '{"groupId":"g","eventType":"a"}'),
         ("CombineCompleted", '{"groupId":"g","eventType":"b"}'),
     ]
+
+
+def claims(table, root, name, at, *groups, version=1):
+    proposed = table([("a", "2024-01-01", f"{g:02d}", "small", version) for g in groups], "event_type string, date string, hour string, size_class string, read_version bigint")
+    return {r[0]: r[1] for r in rows(claim_groups(proposed, root, name, at, lease_ms=1000), "hour", "status")}
+
+
+def test_a_version_is_replaced_once(spark, table, folder):
+    root = folder("manifest")
+    write_manifest(manifest(table, [("a", 1)]), root, 1)
+    assert claims(table, root, "x", 100, 0, 1) == {"00": "commit", "01": "commit"}
+    assert claims(table, root, "x", 100, 0, 1) == {"00": "commit", "01": "commit"}  # a repeated task
+    assert claims(table, root, "y", 200, 1, 2) == {"01": "conflict", "02": "commit"}
+    assert claims(table, root, "y", 200, 1, version=2) == {"01": "commit"}
+    write_manifest(manifest(table, [("a", 1)], version=2), root, "x")
+    assert claims(table, root, "z", 10_000, 0, 1, 2) == {"00": "conflict", "01": "conflict", "02": "commit"}  # x is there, y died
+    assert claims(table, root, "w", 10_100, 2) == {"02": "conflict"}
+
+
+def test_of_many_at_once_one_creates(folder):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = f"{folder('claims')}/a/b"
+    with ThreadPoolExecutor(16) as pool:
+        made = list(pool.map(lambda i: create_exclusive(path, str(i).encode()), range(64)))
+    assert sum(made) == 1 and read_small(path) == str(made.index(True)).encode()
+    assert os.listdir(os.path.dirname(path)) == ["b"]
+
+
+def test_unfinished_passes_are_not_read(spark, table, folder):
+    root = folder("manifest")
+    write_manifest(manifest(table, [("a", 1)]), root, 1)
+    os.remove(f"{write_manifest(manifest(table, [('a', 1)], version=5), root, 'dead')}/_SUCCESS")
+    assert rows(read_manifests(spark, root), "version") == [(1,)]

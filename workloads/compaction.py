@@ -14,7 +14,7 @@ from eventweir.plans.combine import CombineConfig, run_combine
 from eventweir.plans.ingest import accepted_events
 from eventweir.schema import GROUP, MANIFEST
 from eventweir.session import scratch_path, written_table
-from eventweir.sinks.manifests import write_manifest
+from eventweir.sinks.manifests import claim_groups, write_manifest
 from eventweir.sinks.spool import spool_lines, write_spool
 from eventweir.sources.events import stream_events
 from eventweir.sources.listing import list_partitions, with_bucket, with_location_parts
@@ -161,6 +161,35 @@ def _(t):
     return ops.manifest_conflicts(stored, t.sql(PROPOSED))
 
 
+@query(
+    "manifest_commit",
+    f"""WITH g AS (SELECT {G}, max(ordinal) + 1 AS n FROM ({OBJECTS_SQL}) o GROUP BY {G})
+    SELECT {G}, CAST(n AS BIGINT) AS next_ordinal, CASE WHEN hour = '04' THEN 7 WHEN hour IN ('00', '01') THEN 8 ELSE 9 END AS version,
+           CASE WHEN hour = '04' THEN 'nodeA' WHEN hour IN ('00', '01') THEN 'early' ELSE 'late' END AS creator,
+           CASE WHEN hour IN ('00', '01', '04') THEN 'conflict' ELSE 'commit' END AS second_status FROM g""",
+)
+def _(t):
+    """Three writers replace version 7: one that commits two hours, one that
+    claims an hour and dies within its lease, and one that wants all."""
+    root = scratch_path(t.spark, "manifest")
+    first = written_table(fx.manifest(t), "manifest")
+    write_manifest(first, root, 1)
+    headers = group_headers(first).select(*GROUP, F.col("version").alias("read_version"))
+    early, dying = headers.where("hour IN ('00', '01')"), headers.where("hour = '04'")
+
+    def update(claims, version: int, creator: str):
+        mine = first.join(claims.where("status = 'commit'").select(*GROUP), GROUP, "left_semi")
+        return mine.withColumns({"version": F.lit(version).cast("bigint"), "creator": F.lit(creator)})
+
+    write_manifest(update(claim_groups(early, root, "2-early", fx.AS_OF_MS), 8, "early"), root, "2-early")
+    claimed = update(claim_groups(dying, root, "3-dying", fx.AS_OF_MS), 8, "dying")
+    claimed.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").partitionBy("date").json(f"{root}/pass=3-dying")
+    second = claim_groups(headers, root, "4-late", fx.AS_OF_MS + 1000)
+    write_manifest(update(second, 9, "late"), root, "4-late")
+    stored = group_headers(read_manifests(t.spark, root))
+    return stored.join(second, GROUP).select(*GROUP, F.col("n_objects").alias("next_ordinal"), F.col("version").cast("int").alias("version"), "creator", F.col("status").alias("second_status"))
+
+
 def packed_sql(rank: str) -> str:
     """First fit with at most one open object per group, files in order of ``rank``."""
     return f"""WITH RECURSIVE o AS (
