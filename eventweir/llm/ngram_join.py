@@ -389,11 +389,26 @@ class Buckets:
     high: np.ndarray
 
 
+#: Rows that a task's buckets take, each an array of neighbouring ones.
+BUCKET_PARTS = 64
+
+
 def shingle_buckets(sets: DataFrame) -> Buckets:
-    """The buckets of all shingles of some sets with their ``label``."""
+    """The buckets of all shingles of some sets with their ``label``.
+
+    Tasks count into arrays and send them in ``BUCKET_PARTS`` rows, which are
+    added up by part."""
     low_end, high_end = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+    width = BUCKETS // BUCKET_PARTS
+    names = ["part", "bucket", "used", "low", "high"]
+    schema = "part int, bucket array<int>, used array<bigint>, low array<bigint>, high array<bigint>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def row(part: int, used: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+        found = np.flatnonzero(used)
+        lists = [pa.array([values], pa.list_(kind)) for values, kind in ((found, pa.int32()), (used[found], pa.int64()), (low[found], pa.int64()), (high[found], pa.int64()))]
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *lists], names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used, low, high = np.zeros(BUCKETS, np.int64), np.full(BUCKETS, low_end), np.full(BUCKETS, high_end)
         for batch in batches:
             sizes, label = column(batch, "n").to_numpy(), column(batch, "label").to_numpy()
@@ -402,15 +417,27 @@ def shingle_buckets(sets: DataFrame) -> Buckets:
             used += np.bincount(bucket, minlength=BUCKETS)
             np.minimum.at(low, bucket, label)
             np.maximum.at(high, bucket, label)
-        found = np.flatnonzero(used)
-        columns = [pa.array(found), pa.array(used[found]), pa.array(low[found]), pa.array(high[found])]
-        yield pa.RecordBatch.from_arrays(columns, ["bucket", "used", "low", "high"])
+        for part in range(BUCKET_PARTS):
+            own = slice(part * width, (part + 1) * width)
+            if used[own].any():
+                yield row(part, used[own], low[own], high[own])
 
-    counts = sets.select("n", "shingles", "label").mapInArrow(run, "bucket bigint, used bigint, low bigint, high bigint")
-    counts = counts.groupBy("bucket").agg(F.sum("used"), F.min("low"), F.max("high"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for part, bucket, used, low, high in zip(*(column(batch, name).to_pylist() for name in names), strict=True):
+                sums = total.setdefault(part, (np.zeros(width, np.int64), np.full(width, low_end), np.full(width, high_end)))
+                sums[0][bucket] += used
+                sums[1][bucket] = np.minimum(sums[1][bucket], low)
+                sums[2][bucket] = np.maximum(sums[2][bucket], high)
+        for part, sums in total.items():
+            yield row(part, *sums)
+
+    counted = sets.select("n", "shingles", "label").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema)
     out = Buckets(np.zeros(BUCKETS, np.int64), np.full(BUCKETS, low_end), np.full(BUCKETS, high_end))
-    for bucket, used, low, high in counts.collect():  # BUCKETS rows at most
-        out.used[bucket], out.low[bucket], out.high[bucket] = used, low, high
+    for part, bucket, used, low, high in counted.collect():  # BUCKET_PARTS rows with BUCKETS entries at most
+        at = part * width + np.array(bucket, np.int64)
+        out.used[at], out.low[at], out.high[at] = used, low, high
     return out
 
 
@@ -584,7 +611,7 @@ def components(docs: DataFrame, join: Join = Join(), text: str = "text", doc_id:
     if often.take(1):
         crowded = pieces.join(often, "key", "left_semi").select("cls").distinct()
         labelled = sets.join(crowded, "cls", "left_semi").join(search.labels, "cls")
-        rare = rare_shingles_of(written_table(labelled, "crowded-sets"), join)
+        rare = written_table(rare_shingles_of(written_table(labelled, "crowded-sets"), join), "rare-shingles")
         # Ranks rule most of these pairs out, so more of them are cheaper than another hub.
         search.across(search.hubs(rare, each=32))
     # Equal sets without any link are a component too.
