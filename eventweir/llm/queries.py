@@ -132,14 +132,27 @@ def op6(spark, table):
     )
 
 
-@query("op7_warc")
+@query(
+    "op7_warc",
+    """
+    WITH digested AS (
+        SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hexes FROM pages),
+    firsts AS (SELECT *, min(page_id) OVER (PARTITION BY hexes) AS first_id FROM digested)
+    SELECT page_id, payload_bytes,
+           array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((
+               (CAST('0x' || substr(hexes, 5 * (i // 4) + 1, 5) AS BIGINT) >> (5 * (3 - i % 4))) & 31) + 1 AS INTEGER), 1)), '') AS payload_digest,
+           CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+    FROM firsts
+    """,
+)
 def op7(spark, table):
     """A WARC record per page, equal payloads as revisits, read back from the archives."""
-    pages = table("pages").select("page_id", "url", "html")
-    pages = warc.with_digest(pages).withColumn("payload_bytes", F.octet_length(F.coalesce("html", F.lit(""))).cast("long"))
+    pages = warc.with_digest(table("pages").select("page_id", "url", "html"))
     path = scratch_path(spark, "archives")
     warc.write_archives(warc.resolve_revisits(pages, min_bytes=0), path)
-    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = warc.follow_revisits(warc.read_archives(spark, path))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query(

@@ -1,9 +1,11 @@
 import gzip
 import io
 
+import pytest
 from pyspark.sql import functions as F
 
 from eventweir.llm import warc
+from eventweir.operators import joins
 from eventweir.session import scratch_path
 
 PAGES = [
@@ -19,25 +21,31 @@ PAGES = [
 
 
 def archived(spark, table, min_bytes):
-    pages = table(PAGES, "page_id bigint, url string, html string")
-    pages = warc.with_digest(pages).withColumn("payload_bytes", F.octet_length(F.coalesce("html", F.lit(""))).cast("long"))
+    pages = warc.with_digest(table(PAGES, "page_id bigint, url string, html string"))
     path = scratch_path(spark, "archives")
     warc.write_archives(warc.resolve_revisits(pages, min_bytes), path)
-    return path, warc.read_archives(spark, path).collect()
+    return path, warc.follow_revisits(warc.read_archives(spark, path)).collect()
 
 
-def test_equal_payloads_become_revisits(spark, table):
-    _, rows = archived(spark, table, 0)
+@pytest.mark.parametrize("max_bytes", [joins.BROADCAST_BYTES, 0])
+def test_equal_payloads_become_revisits(spark, table, monkeypatch, max_bytes):
+    monkeypatch.setattr(joins.join_small, "__defaults__", ("inner", max_bytes, 3))
+    path, rows = archived(spark, table, 0)
     got = sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in rows), key=str)
     want = [(1, "response", None), (1, "response", None), (2, "response", None), (3, "revisit", 1), (4, "response", None)]
     want += [(5, "revisit", 4), (6, "response", None), (None, "revisit", 1)]
     assert got == sorted(want, key=str)
-    ids = {r["page_id"]: r["record_id"] for r in rows}
     for r in rows:
         html = next(p[2] for p in PAGES if p[0] == r["page_id"]) or ""
-        assert r["payload"] == (html if r["record_type"] == "response" else "")
         assert r["payload_digest"] == warc.file_digest(html) and r["payload_bytes"] == len(html.encode())
-        assert r["refers_to_id"] == (ids[r["refers_to"]] if r["refers_to"] is not None else None)
+    stored = warc.read_archives(spark, path).collect()
+    ids = {(r["page_id"], r["payload_digest"]): r["record_id"] for r in stored}
+    refers = {r["page_id"]: r["refers_to"] for r in rows}
+    for r in stored:
+        html = next(p[2] for p in PAGES if p[0] == r["page_id"]) or ""
+        assert r["payload"] == (html if r["record_type"] == "response" else "")
+        first = refers[r["page_id"]]
+        assert r["refers_to_id"] == (ids[first, r["payload_digest"]] if first is not None else None)
 
 
 def test_small_payloads_stay_responses(spark, table):
@@ -64,10 +72,37 @@ def test_archives_are_plain_records(spark, table):
 
 
 def test_no_pages(spark, table):
-    pages = table([], "page_id bigint, url string, html string, payload_bytes bigint")
+    pages = table([], "page_id bigint, url string, html string")
     path = scratch_path(spark, "archives")
     warc.write_archives(warc.resolve_revisits(warc.with_digest(pages)), path)
-    assert warc.read_archives(spark, path).collect() == []
+    assert warc.follow_revisits(warc.read_archives(spark, path)).collect() == []
+
+
+def test_clashing_names(spark, table):
+    made = "first_id string, n int, payload string, record_type int, refers_to string, payload_digest int, record_id int, _salt int"
+    pages = table([(*p, "f", 1, "p", 2, "r", 3, 4, 5) for p in PAGES], f"page_id bigint, url string, html string, {made}")
+    found = warc.resolve_revisits(warc.with_digest(pages))
+    got = {(r["page_id"], r["record_type"], r["refers_to"], r["first_id"], r["n"]) for r in found.collect()}
+    assert {(3, "revisit", 1, "f", 1), (1, "response", None, "f", 1)} <= got
+
+
+def test_a_page_id_with_two_payloads(spark, table):
+    pages = warc.with_digest(table([(1, None, "a"), (1, None, "b"), (2, None, "a"), (3, None, "b")], "page_id bigint, url string, html string"))
+    path = scratch_path(spark, "archives")
+    warc.write_archives(warc.resolve_revisits(pages), path)
+    rows = warc.follow_revisits(warc.read_archives(spark, path)).collect()
+    got = sorted((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in rows)
+    a, b = warc.file_digest("a"), warc.file_digest("b")
+    want = [(1, a, "response", None, 1), (1, b, "response", None, 1), (2, a, "revisit", 1, 1), (3, b, "revisit", 1, 1)]
+    assert got == sorted(want, key=str)
+
+
+def test_a_changed_payload_is_an_error(spark, table):
+    pages = warc.with_digest(table([(1, None, "abc")], "page_id bigint, url string, html string"))
+    path = scratch_path(spark, "archives")
+    warc.write_archives(warc.resolve_revisits(pages).withColumn("html", F.lit("abd")), path)
+    with pytest.raises(Exception, match="payload is not what its digest says"):
+        warc.follow_revisits(warc.read_archives(spark, path)).collect()
 
 
 def test_members_and_pieces():
