@@ -16,9 +16,9 @@ from eventweir.operators.packing import pack_first_fit
 from eventweir.schema import GROUP
 from eventweir.session import written_table
 from eventweir.sinks.compact import compact
-from eventweir.sinks.manifests import claim_groups, pass_name, write_manifest
+from eventweir.sinks.manifests import claim_groups, pass_name, write_manifest, write_snapshot
 from eventweir.sources.listing import event_types, list_objects, with_bucket
-from eventweir.sources.manifests import explode_parts, group_headers, read_manifests
+from eventweir.sources.manifests import explode_parts, group_headers, manifest_view, read_headers, read_manifests
 
 
 @dataclass
@@ -36,6 +36,7 @@ class CombineConfig:
     stop_on_error: bool = False
     high_priority: list[str] = field(default_factory=list)
     low_priority: list[str] = field(default_factory=list)
+    snapshot_every: int = 16
 
 
 @dataclass
@@ -49,13 +50,21 @@ class CombinePass:
 
 
 def place_new_files(
-    staged: DataFrame, manifest: DataFrame, node: str, now_ms: int, target_size: int = DEFAULT_TARGET
+    staged: DataFrame,
+    manifest: DataFrame,
+    node: str,
+    now_ms: int,
+    target_size: int = DEFAULT_TARGET,
+    status: DataFrame | None = None,
 ) -> DataFrame:
-    """Place the files that are in no combined object yet, in groups this node may update."""
+    """Place the files that are in no combined object yet, in groups this node may update.
+
+    ``status`` is that of the manifest's parts, if it is known already."""
     headers = group_headers(manifest)
+    status = ops.parts_status(manifest, staged) if status is None else status
     fresh = ops.uncombined_objects(staged, explode_parts(manifest))
     fresh = ops.in_writable_groups(fresh, headers, node, now_ms)
-    growable = ops.open_objects(ops.parts_status(manifest, staged), target_size)
+    growable = ops.open_objects(status, target_size)
     numbers = headers.select(*GROUP, F.col("n_objects").alias("next_ordinal"))
     return pack_first_fit(fresh, growable, numbers, target_size)
 
@@ -80,15 +89,17 @@ def run_combine(
     def only(df: DataFrame) -> DataFrame:
         return df if types is None else df.where(F.col("event_type").isin(types))
 
-    found = ops.with_size_class(only(with_bucket(list_objects(spark, config.staging_root, days))))
+    found = ops.with_size_class(only(with_bucket(list_objects(spark, config.staging_root, days, types=types))))
     # The listing is what the whole pass works from; list once.
     staged = written_table(found.select(*GROUP, "location", "etag", "size", "last_modified"), "staged")
     window = (days[0], _day_after(days[-1])) if days else None
 
-    manifest = only(read_manifests(spark, config.manifest_root, window))
+    # So is the manifest: read and folded once, and later reads take the columns they need.
+    manifest = written_table(only(read_manifests(spark, config.manifest_root, window)), "manifest")
+    status = written_table(ops.parts_status(manifest, staged), "parts-status")
     target_root = config.target_root.rstrip("/")
-    placed = written_table(place_new_files(staged, manifest, config.node, now_ms, config.target_size), "placed")
-    bad = ops.bad_manifests(ops.parts_status(manifest, staged), placed, config.target_size)
+    placed = written_table(place_new_files(staged, manifest, config.node, now_ms, config.target_size, status), "placed")
+    bad = ops.bad_manifests(status, placed, config.target_size)
     bad = written_table(bad, "bad-manifests")
     planned = ops.next_manifest(manifest, placed, target_root, config.node, now_ms, config.suffix)
     # Only objects that got new parts are stored; the others already are.
@@ -99,17 +110,19 @@ def run_combine(
         read = group_headers(manifest).select(*GROUP, F.col("version").alias("read_version"))
         proposed = changed.select(*GROUP, "location_prefix").distinct().join(read, GROUP, "left")
         proposed = proposed.withColumn("read_version", F.coalesce("read_version", F.lit(0).cast("bigint")))
-        stored = group_headers(read_manifests(spark, config.manifest_root, window))
+        stored = read_headers(spark, config.manifest_root, window)
         free = ops.manifest_conflicts(stored, proposed).where("status = 'commit'")
         name = pass_name(now_ms)
         claims = claim_groups(free, config.manifest_root, name, now_ms)
         ours = claims.where("status = 'commit'")
         if not ours.isEmpty():
             write_manifest(changed.join(ours.select(*GROUP), GROUP, "left_semi"), config.manifest_root, name)
+            if len(manifest_view(spark, config.manifest_root).tail) >= config.snapshot_every:
+                write_snapshot(spark, config.manifest_root, name)
+        manifest = written_table(only(read_manifests(spark, config.manifest_root, window)), "manifest")
 
-    manifest = only(read_manifests(spark, config.manifest_root, window))
     manifest = ops.in_writable_groups(manifest, group_headers(manifest), config.node, now_ms)
-    work = ops.combine_worklist(manifest, staged, list_objects(spark, target_root, days))
+    work = ops.combine_worklist(manifest, staged, list_objects(spark, target_root, days, types=types))
     priority = priority_class(F.col("event_type"), config.high_priority, config.low_priority)
     rank = F.when(priority == "high", 0).when(priority == "low", 2).otherwise(1)
     log = compact(work.withColumn("rank", rank), config.stop_on_error)

@@ -8,16 +8,19 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventweir.functions.transfer import create_exclusive, is_committed, read_small
 from eventweir.operators.combine import WRITER_LEASE_MS
 from eventweir.schema import GROUP
 from eventweir.session import written_table
+from eventweir.sources.manifests import FOLDED, latest_objects, manifest_view, stored_rows
 
 #: Below the manifest's root, hidden from readers of its passes.
 CLAIMS = "_claims"
+#: Snapshots that are kept.
+SNAPSHOTS = 3
 
 
 def pass_name(now_ms: int) -> str:
@@ -68,5 +71,32 @@ def write_manifest(manifest: DataFrame, root: str, name: int | str) -> str:
     """
     path = f"{root}/pass={f'{name:012d}' if isinstance(name, int) else name}"
     # An object's parts are one row; spread rows so that no file collects a whole day.
-    manifest.hint("rebalance", F.col("date")).write.mode("errorifexists").partitionBy("date").json(path)
+    manifest.hint("rebalance", F.col("date")).write.mode("errorifexists").partitionBy("date").parquet(path)
+    return path
+
+
+def write_snapshot(spark: SparkSession, root: str, name: str, keep: int = SNAPSHOTS) -> str:
+    """Store the current manifest as one folder, so that reading opens it and the
+    passes after it instead of every pass there ever was.
+
+    The snapshot names the passes it holds; a pass that ends while it is written
+    is not among them and stays in the tail.  Two writers may each store one,
+    either is right.  The ``keep`` newest finished ones stay for readers at work.
+    """
+    view = manifest_view(spark, root)
+    folded = sorted({*view.folded, *(p.rsplit("/pass=", 1)[1] for p in view.tail)})
+    # Names sort by what they hold, not by clocks.
+    folder = f"snapshot={len(folded):012d}-{name}"
+    if not create_exclusive(f"{root.rstrip('/')}/{FOLDED}/{folder}", json.dumps(folded).encode()):
+        raise FileExistsError(f"{root}/{folder}")
+    rows = latest_objects(stored_rows(spark, root, view))
+    path = f"{root.rstrip('/')}/{folder}"
+    rows.hint("rebalance", F.col("date")).write.mode("errorifexists").partitionBy("date").parquet(path)
+    top = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/"))
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    snapshots = sorted(s.getPath().getName() for s in system.listStatus(top) if s.getPath().getName().startswith("snapshot="))
+    finished = [s for s in snapshots if is_committed(f"{root.rstrip('/')}/{s}")]
+    for old in finished[:-keep]:
+        system.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{old}"), True)
+        system.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{FOLDED}/{old}"), False)
     return path

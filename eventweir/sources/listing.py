@@ -16,7 +16,12 @@ _ENTRY = "location string, is_folder boolean, size bigint, last_modified bigint,
 
 
 def list_objects(
-    spark: SparkSession, root: str, days: list[str] | None = None, etag: str = "version", recursive: bool = True
+    spark: SparkSession,
+    root: str,
+    days: list[str] | None = None,
+    etag: str = "version",
+    recursive: bool = True,
+    types: list[str] | None = None,
 ) -> DataFrame:
     """Files below ``root`` (or only directly in it): ``location, size, etag,
     last_modified`` (epoch ms) and the parts of the location.  Empty files are
@@ -25,7 +30,7 @@ def list_objects(
     Tasks do the listing, a folder each: types, then their days, then all below
     a day, so no machine holds all names.  ``days`` keeps to day folders
     (second level, ``day`` or ``date=day``) of these names; the others are not
-    opened.  The etag is made of size and time; ``etag="md5"`` reads every file.
+    opened.  ``types`` keeps to type folders (first level) the same way.  The etag is made of size and time; ``etag="md5"`` reads every file.
     """
     content = etag == "md5"
 
@@ -45,6 +50,9 @@ def list_objects(
 
     start = spark.createDataFrame([(root.rstrip("/") or "/",)], "location string")
     top = start.mapInPandas(entries(False), _ENTRY)
+    if types is not None:
+        kind = F.regexp_replace(F.substring_index("location", "/", -1), "^event_type=", "")
+        top = top.where(~F.col("is_folder") | kind.isin(types))
     found = top
     if recursive:
         second = below(top, False)

@@ -2,40 +2,83 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventweir.functions.transfer import read_small
 from eventweir.schema import GROUP, GROUP_DOCUMENT, MANIFEST
 
+#: Below the manifest's root: the names of the passes that each snapshot holds.
+FOLDED = "_folded"
+
+
+@dataclass
+class ManifestView:
+    """What one look at a manifest's root found: the fullest snapshot, the passes
+    it holds, and the folders of finished passes that it does not hold."""
+
+    snapshot: str | None
+    folded: list[str]
+    tail: list[str]
+
+
+def manifest_view(spark: SparkSession, root: str) -> ManifestView:
+    """One listing of the root, then a look for the markers of the other passes only."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    top = path(root.rstrip("/"))
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in system.listStatus(top)) if system.exists(top) else []
+
+    def finished(name: str) -> bool:
+        return system.exists(path(f"{root.rstrip('/')}/{name}/_SUCCESS"))
+
+    snapshots = [name for name in names if name.startswith("snapshot=")]
+    fullest = next((name for name in reversed(snapshots) if finished(name)), None)
+    folded = json.loads(read_small(f"{root.rstrip('/')}/{FOLDED}/{fullest}")) if fullest else []
+    known = {f"pass={name}" for name in folded}
+    tail = [name for name in names if name.startswith("pass=") and name not in known and finished(name)]
+    return ManifestView(fullest, folded, [f"{root.rstrip('/')}/{name}" for name in tail])
+
+
+def stored_rows(spark: SparkSession, root: str, view: ManifestView, dates: tuple[str, str] | None = None) -> DataFrame:
+    """Manifest rows of a view with the ``pass`` they come from, several versions of an object among them."""
+    schema = f"{MANIFEST}, pass string"
+    rows = spark.createDataFrame([], schema)
+    if view.tail:
+        rows = spark.read.schema(schema).option("basePath", root).parquet(*view.tail)
+    if view.snapshot:
+        folded = spark.read.schema(schema).parquet(f"{root.rstrip('/')}/{view.snapshot}")
+        rows = folded.unionByName(rows) if view.tail else folded
+    return rows.where((F.col("date") >= dates[0]) & (F.col("date") < dates[1])) if dates else rows
+
+
+def latest_objects(rows: DataFrame) -> DataFrame:
+    """Each object at its latest version; of equal versions, which only a writer
+    that outlived its claim can leave, the later pass counts."""
+    others = [c for c in rows.columns if c not in (*GROUP, "ordinal", "version", "pass")]
+    latest = rows.groupBy(*GROUP, "ordinal").agg(
+        F.max_by(F.struct("version", "pass", *others), F.struct("version", "pass")).alias("_o")
+    )
+    return latest.select(*GROUP, "ordinal", "_o.*").select(*rows.columns)
+
 
 def read_manifests(spark: SparkSession, root: str, dates: tuple[str, str] | None = None) -> DataFrame:
     """Current manifest: one row per combined object, at its latest version.
 
     Every pass over the data adds a folder with the objects it changed; one that
-    was not finished is not read.  Of equal versions, which only a writer that
-    outlived its claim can leave, the later pass counts.
+    was not finished is not read.  Passes that a snapshot holds are not opened.
     ``dates`` (first, beyond last) keeps the scan to that window.  No manifest
     yet means no rows; one that does not parse is an error.
     """
-    schema = f"{MANIFEST}, pass string"
-    passes = committed_passes(spark, root)
-    if passes:
-        rows = spark.read.schema(schema).option("mode", "FAILFAST").option("basePath", root).json(passes)
-    else:
-        rows = spark.createDataFrame([], schema)
-    if dates:
-        rows = rows.where((F.col("date") >= dates[0]) & (F.col("date") < dates[1]))
-    columns = [c for c in rows.columns if c not in (*GROUP, "ordinal")]
-    others = [c for c in columns if c != "version"]
-    latest = rows.groupBy(*GROUP, "ordinal").agg(F.max_by(F.struct("version", *others), F.struct("version", "pass")).alias("_o"))
-    return latest.select(*GROUP, "ordinal", "_o.*").select(*[c for c in rows.columns if c != "pass"])
-
-
-def committed_passes(spark: SparkSession, root: str) -> list[str]:
-    """Folders of the passes whose job finished, by one look at their markers."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/pass=*/_SUCCESS")
-    found = marker.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marker) or []
-    return sorted(status.getPath().getParent().toString() for status in found)
+    return latest_objects(stored_rows(spark, root, manifest_view(spark, root), dates)).drop("pass")
+
+
+def read_headers(spark: SparkSession, root: str, dates: tuple[str, str] | None = None) -> DataFrame:
+    """``group_headers`` of the current manifest, from columns of a few bytes; part lists are not read."""
+    return group_headers(stored_rows(spark, root, manifest_view(spark, root), dates))
 
 
 def explode_parts(manifest: DataFrame) -> DataFrame:
@@ -51,7 +94,8 @@ def explode_parts(manifest: DataFrame) -> DataFrame:
 def group_headers(manifest: DataFrame) -> DataFrame:
     """Version, writer, time and next free ordinal of each group.  Objects of
     a commit that died may be missing, so the next one comes after the last, not after as many."""
-    newest = F.max_by(F.struct("version", "creator", "updated_ts", "location_prefix"), "version")
+    order = F.struct("version", "pass") if "pass" in manifest.columns else F.col("version")
+    newest = F.max_by(F.struct("version", "creator", "updated_ts", "location_prefix"), order)
     return (
         manifest.groupBy(*GROUP)
         .agg(newest.alias("_h"), (F.max("ordinal") + 1).alias("n_objects"))

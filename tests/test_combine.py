@@ -15,9 +15,9 @@ from eventweir.operators.packing import pack_first_fit
 from eventweir.plans.combine import CombineConfig, run_combine
 from eventweir.schema import GROUP, MANIFEST
 from eventweir.sinks.compact import compact
-from eventweir.sinks.manifests import claim_groups, write_manifest
+from eventweir.sinks.manifests import claim_groups, write_manifest, write_snapshot
 from eventweir.sinks.spool import write_spool
-from eventweir.sources.manifests import explode_parts, group_headers, read_group_documents, read_manifests
+from eventweir.sources.manifests import explode_parts, group_headers, manifest_view, read_group_documents, read_headers, read_manifests
 
 MB = 1024 * 1024
 KEYS = "event_type string, date string, hour string, size_class string"
@@ -211,9 +211,9 @@ def test_manifests_are_stored_by_pass(spark, table, folder):
     assert read_manifests(spark, root, ("2024-01-02", "2024-01-03")).count() == 0
     with pytest.raises(PySparkException):
         write_manifest(manifest(table, [("a", 1)]), root, 2)
-    with open(f"{root}/pass=000000000002/date=2024-01-01/broken.json", "w") as f:
-        f.write("{nonsense\n")
-    with pytest.raises(Exception, match="broken.json"):
+    with open(f"{root}/pass=000000000002/date=2024-01-01/broken.parquet", "w") as f:
+        f.write("nonsense")
+    with pytest.raises(Exception, match="broken.parquet"):
         read_manifests(spark, root).collect()
 
 
@@ -399,3 +399,51 @@ def test_unfinished_passes_are_not_read(spark, table, folder):
     write_manifest(manifest(table, [("a", 1)]), root, 1)
     os.remove(f"{write_manifest(manifest(table, [('a', 1)], version=5), root, 'dead')}/_SUCCESS")
     assert rows(read_manifests(spark, root), "version") == [(1,)]
+
+
+def test_a_snapshot_stands_for_its_passes(spark, table, folder):
+    root = folder("manifest")
+    for n in range(1, 7):
+        write_manifest(manifest(table, [("a", 1)] * n, version=n), root, n)
+        if n % 2 == 0:
+            write_snapshot(spark, root, f"{n:012d}", keep=2)
+    view = manifest_view(spark, root)
+    assert (view.snapshot, len(view.folded), view.tail) == ("snapshot=000000000006-000000000006", 6, [])
+    assert sorted(n for n in os.listdir(root) if n.startswith("snapshot=")) == [f"snapshot={n:012d}-{n:012d}" for n in (4, 6)]
+    opened = {f.removeprefix("file:").removeprefix("//").removeprefix(root).split("/")[1] for f in read_manifests(spark, root).inputFiles()}
+    assert opened == {"snapshot=000000000006-000000000006"}
+    # A pass of an older name that ends after the snapshot, and one that never ends.
+    write_manifest(manifest(table, [("a", 1)], [("b", 1)], version=7), root, "000000000000")
+    os.remove(f"{write_manifest(manifest(table, [('a', 1)], version=9), root, 8)}/_SUCCESS")
+    assert [os.path.basename(p) for p in manifest_view(spark, root).tail] == ["pass=000000000000"]
+    assert rows(read_manifests(spark, root), "ordinal", "version") == [(0, 7), (1, 7)]
+    assert rows(read_headers(spark, root), "version", "n_objects") == [(7, 2)]
+
+
+def test_an_unfinished_snapshot_is_not_read(spark, table, folder):
+    root = folder("manifest")
+    write_manifest(manifest(table, [("a", 1)]), root, 1)
+    os.remove(f"{write_snapshot(spark, root, '1')}/_SUCCESS")
+    write_manifest(manifest(table, [("a", 1)], version=2), root, 2)
+    view = manifest_view(spark, root)
+    assert (view.snapshot, len(view.tail)) == (None, 2)
+    assert rows(read_manifests(spark, root), "version") == [(2,)]
+
+
+def test_of_equal_versions_the_later_pass_counts(spark, table, folder):
+    root = folder("manifest")
+    write_manifest(manifest(table, [("a", 1)], creator="x"), root, 2)
+    write_snapshot(spark, root, "2")
+    write_manifest(manifest(table, [("a", 1)], creator="y"), root, 1)
+    assert rows(read_manifests(spark, root), "creator") == rows(read_headers(spark, root), "creator") == [("x",)]
+
+
+def test_passes_are_folded_as_they_pile_up(spark, table, config):
+    config.snapshot_every = 2
+    for i in range(4):
+        write_spool(events(table, i), config.staging_root)
+        run_combine(spark, config, AT, types=["a"])
+    assert manifest_view(spark, config.manifest_root).snapshot is not None
+    assert len(manifest_view(spark, config.manifest_root).tail) < 2
+    assert sorted(next(iter(combined(spark, config).values()))) == ["a-0", "a-1", "a-2", "a-3"]
+    assert run_combine(spark, config, AT, types=["b"]).log.count() == 0

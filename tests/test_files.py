@@ -202,6 +202,8 @@ def test_listing(spark, folder):
     assert event_types(root) == ["click", "view"]
     assert rows(list_objects(spark, root, ["2024-01-01"]), "name") == [("a.json",), ("c.json",)]
     assert rows(list_objects(spark, root, ["2023-01-01"]), "name") == []
+    assert rows(list_objects(spark, root, ["2024-01-01"], types=["view"]), "name") == [("c.json",)]
+    assert rows(list_objects(spark, root, types=["click"]), "name") == [("a.json",), ("b.json",), ("top.json",)]
     one, other = (list_objects(spark, root, etag=e).where("name = 'a.json'").first()["etag"] for e in ("md5", "version"))
     assert one != other and len(one) == 32
 

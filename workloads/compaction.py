@@ -14,11 +14,11 @@ from eventweir.plans.combine import CombineConfig, run_combine
 from eventweir.plans.ingest import accepted_events
 from eventweir.schema import GROUP, MANIFEST
 from eventweir.session import scratch_path, written_table
-from eventweir.sinks.manifests import claim_groups, write_manifest
+from eventweir.sinks.manifests import claim_groups, write_manifest, write_snapshot
 from eventweir.sinks.spool import spool_lines, write_spool
 from eventweir.sources.events import stream_events
 from eventweir.sources.listing import list_partitions, with_bucket, with_location_parts
-from eventweir.sources.manifests import explode_parts, group_headers, read_manifests
+from eventweir.sources.manifests import explode_parts, group_headers, read_headers, read_manifests
 from eventweir.streaming.pipelines import run_ingest, stream_backlog
 from workloads import fixtures as fx
 from workloads.ingest import bodies
@@ -88,6 +88,30 @@ def _(t):
     return stored.select(*GROUP, "ordinal", "location", "version", F.size("source_parts").cast("bigint").alias("n_parts"))
 
 
+@query(
+    "manifest_snapshot",
+    f"""WITH o AS (SELECT {G}, ordinal, count(*) AS n_parts FROM ({fx.PARTS}) p GROUP BY {G}, ordinal)
+    SELECT {G}, ordinal, n_parts, CASE WHEN hour = '01' THEN 10 WHEN hour = '00' THEN 9 WHEN event_type = 'click' THEN 8 ELSE 7 END AS version,
+           max(ordinal) OVER (PARTITION BY {G}) + 1 AS next_ordinal FROM o""",
+)
+def _(t):
+    """Two passes, a snapshot of them, a pass after it, and one of an older name that ends last."""
+    root = scratch_path(t.spark, "manifest")
+    first = written_table(fx.manifest(t), "manifest")
+
+    def update(where: str, version: int, name: int):
+        write_manifest(first.where(where).withColumn("version", F.lit(version).cast("bigint")), root, name)
+
+    update("true", 7, 1)
+    update("event_type = 'click'", 8, 3)
+    write_snapshot(t.spark, root, "000000000003")
+    update("hour = '00'", 9, 4)
+    update("hour = '01'", 10, 2)
+    stored = read_manifests(t.spark, root).join(read_headers(t.spark, root).select(*GROUP, "n_objects"), GROUP)
+    n_parts = F.size("source_parts").cast("bigint").alias("n_parts")
+    return stored.select(*GROUP, "ordinal", n_parts, F.col("version").cast("int").alias("version"), F.col("n_objects").alias("next_ordinal"))
+
+
 @query(
     "uncombined_objects",
     f"SELECT location, size_class FROM ({fx.STAGED}) s WHERE NOT EXISTS (SELECT 1 FROM ({fx.PARTS}) p WHERE p.location = s.location)",
@@ -183,7 +207,7 @@ def _(t):
 
     write_manifest(update(claim_groups(early, root, "2-early", fx.AS_OF_MS), 8, "early"), root, "2-early")
     claimed = update(claim_groups(dying, root, "3-dying", fx.AS_OF_MS), 8, "dying")
-    claimed.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").partitionBy("date").json(f"{root}/pass=3-dying")
+    claimed.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").partitionBy("date").parquet(f"{root}/pass=3-dying")
     second = claim_groups(headers, root, "4-late", fx.AS_OF_MS + 1000)
     write_manifest(update(second, 9, "late"), root, "4-late")
     stored = group_headers(read_manifests(t.spark, root))
