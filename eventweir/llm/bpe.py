@@ -180,8 +180,10 @@ def release(bpe: Bpe) -> None:
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Replace the column ``text`` by its token ids, an array of int; other columns stay."""
-    others = [c for c in df.columns if c != text]
+    """Replace the column ``text`` by its token ids, an array of int; other columns stay.
+
+    A column of ``df`` named as ``ids`` is replaced.  Repeated rows stay."""
+    others = [c for c in df.columns if c not in (text, ids)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
@@ -194,7 +196,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
         release(bpe)
 
     schema = ", ".join(filter(None, [fields(df, *others), f"`{ids}` array<int>"]))
-    return df.mapInArrow(run, schema)
+    return df.select(*others, text).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:

@@ -86,6 +86,7 @@ def originals(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
 
 def quote_links(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """Every passage with ``original``, the turn it comes from, null if it is not found."""
+    messages = messages.select(conv_id, turn, text)  # other columns may have any names
     found = written_table(passages(messages, conv_id, turn, text), "passages")
     quoting = found.select(F.col("conv").alias("its_conv")).distinct()
     with_quotes = messages.join(quoting, F.col(conv_id).eqNullSafe(F.col("its_conv")), "left_semi")

@@ -102,3 +102,9 @@ def test_one_pass_equals_two(awkward, bpe_path):
     two = bpe.decode(bpe.encode(df.drop("ids"), bpe_path), bpe_path)
     one = bpe.encode_and_decode(df, bpe_path, max_bytes=50)
     assert sorted(map(tuple, one.select(*two.columns).collect()), key=repr) == sorted(map(tuple, two.collect()), key=repr)
+
+
+def test_a_column_named_as_the_ids_is_replaced(table, bpe_path):
+    df = table([(1, "a b", "x"), (2, None, "y")], "doc_id bigint, text string, ids string")
+    got = bpe.decode(bpe.encode(df, bpe_path), bpe_path).collect()
+    assert sorted((r["doc_id"], r["text"], len(r["ids"])) for r in got) == [(1, "a b", 2), (2, "", 0)]

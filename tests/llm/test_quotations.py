@@ -64,3 +64,13 @@ def test_repeated_rows_and_no_rows(table):
     got = q.conversations(table(rows, "conv_id bigint, turn bigint, text string")).collect()
     assert sorted((r["turn"], r["reply_to"], r["n_linked"]) for r in got[1:]) == [(1, 0, 0), (1, 0, 1), (1, 0, 1)]
     assert q.conversations(table([], "conv_id bigint, turn bigint, text string")).collect() == []
+
+
+def test_clashing_names(table):
+    names = ["its_conv", "conv", "hash", "message", "original", "c", "t", "m", "passage", "level", "body", "row", "own", "first_turn"]
+    rows = [(*r, *names) for r in THREAD]
+    df = table(rows, "conv_id bigint, turn bigint, role string, text string, " + ", ".join(f"{n} string" for n in names))
+    plain = {(r["conv_id"], r["turn"], r["reply_to"], r["own_text"]) for r in q.conversations(made(table)).collect()}
+    found = q.conversations(df).collect()
+    assert {(r["conv_id"], r["turn"], r["reply_to"], r["own_text"]) for r in found} == plain
+    assert all(r[n] == n for r in found for n in names)
