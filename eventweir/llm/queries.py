@@ -231,10 +231,50 @@ def op4(spark, table):
     )
 
 
-@query("op5_quotations")
+@query(
+    "op5_quotations",
+    rf"""
+    WITH RECURSIVE quoted AS (
+        SELECT m.*, CASE WHEN m.turn % 3 >= 1 THEN a.text END AS one, CASE WHEN m.turn % 3 >= 2 THEN b.text END AS two
+        FROM conversations m LEFT JOIN conversations a ON a.conv_id = m.conv_id AND a.turn = m.turn - 1
+        LEFT JOIN conversations b ON b.conv_id = m.conv_id AND b.turn = m.turn - 2),
+    normal AS (
+        SELECT conv_id, turn, list_transform(string_split(text, chr(10)), lambda l:
+            trim(regexp_replace(translate(l, '{UPPER}', '{LOWER}'), '[ 	-
+]+', ' ', 'g'))) AS lines FROM conversations),
+    wholes AS (
+        SELECT conv_id, turn, lines, array_to_string(list_filter(lines, lambda l: l <> ''), chr(10)) AS whole,
+               string_split_regex(array_to_string(lines, chr(10)), '
+
++') AS blocks FROM normal),
+    units AS (
+        SELECT DISTINCT conv_id, turn, trim(unnest(list_concat([whole], blocks, lines)), chr(10)) AS unit FROM wholes),
+    passages AS (
+        SELECT conv_id, turn + 1 AS turn, 1 AS level, whole FROM wholes WHERE (turn + 1) % 3 >= 1 AND whole <> ''
+        UNION ALL SELECT conv_id, turn + 2, 2, whole FROM wholes WHERE (turn + 2) % 3 >= 2 AND whole <> ''),
+    links AS (
+        SELECT p.conv_id, p.turn, level, min(u.turn) AS original
+        FROM passages p JOIN conversations m ON m.conv_id = p.conv_id AND m.turn = p.turn
+        LEFT JOIN units u ON u.conv_id = p.conv_id AND u.turn < p.turn AND u.unit = p.whole GROUP BY ALL),
+    counts AS (
+        SELECT conv_id, turn, count(*) AS n_passages, count(original) AS n_linked, arg_min(original, level) AS reply_to FROM links GROUP BY ALL),
+    steps AS (
+        SELECT conv_id, turn, reply_to AS root FROM counts WHERE reply_to IS NOT NULL
+        UNION ALL SELECT s.conv_id, s.turn, c.reply_to FROM steps s JOIN counts c ON c.conv_id = s.conv_id AND c.turn = s.root WHERE c.reply_to IS NOT NULL),
+    threads AS (SELECT conv_id, turn, min(root) AS thread FROM steps GROUP BY ALL)
+    SELECT q.conv_id, q.turn, q.role,
+           concat_ws(chr(10), '>> ' || replace(two, chr(10), chr(10) || '>> '), '> ' || replace(one, chr(10), chr(10) || '> '), q.text) AS text,
+           q.text AS own_text, c.reply_to, coalesce(t.thread, q.turn) AS thread,
+           coalesce(c.n_passages, 0) AS n_passages, coalesce(c.n_linked, 0) AS n_linked
+    FROM quoted q LEFT JOIN counts c USING (conv_id, turn) LEFT JOIN threads t USING (conv_id, turn)
+    """,
+)
 def op5(spark, table):
-    """All conversations in reply order, without quotes."""
-    return quotations.conversations(table("conversations"))
+    """All conversations in reply order, without quotes.
+
+    The table quotes nothing, so each turn first gets its ``turn % 3``
+    predecessors as quotes of as many levels."""
+    return quotations.conversations(quotations.with_quotes(table("conversations")))
 
 
 @query("op8_toxicity")

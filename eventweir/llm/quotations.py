@@ -140,3 +140,25 @@ def conversations(messages: DataFrame, conv_id: str = "conv_id", turn: str = "tu
     )
     order = [conv_id, "thread", turn]
     return result.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def with_quotes(messages: DataFrame, depth: int = 3, conv_id: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
+    """The messages as a mail program would have sent them: turn ``t`` starts
+    with its ``t % depth`` predecessors in the conversation, the one ``j`` turns
+    before quoted with ``j`` marks, oldest first.
+
+    Of rows that share a turn the largest text is quoted; null texts, and
+    messages without turn or conversation, quote and are quoted by nobody."""
+    said = messages.where(F.col(text).isNotNull()).groupBy(F.col(conv_id).alias("_its_conv"), F.col(turn).alias("_its_turn"))
+    said = said.agg(F.max(text).alias("_said"))
+    rows = messages
+    for level in range(1, depth):
+        marks = ">" * level + " "
+        quoted = F.concat(F.lit(marks), F.regexp_replace("_said", "\n", "\n" + marks))
+        before = said.select("_its_conv", "_its_turn", quoted.alias(f"_quoted_{level}"))
+        asks = F.when(F.pmod(F.col(turn), F.lit(depth)) >= level, F.col(turn) - level)
+        here = (F.col(conv_id) == F.col("_its_conv")) & (asks == F.col("_its_turn"))
+        rows = rows.join(before, here, "left").drop("_its_conv", "_its_turn")
+    quotes = [F.col(f"_quoted_{level}") for level in range(depth - 1, 0, -1)]
+    full = F.when(F.col(text).isNotNull(), F.concat_ws("\n", *quotes, F.col(text)))
+    return rows.withColumn(text, full).select(*messages.columns)

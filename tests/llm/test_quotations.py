@@ -74,3 +74,16 @@ def test_clashing_names(table):
     found = q.conversations(df).collect()
     assert {(r["conv_id"], r["turn"], r["reply_to"], r["own_text"]) for r in found} == plain
     assert all(r[n] == n for r in found for n in names)
+
+
+def test_turns_with_quotes(table):
+    rows = [(1, t, f"Turn {t}.\n\nIt has {t} lines.", t) for t in range(7)] + [(2, 1, "alone", 0), (3, 0, None, 0), (3, 1, "x", 0), (None, 1, "y", 0), (4, None, "z", 0)]
+    df = table(rows, "conv_id bigint, turn bigint, text string, thread int")
+    texts = {(r["conv_id"], r["turn"]): r["text"] for r in q.with_quotes(df).collect()}
+    assert texts[1, 2] == ">> Turn 0.\n>> \n>> It has 0 lines.\n> Turn 1.\n> \n> It has 1 lines.\nTurn 2.\n\nIt has 2 lines."
+    assert [texts[k] for k in [(1, 3), (2, 1), (3, 0), (3, 1), (None, 1), (4, None)]] == ["Turn 3.\n\nIt has 3 lines.", "alone", None, "x", "y", "z"]
+    found = {(r["conv_id"], r["turn"]): r for r in q.conversations(q.with_quotes(df)).collect()}
+    assert [(found[1, t]["reply_to"], found[1, t]["thread"], found[1, t]["n_passages"], found[1, t]["n_linked"]) for t in range(7)] == [
+        (None, 0, 0, 0), (0, 0, 1, 1), (1, 0, 2, 2), (None, 3, 0, 0), (3, 3, 1, 1), (4, 3, 2, 2), (None, 6, 0, 0),
+    ]
+    assert all(r["own_text"] == (next(x[2] for x in rows if x[:2] == k) or "") for k, r in found.items())
