@@ -25,7 +25,7 @@ from eventweir.llm import (
     warc,
 )
 from eventweir.llm.text import session
-from eventweir.session import scratch_path
+from eventweir.session import scratch_path, written_table
 
 QUERIES = {}
 ORACLES = {}
@@ -274,7 +274,7 @@ def op5(spark, table):
 
     The table quotes nothing, so each turn first gets its ``turn % 3``
     predecessors as quotes of as many levels."""
-    return quotations.conversations(quotations.with_quotes(table("conversations")))
+    return quotations.conversations(written_table(quotations.with_quotes(table("conversations")), "quoting"))
 
 
 @query("op8_toxicity")
