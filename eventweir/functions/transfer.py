@@ -13,6 +13,9 @@ from pyarrow import fs
 
 BLOCK = 4 * 1024 * 1024
 
+#: What Spark escapes in folder names, besides control characters.
+ESCAPED = "\"#%'*/:=?\\\x7f{[]^"
+
 
 def open_location(location: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a location (plain path, ``file:``, ``hdfs:``,
@@ -134,10 +137,10 @@ def concatenate(sources: list[str], target: str) -> int:
     partial = f"{parent}/_{uuid.uuid4().hex}.partial"
     size = 0
     try:
-        with system.open_output_stream(partial) as out:
+        with system.open_output_stream(partial, compression=None) as out:
             for source in sources:
                 origin, origin_path = open_location(source)
-                with origin.open_input_stream(origin_path) as data:
+                with origin.open_input_stream(origin_path, compression=None) as data:
                     while block := data.read(BLOCK):
                         out.write(block)
                         size += len(block)
@@ -152,13 +155,38 @@ def concatenate(sources: list[str], target: str) -> int:
     return size
 
 
+def unique_name(source: str) -> str:
+    """A file's name after a digest of where it lies, as files of several folders may share one."""
+    return f"{hashlib.md5(source.encode()).hexdigest()[:12]}-{source.rsplit('/', 1)[-1]}"
+
+
+def object_name(root: str, event_type: str, date: str, hour: str, source: str) -> str:
+    """Where a staged file belongs below ``root``, in folders as Spark names those of a bucket."""
+    kind = "".join(f"%{ord(c):02X}" if c < " " or c in ESCAPED else c for c in event_type)
+    return f"{root}/event_type={kind or '__HIVE_DEFAULT_PARTITION__'}/date={date}/hour={hour}/{unique_name(source)}"
+
+
+def put_file(source: str, target: str) -> None:
+    """Copy a file over one that may be there."""
+    concatenate([source], target)
+
+
+def is_file(location: str) -> bool:
+    system, path = open_location(location)
+    return system.get_file_info(path).type == fs.FileType.File
+
+
+def remove_file(location: str) -> None:
+    system, path = open_location(location)
+    system.delete_file(path)
+
+
 def move_into(source: str, folder: str) -> str:
     """Move a file into ``folder`` under a name that is unique to its old location."""
     system, path = open_location(source)
     target_system, target_dir = open_location(folder)
     target_system.create_dir(target_dir, recursive=True)
-    digest = hashlib.md5(source.encode()).hexdigest()[:12]
-    target = f"{target_dir.rstrip('/')}/{digest}-{path.rsplit('/', 1)[-1]}"
+    target = f"{target_dir.rstrip('/')}/{unique_name(source)}"
     if system.get_file_info(path).type == fs.FileType.NotFound:
         # A repeated attempt finds the move already done.
         if target_system.get_file_info(target).type != fs.FileType.NotFound:

@@ -43,7 +43,12 @@ def file_verdicts(lines: DataFrame) -> DataFrame:
 
 
 def verify_files(spark: SparkSession, path: str) -> DataFrame:
-    """``file, size, n_records, first_type, status`` of every file below ``path``.
+    """``verify_listing`` of every file below ``path``."""
+    return verify_listing(list_objects(spark, path).select(F.col("location").alias("file"), "size"))
+
+
+def verify_listing(listing: DataFrame) -> DataFrame:
+    """``file, size, n_records, first_type, date, hour, status`` of files (``file, size``).
 
     A file is ``ok`` when all of it decompresses and parses and its first line
     is an event with a type and a time; otherwise the whole file is
@@ -53,7 +58,6 @@ def verify_files(spark: SparkSession, path: str) -> DataFrame:
     Tasks open the files themselves: Spark's readers believe the sizes that
     broken compressed files name, and fail the job.
     """
-    listing = list_objects(spark, path).select(F.col("location").alias("file"), "size")
 
     def inspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -62,13 +66,17 @@ def verify_files(spark: SparkSession, path: str) -> DataFrame:
                 whole=[f[0] for f in found], n_records=[f[1] for f in found], first_line=[f[2] for f in found]
             )
 
-    tasks = max(spark.sparkContext.defaultParallelism, 1)
+    tasks = max(listing.sparkSession.sparkContext.defaultParallelism, 1)
     inspected = listing.repartition(tasks * 4, "file").mapInPandas(
         inspect, "file string, size bigint, whole boolean, n_records bigint, first_line string"
     )
     event = with_instant(inspected.select("*", F.from_json("first_line", ENVELOPE_TEXT).alias("_e")).select("*", "_e.*"))
     ok = F.col("whole") & F.col("type").isNotNull() & F.col("timestamp").isNotNull()
-    return event.select("file", "size", "n_records", F.col("type").alias("first_type"), F.when(ok, "ok").otherwise("corrupt").alias("status"))
+    ts = F.col("timestamp")
+    return event.select(
+        "file", "size", "n_records", F.col("type").alias("first_type"), utc_date(ts).alias("date"), utc_hour(ts).alias("hour"),
+        F.when(ok, "ok").otherwise("corrupt").alias("status"),
+    )
 
 
 def file_partition(lines: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from eventweir.functions.transfer import is_committed, subfolders
 from eventweir.operators.routing import all_tap_specs, build_flows, diff_flows, retain_cached_flows
+from eventweir.session import delete_folder
 from eventweir.sources.taps import read_discovery, read_static_taps
 
 FLOW_SCHEMA = "event_type string, flow_id string, destinations array<string>, qos_enabled boolean, last_known bigint"
@@ -20,6 +21,7 @@ class FlowTable:
     ``root`` is a shared folder; each refresh writes a new version there.
     ``announcements`` reads the current announcements (``properties``);
     ``static_taps`` is the configuration table.  Times are in one integer unit.
+    The ``keep`` newest versions (two at least) stay for readers at work.
     """
 
     def __init__(
@@ -31,12 +33,14 @@ class FlowTable:
         start_time: int,
         ttl: int = 0,
         allow_http: bool = False,
+        keep: int = 16,
     ):
         self.spark = spark
         self.root = root.rstrip("/")
         self.announcements = announcements
         self.static_specs = read_static_taps(static_taps, F.lit(start_time).cast("bigint"))
         self.ttl = ttl
+        self.keep = max(keep, 2)
         self.allow_http = allow_http
         self.last_error: Exception | None = None
         self.version = self._latest_version()
@@ -65,6 +69,8 @@ class FlowTable:
             flows.select(*[c.split()[0] for c in FLOW_SCHEMA.split(", ")]).write.mode("overwrite").parquet(self._path(self.version + 1))
             self.version += 1
             self.last_error = None
+            if self.version > self.keep:
+                delete_folder(self.spark, self._path(self.version - self.keep))
         except Exception as error:
             self.last_error = error
         return self.flows()

@@ -84,5 +84,10 @@ def remove_tables(spark: SparkSession, path: str) -> None:
     """Delete a folder below the shared one with all that was written to it."""
     if not path.startswith(shared_root(spark) + "/"):
         raise ValueError(f"not below the shared folder: {path}")
+    delete_folder(spark, path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there, on whatever file system it is."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from eventweir.functions import transfer
 from eventweir.functions.inspection import inspect_file
 from eventweir.operators import files as ops
+from eventweir.plans import recover
 from eventweir.session import settings, shared_root, written_table
 from eventweir.sinks.spool import read_spool_lines, write_spool
 from eventweir.sources.events import read_event_log
@@ -261,3 +262,113 @@ def test_files_are_retried_each_period(table):
 def test_scratch_follows_the_session_setting(spark, table):
     stored = written_table(table([(1,)], "n int"), "x")
     assert all(f.startswith("file://" + shared_root(spark)) for f in stored.inputFiles())
+
+
+def staged_files(folder):
+    """A recovery over good, broken and empty files."""
+    root = folder("recovery")
+    for name in ("a/one.json", "b/one.json"):
+        put(root, f"staging/{name}", GOOD)
+    put(root, "staging/odd.json.gz", gzip.compress(b'{"type":"a/b=\\u00e9","uuid":"1","timestamp":"2024-01-02T03:00:00Z","data":{}}\n'))
+    put(root, "staging/cut.json.gz", gzip.compress(GOOD * 500)[:-9])
+    put(root, "staging/line.json", GOOD + b"{\n")
+    put(root, "staging/empty.json", b"")
+    return recover.Recovery(*[f"{root}/{name}" for name in ("staging", "target", "failed", "log")], period=300)
+
+
+def refusing(word):
+    def attempt(source, target):
+        if word in source:
+            raise OSError("the store is away")
+        transfer.put_file(source, target)
+
+    return attempt
+
+
+def with_put(config, put):
+    return recover.Recovery(config.staging, config.target, config.failed, config.root, config.period, put)
+
+
+def outcomes(done):
+    return [("/".join(f.split("/staging/")[1:]), n, o) for f, n, o in rows(done, "file", "attempt", "outcome")]
+
+
+def test_left_over_files_are_stored_failed_or_wait(spark, folder):
+    config = staged_files(folder)
+    first = recover.recover_files(spark, with_put(config, refusing("/a/")), 1000)
+    assert outcomes(first) == [
+        ("a/one.json", 1, "failure"),
+        ("b/one.json", 1, "success"),
+        ("cut.json.gz", 1, "corrupt"),
+        ("empty.json", 1, "corrupt"),
+        ("line.json", 1, "corrupt"),
+        ("odd.json.gz", 1, "success"),
+    ]
+    assert "the store is away" in first.where("outcome = 'failure'").first()["message"]
+    assert len(os.listdir(config.failed)) == 3
+    assert rows(read_spool_lines(spark, config.target), "event_type", "date", "hour") == [
+        ("Test", "2024-01-01", "00"),
+        ("Test", "2024-01-01", "00"),
+        ("a/b=\u00e9", "2024-01-02", "03"),
+    ]
+    assert rows(recover.waiting_files(spark, config), "attempts", "due_at") == [(1, 1300)]
+
+    # Not due yet; a new file goes at once.
+    put(config.staging, "c/one.json", GOOD)
+    assert outcomes(recover.recover_files(spark, config, 1299)) == [("c/one.json", 1, "success")]
+    assert rows(recover.waiting_files(spark, config), "attempts", "due_at") == [(1, 1300)]
+    # Again and again without limit.
+    assert outcomes(recover.recover_files(spark, with_put(config, refusing("/a/")), 1300)) == [("a/one.json", 2, "failure")]
+    assert outcomes(recover.recover_files(spark, config, 1599)) == []
+    assert outcomes(recover.recover_files(spark, config, 1600)) == [("a/one.json", 3, "success")]
+    assert recover.waiting_files(spark, config).count() == 0
+    assert [f for _, _, found in os.walk(config.staging) for f in found] == []
+    assert read_spool_lines(spark, config.target).count() == 7
+
+    log = recover.read_attempts(spark, config)
+    assert rows(log.groupBy("pass").count()) == [(1, 6), (2, 1), (3, 1), (5, 1)]
+    assert rows(ops.upload_stats(log), "metric", "event_type", "status", "n") == [
+        ("processed_files", "Test", "uploaded", 3),
+        ("processed_files", "a/b=\u00e9", "uploaded", 1),
+        ("processed_files", "unknown", "corrupt", 3),
+        ("processed_time", "Test", None, 5),
+        ("processed_time", "a/b=\u00e9", None, 1),
+        ("upload_attempts", "Test", "failure", 2),
+        ("upload_attempts", "Test", "success", 3),
+        ("upload_attempts", "a/b=\u00e9", "success", 1),
+    ]
+
+
+def test_a_pass_that_died_is_finished_first(spark, folder):
+    config = staged_files(folder)
+    recover._plan(spark, config, 1, 1000)
+    # It had put one file and removed it, put another, and moved a broken one.
+    names = {name: f"{config.staging}/{name}" for name in ("a/one.json", "b/one.json", "line.json")}
+    goal = {name: transfer.object_name(config.target, "Test", "2024-01-01", "00", path) for name, path in names.items()}
+    transfer.put_file(names["a/one.json"], goal["a/one.json"])
+    transfer.remove_file(names["a/one.json"])
+    transfer.put_file(names["b/one.json"], goal["b/one.json"])
+    transfer.move_into(names["line.json"], config.failed)
+    put(config.staging, "late.json", GOOD)
+    assert outcomes(recover.recover_files(spark, config, 2000)) == [("late.json", 1, "success")]
+    assert {o for _, _, o in outcomes(recover.read_attempts(spark, config, 1).where("event_type = 'Test'"))} == {"success"}
+    assert rows(recover.read_attempts(spark, config).groupBy("outcome").count()) == [("corrupt", 3), ("success", 4)]
+    assert read_spool_lines(spark, config.target).count() == 7
+    assert len(os.listdir(config.failed)) == 3
+
+
+def test_a_plan_that_is_half_written_is_made_anew(spark, folder):
+    config = staged_files(folder)
+    recover._plan(spark, config, 1, 1000)
+    os.remove(f"{config.root}/plan=000000001/_SUCCESS")
+    assert len(outcomes(recover.recover_files(spark, config, 2000))) == 6
+    assert recover.read_attempts(spark, config).agg(F.max("finished_at")).first()[0] == 2000
+
+
+def test_nothing_staged(spark, folder):
+    root = folder("none")
+    config = recover.Recovery(*[f"{root}/{name}" for name in ("staging", "target", "failed", "log")])
+    assert recover.read_attempts(spark, config).count() == 0
+    for _ in range(4):
+        assert recover.recover_files(spark, config, 0).count() == 0
+    assert len([n for n in os.listdir(config.root) if n.startswith("plan=")]) == recover.KEEP

@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 
 from eventweir.functions.locations import size_class
 from eventweir.operators import combine as ops
+from eventweir.functions.transfer import put_file
 from eventweir.operators.files import quarantine_corrupt, verify_files
 from eventweir.operators.packing import pack_first_fit
 from eventweir.plans.combine import CombineConfig, run_combine
 from eventweir.plans.ingest import accepted_events
+from eventweir.plans.recover import Recovery, read_attempts, recover_files
 from eventweir.schema import GROUP, MANIFEST
 from eventweir.session import scratch_path, written_table
 from eventweir.sinks.manifests import claim_groups, write_manifest, write_snapshot
-from eventweir.sinks.spool import spool_lines, write_spool
+from eventweir.sinks.spool import read_spool_lines, spool_lines, write_spool
 from eventweir.sources.events import stream_events
 from eventweir.sources.listing import list_partitions, with_bucket, with_location_parts
 from eventweir.sources.manifests import explode_parts, group_headers, read_headers, read_manifests
@@ -368,6 +370,51 @@ def _(t):
     return after.where(place == F.col("status")).groupBy(named.alias("event_type"), place.alias("status")).agg(F.sum("n_records").alias("n_records"))
 
 
+RECOVERED = f"""
+SELECT type AS event_type, seq % 4 AS kind, count(*) AS n_records, min_by(event_ts, seq) AS first_ts
+FROM ({fx.ENVELOPE}) x GROUP BY 1, 2"""
+
+
+@query(
+    "recover_files",
+    f"""WITH f AS (SELECT *, strftime(first_ts, '%Y-%m-%d') AS date, strftime(first_ts, '%H') AS hour FROM ({RECOVERED}) x),
+    a AS (SELECT 1 AS pass, 1 AS attempt, CASE kind WHEN 0 THEN 'corrupt' WHEN 3 THEN 'success' ELSE 'failure' END AS outcome, * FROM f
+    UNION ALL SELECT 3, 2, CASE kind WHEN 1 THEN 'success' ELSE 'failure' END, * FROM f WHERE kind IN (1, 2)),
+    c AS (SELECT event_type, date, hour, sum(n_records) AS n FROM a WHERE outcome = 'success' GROUP BY 1, 2, 3)
+    SELECT CAST(pass AS INTEGER) AS pass, CAST(attempt AS INTEGER) AS attempt, outcome, CAST(kind AS INTEGER) AS kind,
+      CASE WHEN outcome <> 'corrupt' THEN a.event_type END AS event_type, CASE WHEN outcome <> 'corrupt' THEN a.date END AS date,
+      CASE WHEN outcome <> 'corrupt' THEN a.hour END AS hour, n_records, CASE WHEN outcome = 'success' THEN CAST(c.n AS BIGINT) END AS n_in_bucket
+    FROM a LEFT JOIN c ON a.event_type = c.event_type AND a.date = c.date AND a.hour = c.hour""",
+)
+def _(t):
+    """Files of four kinds per type: with a broken line, refused once by the store, always refused, and good.
+    Three passes, the second before anything is due; beside each file stored, what its bucket holds in the end."""
+    root = scratch_path(t.spark, "recovery")
+    events = fx.envelope(t).withColumn("kind", (F.col("seq") % 4).cast("int"))
+    lines = spool_lines(events, "kind", "seq").select("event_type", "kind", "seq", "value")
+    last = lines.where("kind = 0").groupBy("event_type", "kind").agg((F.max("seq") + 1).alias("seq"), F.lit("{").alias("value"))
+    lines = lines.unionByName(last).repartition("event_type", "kind").sortWithinPartitions("event_type", "kind", "seq")
+    lines.drop("seq").write.partitionBy("event_type", "kind").option("compression", "gzip").text(f"{root}/staging")
+
+    def refusing(*kinds):
+        def put(source, target):
+            if any(f"/kind={k}/" in source for k in kinds):
+                raise OSError("not now")
+            put_file(source, target)
+
+        return put
+
+    folders = [f"{root}/{name}" for name in ("staging", "target", "failed", "log")]
+    for at, kinds in ((1000, (1, 2)), (1299, ()), (1300, (2,))):
+        config = Recovery(*folders, period=300, put=refusing(*kinds))
+        recover_files(t.spark, config, at)
+    stored = read_spool_lines(t.spark, f"{root}/target").groupBy("event_type", "date", "hour").agg(F.count("*").alias("n_in_bucket"))
+    log = read_attempts(t.spark, config).withColumn("kind", F.regexp_extract("file", "/kind=([0-9])/", 1).cast("int"))
+    log = log.join(stored, ["event_type", "date", "hour"], "left")
+    held = F.when(F.col("outcome") == "success", F.col("n_in_bucket")).alias("n_in_bucket")
+    return log.select("pass", "attempt", "outcome", "kind", "event_type", "date", "hour", "n_records", held)
+
+
 def written_batches(t, text=fx.ENVELOPE) -> str:
     """Request bodies as files to stream in."""
     path = scratch_path(t.spark, "arriving")
