@@ -37,13 +37,26 @@ def combined_prefix(target: str, size_class: Column) -> Column:
     return F.concat(bucket, F.lit("."), size_class)
 
 
-def combined_location(prefix: Column, ordinal: Column, suffix: str = "json.snappy") -> Column:
+def combined_location(prefix: Column, ordinal: Column, suffix: str | Column = "json.snappy") -> Column:
     """``prefix.00007.json.snappy`` for the object with ordinal 7.
 
-    The suffix follows the codec the parts were written with."""
-    if suffix.startswith("."):
-        raise ValueError(f"suffix starts with dot: {suffix}")
-    return F.concat(prefix, F.format_string(f".%05d.{suffix}", ordinal))
+    The suffix follows the codec the parts were written with, see ``suffix_of``."""
+    if isinstance(suffix, str):
+        if suffix.startswith("."):
+            raise ValueError(f"suffix starts with dot: {suffix}")
+        suffix = F.lit(suffix)
+    return F.concat(prefix, F.format_string(".%05d.", ordinal), suffix)
+
+
+def location_codec(location: Column) -> Column:
+    """The codec a file's name ends with, empty for none."""
+    return F.regexp_extract(location, r"\.(snappy|gz|zst|zstd|bz2|lz4|deflate)$", 1)
+
+
+def suffix_of(location: Column) -> Column:
+    """Suffix of an object that joins files like this one."""
+    codec = location_codec(location)
+    return F.when(codec == "", F.lit("json")).otherwise(F.concat(F.lit("json."), codec))
 
 
 def size_class(size: Column) -> Column:

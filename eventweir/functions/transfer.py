@@ -45,6 +45,13 @@ def subfolders(root: str) -> list[str]:
     return sorted(f.base_name for f in system.get_file_info(fs.FileSelector(path)) if f.type == fs.FileType.Directory)
 
 
+def file_names(root: str) -> list[str]:
+    """Names of the files directly in ``root`` but those that start with an underscore or a dot."""
+    system, path = open_location(root)
+    found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    return sorted(f.base_name for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")))
+
+
 def list_folder(root: str, deep: bool, content_etag: bool = False) -> list[tuple]:
     """What lies in a folder (``deep``: all files at any depth below it):
     ``(location, is_folder, size, last_modified, etag)``.

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventweir.functions.locations import DEFAULT_TARGET, combined_location, combined_prefix, size_class
+from eventweir.functions.locations import DEFAULT_TARGET, combined_location, combined_prefix, location_codec, size_class, suffix_of
 from eventweir.schema import GROUP
 from eventweir.sources.manifests import explode_parts, group_headers
 
@@ -96,13 +96,14 @@ def in_writable_groups(df: DataFrame, headers: DataFrame, node: str, now_ms: int
 
 
 def next_manifest(
-    manifest: DataFrame, placed: DataFrame, target_root: str, node: str, now_ms: int, suffix: str = "json.snappy"
+    manifest: DataFrame, placed: DataFrame, target_root: str, node: str, now_ms: int, suffix: str | None = "json.snappy"
 ) -> DataFrame:
     """The manifest after the placements of ``pack_first_fit``.
 
     Every added part is one update of its group: it raises the version by one.
     Groups without new parts stay as they are.  A combined object's parts are
     gathered in one row; an object is closed at the target size, a group is not.
+    Without a ``suffix`` a new object's is that of its first part.
     """
     part = F.struct("part_no", "location", "etag", "size", "last_modified")
     stripped = F.transform(
@@ -116,6 +117,7 @@ def next_manifest(
 
     objects = manifest.select(*GROUP, "ordinal", "location", "object_updated_ts", "source_parts")
     joined = objects.join(added, [*GROUP, "ordinal"], "full_outer").join(groups, GROUP, "left")
+    joined = joined.withColumn("_sorted", stripped)
     changed, touched = F.col("_updates").isNotNull(), F.col("_added").isNotNull()
     prefix = combined_prefix(target_root, F.col("size_class"))
     none = F.array().cast(manifest.schema["source_parts"].dataType)
@@ -126,9 +128,9 @@ def next_manifest(
         F.when(changed, F.lit(node)).otherwise(F.col("_creator")).alias("creator"),
         F.when(changed, F.lit(now_ms)).otherwise(F.col("_updated_ts")).cast("bigint").alias("updated_ts"),
         "ordinal",
-        F.coalesce("location", combined_location(prefix, F.col("ordinal"), suffix)).alias("location"),
+        F.coalesce("location", combined_location(prefix, F.col("ordinal"), suffix or suffix_of(F.get("_sorted", F.lit(0))["location"]))).alias("location"),
         F.when(touched, F.lit(now_ms)).otherwise(F.col("object_updated_ts")).cast("bigint").alias("object_updated_ts"),
-        F.concat(F.coalesce("source_parts", none), F.coalesce(stripped, none)).alias("source_parts"),
+        F.concat(F.coalesce("source_parts", none), F.coalesce("_sorted", none)).alias("source_parts"),
     )
 
 
@@ -160,12 +162,28 @@ def combine_worklist(manifest: DataFrame, staged: DataFrame, targets: DataFrame)
     return work.where(stale).select(*GROUP, "ordinal", "location", "size", "n_parts", "target_size", "source_parts")
 
 
+def is_mixed(source_parts: Column) -> Column:
+    """Are there small and large files among the parts of an object."""
+    return F.size(F.array_distinct(F.transform(source_parts, lambda p: size_class(p["size"])))) > 1
+
+
 def mixed_objects(manifest: DataFrame) -> DataFrame:
     """Combined objects made of both small and large files, which must not be."""
-    classes = explode_parts(manifest).groupBy(*GROUP, "ordinal").agg(
-        F.min(size_class(F.col("size"))).alias("_a"), F.max(size_class(F.col("size"))).alias("_b")
+    return manifest.where(is_mixed(F.col("source_parts"))).select(*GROUP, "ordinal")
+
+
+def object_problem(location: Column, source_parts: Column) -> Column:
+    """Why a combined object must not be made of its parts; NULL if it may be.
+
+    Small and large files are not mixed, and files can only be put end to end
+    if they and the object have the same codec."""
+    codecs = F.array_distinct(F.transform(source_parts, lambda p: location_codec(p["location"])))
+    named = F.array_sort(F.transform(codecs, lambda c: F.when(c == "", "none").otherwise(c)))
+    return (
+        F.when(is_mixed(source_parts), "small and large files in one object")
+        .when(F.size(codecs) > 1, F.concat(F.lit("several codecs: "), F.array_join(named, ", ")))
+        .when(F.get(codecs, F.lit(0)) != location_codec(location), "the parts have another codec than the object")
     )
-    return classes.where("_a <> _b").select(*GROUP, "ordinal")
 
 
 def combine_completed(types: DataFrame, group_id: str, at: Column) -> DataFrame:

@@ -32,7 +32,7 @@ class CombineConfig:
     start_days_ago: int = ops.START_DAYS_AGO
     end_days_ago: int = ops.END_DAYS_AGO
     no_date_limit: bool = False
-    suffix: str = "json.snappy"
+    suffix: str | None = None  # that of the parts
     stop_on_error: bool = False
     high_priority: list[str] = field(default_factory=list)
     low_priority: list[str] = field(default_factory=list)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventweir.functions.transfer import concatenate
+from eventweir.operators.combine import object_problem
 from eventweir.session import settings, written_table
 
 TASK_BYTES = 512 * 1024 * 1024
@@ -23,7 +24,8 @@ def compact(worklist: DataFrame, stop_on_error: bool = False, name: str = "compa
     put end to end, which costs no decoding and makes the result exactly as
     large as its parts, so the next pass sees that it is done.  An object is
     one task's work; it is not much larger than the target size.  A failing
-    object does not stop the others unless ``stop_on_error``.  Rows with a lower
+    object does not stop the others unless ``stop_on_error``.  Objects that mix
+    size classes or codecs fail before a byte is copied.  Rows with a lower
     ``rank``, if there is one, go first.  The work is done when this returns.
     """
 
@@ -34,7 +36,8 @@ def compact(worklist: DataFrame, stop_on_error: bool = False, name: str = "compa
 
     if "rank" not in worklist.columns:
         worklist = worklist.withColumn("rank", F.lit(0))
-    work = worklist.select("rank", "location", "size", F.col("source_parts.location").alias("sources"))
+    problem = object_problem(F.col("location"), F.col("source_parts"))
+    work = worklist.select("rank", "location", "size", F.col("source_parts.location").alias("sources"), problem.alias("problem"))
     work = written_table(work, name)
     # Rows are short but stand for much work, so the number of tasks follows the
     # bytes to copy.  Tasks start in order: low ranks, the urgent types, first.
@@ -50,6 +53,8 @@ def compact(worklist: DataFrame, stop_on_error: bool = False, name: str = "compa
 
 def _rewrite_one(row, stop_on_error: bool) -> tuple:
     try:
+        if row.problem is not None:
+            raise ValueError(row.problem)
         size = concatenate(list(row.sources), row.location)
         if size != row.size:
             raise OSError(f"{size} bytes written, {row.size} expected")

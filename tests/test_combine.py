@@ -1,3 +1,4 @@
+from concurrent.futures import ThreadPoolExecutor
 import datetime as dt
 import json
 import os
@@ -12,6 +13,7 @@ from eventweir.functions.locations import combined_location, location_parts, pri
 from eventweir.functions.transfer import create_exclusive, read_small
 from eventweir.operators import combine as ops
 from eventweir.operators.packing import pack_first_fit
+from eventweir.plans import schedule
 from eventweir.plans.combine import CombineConfig, run_combine
 from eventweir.schema import GROUP, MANIFEST
 from eventweir.sinks.compact import compact
@@ -357,6 +359,97 @@ def test_a_failing_object_does_not_stop_the_others(spark, table, folder, tmp_pat
         compact(work, stop_on_error=True)
 
 
+def test_objects_follow_the_codec_of_their_parts(spark, table, config):
+    write_spool(events(table, 1, 2), config.staging_root, codec="gzip")
+    write_spool(events(table, 3), config.staging_root, codec="gzip")
+    write_spool(events(table, 4, kind="b"), config.staging_root, codec="none")
+    assert rows(run_combine(spark, config, AT).log, "status") == [("combined",), ("combined",)]
+    got = combined(spark, config)
+    assert sorted(got) == ["a/2024-01-09/08.small.00000.json.gz", "b/2024-01-09/08.small.00000.json"]
+    assert sorted(got["a/2024-01-09/08.small.00000.json.gz"]) == ["a-1", "a-2", "a-3"]
+    # A file of another codec cannot be added; the object stays as it is, others go on.
+    write_spool(events(table, 5), config.staging_root, codec="snappy")
+    write_spool(events(table, 6, kind="b"), config.staging_root, codec="none")
+    log = run_combine(spark, config, AT).log
+    assert rows(log, "status", "message") == [("combined", None), ("failed", "several codecs: gz, snappy")]
+    got = {k: sorted(v) for k, v in combined(spark, config).items()}
+    assert list(got.values()) == [["a-1", "a-2", "a-3"], ["b-4", "b-6"]] or list(got.values()) == [["b-4", "b-6"], ["a-1", "a-2", "a-3"]]
+
+
+def test_size_classes_are_not_mixed_in_a_rewrite(table, folder):
+    root = folder("combined")
+    parts = [("a.json", "e", 2, 0), ("b.json", "e", 5 * MB, 0)]
+    work = table([(f"{root}/x.json", 2 + 5 * MB, parts)], "location string, size bigint, source_parts array<struct<location: string, etag: string, size: bigint, last_modified: bigint>>")
+    assert rows(compact(work), "status", "message") == [("failed", "small and large files in one object")]
+
+
+def later(seconds):
+    return AT + dt.timedelta(seconds=seconds)
+
+
+def test_types_are_due_when_new_and_after_their_delay(spark, table, config, folder):
+    root = folder("schedule")
+    run = lambda s, **more: rows(schedule.run_due(spark, config, root, later(s), delay=300, **more), "event_type", "status", "n_placed")
+    write_spool(events(table, 1), config.staging_root)
+    assert run(0) == [("a", "combined", 1)]
+    write_spool(events(table, 2), config.staging_root)
+    write_spool(events(table, 1, kind="b"), config.staging_root)
+    assert run(100) == [("b", "combined", 1)]
+    assert run(299) == []
+    assert run(300, ended=lambda: later(350)) == [("a", "combined", 1)]
+    # The delay begins at the end of a run.
+    assert run(649) == [("b", "combined", 0)]
+    assert run(650) == [("a", "combined", 0)]
+    assert {k: sorted(v) for k, v in combined(spark, config).items()} == {
+        "a/2024-01-09/08.small.00000.json.snappy": ["a-1", "a-2"],
+        "b/2024-01-09/08.small.00000.json.snappy": ["b-1"],
+    }
+    assert len(os.listdir(f"{root}/type=a")) == 4  # the last run and the one before
+
+
+def test_two_schedulers_share_the_types(spark, table, config, folder):
+    root = folder("schedule")
+    write_spool(events(table, 1), config.staging_root)
+    ours = schedule.claim_due(config, root, 0)
+    assert ours == {"a": 1}
+    # While one combines its type, the other takes what is left, in a pass of its own.
+    write_spool(events(table, 1, kind="b"), config.staging_root)
+    with ThreadPoolExecutor(2) as pool:
+        first = pool.submit(schedule._combine, spark, config, AT, sorted(ours), None)
+        second = pool.submit(lambda: rows(schedule.run_due(spark, config, root, AT, lease=10**10), "event_type", "n_written"))
+        assert (first.result()[0][:4], second.result()) == (("a", "combined", 1, 1), [("b", 1)])
+    assert rows(read_manifests(spark, config.manifest_root), "event_type") == [("a",), ("b",)]
+    # The first never said that it ended: its claim counts until the lease is over.
+    assert schedule.claim_due(config, root, 3600, delay=10**10, lease=3601) == {}
+    assert schedule.claim_due(config, root, 3601, delay=10**10, lease=3601) == {"a": 2}
+
+
+def test_of_many_schedulers_one_has_each_type(config, folder):
+    root = folder("schedule")
+    for kind in "abc":
+        os.makedirs(f"{config.staging_root}/event_type={kind}")
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda _: schedule.claim_due(config, root, 0), range(8)))
+    assert sorted(k for g in got for k in g) == ["a", "b", "c"]
+
+
+def test_a_failing_type_stops_no_other(spark, table, config, folder, monkeypatch):
+    write_spool(events(table, 1), config.staging_root)
+    write_spool(events(table, 1, kind="b"), config.staging_root)
+
+    def breaking(spark, config, as_of, types, announce):
+        if "a" in types:
+            raise RuntimeError("no")
+        return run_combine(spark, config, as_of, types, announce)
+
+    monkeypatch.setattr(schedule, "run_combine", breaking)
+    root = folder("schedule")
+    got = rows(schedule.run_due(spark, config, root, AT), "event_type", "status", "n_placed", "message")
+    assert got == [("a", "failed", 0, "RuntimeError: no"), ("b", "combined", 1, None)]
+    assert rows(schedule.run_due(spark, config, root, later(299)), "event_type") == []
+    assert rows(schedule.run_due(spark, config, root, later(300)), "event_type", "status") == [("a", "failed"), ("b", "combined")]
+
+
 def test_completion_events_are_ordinary_events(table):
     types = table([("a",), ("a",), ("b",)], "event_type string")
     out = ops.combine_completed(types, "g", F.lit("2024-01-01 00:00:00").cast("timestamp"))

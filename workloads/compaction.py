@@ -13,6 +13,7 @@ from eventweir.operators.files import quarantine_corrupt, verify_files
 from eventweir.operators.packing import pack_first_fit
 from eventweir.plans.combine import CombineConfig, run_combine
 from eventweir.plans.ingest import accepted_events
+from eventweir.plans.schedule import run_due
 from eventweir.plans.recover import Recovery, read_attempts, recover_files
 from eventweir.schema import GROUP, MANIFEST
 from eventweir.session import scratch_path, written_table
@@ -347,6 +348,30 @@ def _(t):
     )
 
 
+@query(
+    "combine_schedule",
+    f"""WITH e AS (SELECT type AS event_type, count(*) AS n, count(*) FILTER (WHERE seq % 2 = 0) AS n_early FROM ({fx.ENVELOPE}) x GROUP BY 1)
+    SELECT CAST(tick AS INTEGER) AS tick, event_type, 'combined' AS status, CASE WHEN tick = 2 OR (tick = 3 AND event_type <> 'error') THEN n ELSE n_early END AS n_combined
+    FROM e, (VALUES (1), (2), (3)) t(tick) WHERE (tick = 2) = (event_type = 'error')""",
+)
+def _(t):
+    """Half of the events of all types but one arrive, then the rest and a new type.  New types are due at
+    once, others after their delay; beside each run the events its type has in combined objects."""
+    staging = scratch_path(t.spark, "staging")
+    config = combine_config(t, staging, start_days_ago=60)
+    schedule = scratch_path(t.spark, "schedule")
+    events, new = fx.envelope(t), F.col("type") == "error"
+    done = []
+    for tick, (arriving, seconds) in enumerate(((~new & (F.col("seq") % 2 == 0), 0), (new | (F.col("seq") % 2 == 1), 200), (None, 300)), 1):
+        if arriving is not None:
+            write_spool(events.where(arriving), staging)
+        ran = run_due(t.spark, config, schedule, COMBINE_AT + dt.timedelta(seconds=seconds), delay=300)
+        held = combined_events(t, config).groupBy("event_type").agg(F.count("*").alias("n_combined"))
+        ran = ran.join(held, "event_type").select(F.lit(tick).alias("tick"), "event_type", "status", "n_combined")
+        done.append(written_table(ran, "tick"))
+    return done[0].unionByName(done[1]).unionByName(done[2])
+
+
 @query(
     "quarantine_corrupt",
     f"""SELECT type AS event_type, 'ok' AS status, count(*) AS n_records FROM ({fx.ENVELOPE}) x GROUP BY 1
