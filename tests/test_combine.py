@@ -1,4 +1,3 @@
-from concurrent.futures import ThreadPoolExecutor
 import datetime as dt
 import json
 import os
