@@ -478,7 +478,6 @@ def test_a_version_is_replaced_once(spark, table, folder):
 
 
 def test_of_many_at_once_one_creates(folder):
-
     path = f"{folder('claims')}/a/b"
     with ThreadPoolExecutor(16) as pool:
         made = list(pool.map(lambda i: create_exclusive(path, str(i).encode()), range(64)))

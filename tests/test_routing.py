@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from eventweir.functions.uris import audit_uri_list, parse_qos
 from eventweir.operators import routing as ops
 from eventweir.operators.joins import join_small
+from eventweir.functions.transfer import subfolders
 from eventweir.plans.flow_table import FlowTable
 from eventweir.sources.taps import read_discovery, read_static_taps
 
@@ -193,3 +194,14 @@ def test_flow_table_keeps_its_last_version(spark, table, folder):
     # A restart goes on from the stored version.
     again = FlowTable(spark, flows.root, lambda: table([], PROPS), table([("s@1", "http://s", None)], STATIC), 0)
     assert rows(again.flows(), "event_type") == [("b",), ("s",)]
+
+
+def test_old_versions_are_removed(spark, table, folder):
+    static = table([("s@1", "http://s", None)], STATIC)
+    flows = FlowTable(spark, folder("flows"), lambda: table([], PROPS), static, 0, keep=2)
+    for now in range(4):
+        flows.refresh(now)
+    assert flows.last_error is None
+    assert subfolders(flows.root) == ["version=000000003", "version=000000004"]
+    # Both versions that changes are told from are there.
+    assert rows(flows.flows(), "event_type") == rows(flows.changes(), "event_type") == [("s",)]
