@@ -58,9 +58,13 @@ def deliver(
 
     Delivery is at least once: a batch whose task is lost is sent again.
     Everything is sent, and the attempts are stored, when this returns.
+
+    Only tables of flows and taps are broadcast.  What is due or waits for a
+    round grows with the batches, so it is joined by shuffles.
     """
     targets = small_table(_targets(flows, tap_state), "targets")
-    ready = _ready(batches, targets, retry_count)
+    whole = _whole(batches)
+    ready = _ready(whole, targets).withColumn("tried", F.lit(0))
     first = small_table(_pilots(ready, targets), "pilots")
     waves, state, rest = [], tap_state, ready
     if first.take(1):
@@ -69,13 +73,12 @@ def deliver(
         rest = join_small(ready, first, [*FLOW, "batch_id"], ["batch_id"], "left_anti")
     waves.append(_send_wave(rest, flows, transport, state))
     for _ in range(retry_count):
-        due = small_table(_lost(waves, flows.where("qos_enabled")), "due")
+        due = written_table(_lost(waves, flows.where("qos_enabled")), "due")
         if not due.take(1):
             break
         wait(retry_delay)
         state = small_table(next_tap_state(_ended(waves, flows, retry_count), flows, tap_state), "tap-state")
-        again = join_small(ready.drop("tried"), due, [*FLOW, "batch_id"], ["batch_id"])
-        waves.append(_send_wave(again, flows, transport, state))
+        waves.append(_send_wave(_ready(whole, targets, due), flows, transport, state))
     return reduce(DataFrame.unionByName, waves)
 
 
@@ -95,16 +98,23 @@ def _start() -> Column:
     return F.pmod(F.xxhash64(*FLOW, "batch_id"), F.size("destinations"))
 
 
-def _ready(batches: DataFrame, targets: DataFrame, retry_count: int) -> DataFrame:
-    """Whole batches, stored, for each flow they go to.
-
-    A batch is bounded by the batch size, so it may become one row; flows are
-    joined to batches, not to events."""
+def _whole(batches: DataFrame) -> DataFrame:
+    """Whole batches, stored.  A batch is bounded by the batch size, so it may become one row."""
     keys = FLOW if "flow_id" in batches.columns else ["event_type"]
     whole = batches.groupBy(*keys, "batch_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("entries"))
-    whole = written_table(whole.select(*keys, "batch_id", F.col("entries.line").alias("lines")), "batches")
+    return written_table(whole.select(*keys, "batch_id", F.col("entries.line").alias("lines")), "batches")
+
+
+def _ready(whole: DataFrame, targets: DataFrame, due: DataFrame | None = None) -> DataFrame:
+    """Whole batches for each flow they go to, or for those of ``due`` only, with their tries.
+
+    Flows are joined to batches, not to events, and what is due before that, so
+    that the lines of a batch move once however many flows want them."""
+    keys, tried = [c for c in FLOW if c in whole.columns], []
+    if due is not None:
+        whole, keys, tried = whole.join(due, [*keys, "batch_id"]), FLOW, ["tried"]
     joined = join_small(whole, targets.select(*FLOW, "destinations"), keys, ["batch_id"])
-    return joined.select(*FLOW, "batch_id", "lines", "destinations", _start().alias("start"), F.lit(0).alias("tried"))
+    return joined.select(*FLOW, "batch_id", "lines", "destinations", _start().alias("start"), *tried)
 
 
 def _pilots(ready: DataFrame, targets: DataFrame) -> DataFrame:
@@ -127,8 +137,8 @@ def _ended(waves: list[DataFrame], flows: DataFrame, retry_count: int) -> DataFr
     attempts = reduce(DataFrame.unionByName, waves)
     if not retry_count:
         return attempts
-    waiting = small_table(_lost(waves, flows.where("qos_enabled")).drop("tried"), "waiting-batches")
-    return join_small(attempts, waiting, [*FLOW, "batch_id"], ["batch_id"], "left_anti")
+    waiting = _lost(waves, flows.where("qos_enabled")).drop("tried")
+    return attempts.join(waiting, [*FLOW, "batch_id"], "left_anti")
 
 
 ATTEMPT_COLUMNS = [c.split()[0] for c in ATTEMPT.split(", ")]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from eventweir.operators import delivery as ops
 from eventweir.operators.batches import batch_numbers
 from eventweir.operators.routing import batch_by_flow
+from eventweir.operators.joins import join_small
 from eventweir.operators.running import Running, running_before
 from eventweir.sinks.deliver import deliver, next_tap_state
 
@@ -262,3 +263,20 @@ def test_what_waits_for_a_round_is_not_reported_as_dropped(table):
     reports = {(r[0], r[1], r[2]): r[7] for r in got}
     assert reports[("f", 1, 1)] == 0 and reports[("g", 1, 1)] == 1
     assert [r[2] for r in got if r[0] == "f" and r[1] == 0] == [1, 2, 3]
+
+
+def test_only_tables_of_flows_and_taps_are_broadcast(table, monkeypatch):
+    """What is due again or waits grows with the batches, so no machine holds all of it."""
+    from eventweir.sinks import deliver as module
+
+    sizes = []
+
+    def recorded(large, small, *rest):
+        sizes.append(small.count())
+        return join_small(large, small, *rest)
+
+    monkeypatch.setattr(module, "join_small", recorded)
+    batches = [("a", "f", i, 0, f"line {i}") for i in range(30)]
+    got = sent(table, lambda *_: 503, [("a", "f", ["u"], True, 1)], batches, retry_count=1)
+    assert sorted((r[1], r[2]) for r in got) == [(i, n) for i in range(30) for n in (1, 2)]
+    assert max(sizes) == 1
