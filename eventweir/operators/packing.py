@@ -25,6 +25,10 @@ from eventweir.functions.locations import DEFAULT_TARGET
 from eventweir.schema import GROUP
 from eventweir.session import written_table
 
+#: Files a task holds in Python, about 1 kB each with their copies; fewer than LEAST_FILES are not spread.
+CHUNK_FILES = 100_000
+LEAST_FILES = 10_000
+
 CELL = [*GROUP, "_chunk"]
 STATE = [*CELL, "_open", "_next", "_acc", "_parts"]
 _ENTRY = ["_e_open", "_e_next", "_e_acc", "_e_parts"]
@@ -45,12 +49,16 @@ def pack_first_fit(
     ``ordinal, size, n_parts``).  ``next_ordinals``: per group the number of
     combined objects it has (``next_ordinal``).  Adds ``ordinal`` and
     ``part_no``, the file's position within its combined object.
-    ``chunks`` fixes the number of ranges; by default Spark chooses it.
+    ``chunks`` fixes the number of ranges; by default it follows the number of
+    files, so that a task holds a bounded number whatever the session's settings.
     """
     files = new_objects.select(*GROUP, "location", "etag", "size", "last_modified")
     by = [*GROUP, "location"]
-    ranged = files.repartitionByRange(chunks, *by) if chunks else files.repartitionByRange(*by)
-    ordered = ranged.sortWithinPartitions(*by).withColumn("_chunk", F.spark_partition_id())
+    if chunks is None:
+        # Stored: counting, sampling the bounds and dealing out read it each.
+        files = written_table(files, "files")
+        chunks = _chunk_count(files.count(), files.sparkSession.sparkContext.defaultParallelism)
+    ordered = files.repartitionByRange(chunks, *by).sortWithinPartitions(*by).withColumn("_chunk", F.spark_partition_id())
     # Range bounds are sampled per run; writing pins each file to one chunk.
     ordered = written_table(ordered, "pack")
 
@@ -77,6 +85,11 @@ def pack_first_fit(
     return placed
 
 
+def _chunk_count(files: int, parallelism: int) -> int:
+    """Chunks of at most ``CHUNK_FILES`` on average, and of few files only to use all cores."""
+    return max(1, -(-files // CHUNK_FILES), min(parallelism, -(-files // LEAST_FILES)))
+
+
 def _with_manifest_state(cells: DataFrame, open_objects, next_ordinals, target: int) -> DataFrame:
     """Add what the manifest says about each group: the state the walk starts
     from, the next ordinal, and on the group's first chunk its growable objects

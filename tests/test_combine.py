@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from eventweir.functions.locations import combined_location, location_parts, priority_class
 from eventweir.functions.transfer import create_exclusive, read_small
 from eventweir.operators import combine as ops
+from eventweir.operators import packing
 from eventweir.operators.packing import pack_first_fit
 from eventweir.plans import schedule
 from eventweir.plans.combine import CombineConfig, run_combine
 from eventweir.schema import GROUP, MANIFEST
+from eventweir.session import written_table
 from eventweir.sinks.compact import compact
 from eventweir.sinks.manifests import claim_groups, write_manifest, write_snapshot
 from eventweir.sinks.spool import write_spool
@@ -112,6 +114,21 @@ def test_packing_is_first_fit_however_it_is_cut(table, chunks):
     assert packed(got) == wanted
 
 
+def test_chunks_hold_a_bounded_number_of_files(table, monkeypatch):
+    """Whatever Spark would make of the files' bytes: tasks hold a chunk each in Python."""
+    monkeypatch.setattr(packing, "CHUNK_FILES", 50)
+    stored = {}
+
+    def recorded(df, name):
+        stored[name] = written_table(df, name)
+        return stored[name]
+
+    monkeypatch.setattr(packing, "written_table", recorded)
+    files = [file(f"{i:04d}", 1 + i % 7) for i in range(400)]
+    assert packed(pack_first_fit(table(files, FILES), target=100)) == first_fit([(f[4], f[6]) for f in files], [], 0, 100)
+    assert stored["pack"].groupBy("_chunk").count().agg(F.max("count")).first()[0] <= 100
+
+
 def test_empty_files_are_left_out_and_five_mebibytes_are_large(table):
     df = table([("a", 0), ("b", 5 * MB - 1), ("c", 5 * MB)], "n string, size bigint")
     assert rows(ops.with_size_class(df), "n", "size_class") == [("b", "small"), ("c", "large")]
