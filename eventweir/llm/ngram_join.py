@@ -36,7 +36,7 @@ of their own number.  Repeated rows are copies of each other.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -489,24 +489,40 @@ def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint, linked boolean")
 
 
-def merge_labels(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
+def _nearby(rows: int) -> Callable[[DataFrame], DataFrame]:
+    """Broadcasts tables of so many counted rows of a few numbers, if these are few."""
+    return F.broadcast if rows * 64 <= BROADCAST_BYTES // 4 else lambda df: df
+
+
+#: Rows of a few numbers for which another task is worth its start.
+TASK_ROWS = 50_000
+
+
+def in_tasks(df: DataFrame, rows: int, task_rows: int = TASK_ROWS) -> DataFrame:
+    """A result of so many counted rows, at most, in as many tasks and files as
+    they are worth, but no fewer than use all cores."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // task_rows)))
+
+
+def merge_labels(labels: DataFrame, links: DataFrame, n_sets: int) -> tuple[DataFrame, int]:
     """``cls, label`` after joining the components that links connect, and how
     many classes got another label.
 
     Every label that has a link to a smaller one is hung below the smallest
     such, and moves up two steps at once; again, until no link leads from one
-    label to another."""
+    label to another.  Few links go to the labels, which then aren't shuffled."""
+    near = _nearby(links.count())
     moves = 0
     while True:
         of_a = labels.select(F.col("cls").alias("a"), F.col("label").alias("la"))
         of_b = labels.select(F.col("cls").alias("b"), F.col("label").alias("lb"))
-        open_links = links.join(of_a, "a").join(of_b, "b").where("la != lb")
+        open_links = of_b.join(near(of_a.join(near(links), "a")), "b").where("la != lb")
         parents = open_links.groupBy(F.greatest("la", "lb").alias("label")).agg(F.min(F.least("la", "lb")).alias("parent"))
         above = parents.select(F.col("label").alias("parent"), F.col("parent").alias("further"))
-        parents = parents.join(above, "parent", "left").select("label", F.coalesce("further", "parent").alias("parent"))
-        moved = labels.join(parents, "label", "left")
+        parents = parents.join(near(above), "parent", "left").select("label", F.coalesce("further", "parent").alias("parent"))
+        moved = labels.join(near(parents), "label", "left")
         moved = moved.select("cls", F.coalesce("parent", "label").alias("label"), F.col("parent").isNotNull().alias("moved"))
-        moved = written_table(moved, "labels")
+        moved = written_table(in_tasks(moved, n_sets), "labels")
         n = moved.where("moved").count()
         if not n:
             return labels, moves
@@ -522,9 +538,16 @@ class Search:
     labels: DataFrame
     tested: list[DataFrame] = field(default_factory=list)
 
+    def __post_init__(self):
+        self.n_sets = self.sets.count()
+
+    def labelled(self, pieces: DataFrame) -> DataFrame:
+        """Pieces with the labels of their sets; few labels go to the pieces."""
+        return pieces.join(_nearby(self.n_sets)(self.labels), "cls")
+
     def mixed(self, pieces: DataFrame) -> DataFrame:
         """The pieces that lie in more than one component, stored."""
-        labelled = pieces.join(self.labels, "cls")
+        labelled = self.labelled(pieces)
         mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
         return written_table(pieces.join(mixed.select("key"), "key", "left_semi"), "mixed-pieces")
 
@@ -534,13 +557,14 @@ class Search:
         if self.tested:
             pairs = pairs.join(reduce(DataFrame.union, self.tested), ["a", "b"], "left_anti")
         pairs = written_table(pairs, "tested")
+        n_pairs = pairs.count()
         self.tested.append(pairs)
         sets = self.sets
-        if pairs.count() * 64 <= BROADCAST_BYTES:  # else the semi join would move all sets once more
+        if n_pairs * 64 <= BROADCAST_BYTES:  # else the semi join would move all sets once more
             ids = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
             sets = sets.join(F.broadcast(ids), "cls", "left_semi")
-        found = written_table(verified(pairs, sets, self.join), "verified")
-        self.labels, moves = merge_labels(self.labels, found.where("linked").select("a", "b"))
+        found = written_table(in_tasks(verified(pairs, sets, self.join), n_pairs, 5_000), "verified")
+        self.labels, moves = merge_labels(self.labels, found.where("linked").select("a", "b"), self.n_sets)
         return moves
 
     def hubs(self, pieces: DataFrame, each: int = 4, least: float = 0.01) -> DataFrame:
@@ -549,12 +573,13 @@ class Search:
         While there would be more than ``each`` pairs across components for
         every row, each set is paired with a hub of one of its pieces, as long
         as that moves at least a share of ``least`` of the sets."""
-        pieces, turn, n_sets = self.mixed(pieces), 0, self.sets.count()
+        pieces, turn = self.mixed(pieces), 0
         while True:
-            labelled = pieces.join(self.labels, "cls")
+            labelled = self.labelled(pieces)
             row = F.struct(*[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "rank", "label")])
             some = F.min_by(row, F.xxhash64("cls", F.lit(turn))).alias("hub")
-            per_label = labelled.groupBy("key", "label").agg(F.count("*").alias("n"), some)
+            # Stored, as it is read twice.
+            per_label = written_table(labelled.groupBy("key", "label").agg(F.count("*").alias("n"), some), "per-label")
             per_key = per_label.groupBy("key").agg(
                 F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count("*").alias("labels")
             )
@@ -569,12 +594,12 @@ class Search:
             one = one.select("cls", "p.*")
             hub = per_label.groupBy("key").agg(F.max_by("hub", F.struct("n", "label")).alias("hub")).select("key", "hub.*")
             found = _named(one, "b").join(hub, "key").where((F.col("label_a") != F.col("label_b")) & self.join.fits("a", "b"))
-            if self.test(found) <= least * n_sets and turn >= 2:
+            if self.test(found) <= least * self.n_sets and turn >= 2:
                 return pieces
 
     def across(self, pieces: DataFrame) -> None:
         """Verify all pairs that share a piece, lie in different components and can link."""
-        pieces = pieces.join(self.labels, "cls")
+        pieces = self.labelled(pieces)
         pairs = _named(pieces, "a").join(_named(pieces, "b"), "key")
         self.test(pairs.where((F.col("label_a") < F.col("label_b")) & self.join.fits("a", "b")))
 
