@@ -512,21 +512,26 @@ def merge_labels(labels: DataFrame, links: DataFrame, n_sets: int) -> tuple[Data
     such, and moves up two steps at once; again, until no link leads from one
     label to another.  Few links go to the labels, which then aren't shuffled."""
     near = _nearby(links.count())
-    moves = 0
+    of_a = labels.select(F.col("cls").alias("a"), F.col("label").alias("la"))
+    of_b = labels.select(F.col("cls").alias("b"), F.col("label").alias("lb"))
+    pairs, moves = of_b.join(near(of_a.join(near(links), "a")), "b"), 0
     while True:
-        of_a = labels.select(F.col("cls").alias("a"), F.col("label").alias("la"))
-        of_b = labels.select(F.col("cls").alias("b"), F.col("label").alias("lb"))
-        open_links = of_b.join(near(of_a.join(near(links), "a")), "b").where("la != lb")
-        parents = open_links.groupBy(F.greatest("la", "lb").alias("label")).agg(F.min(F.least("la", "lb")).alias("parent"))
+        # Links between the same labels act as one, and those within a label are done with.
+        pairs = pairs.where("la != lb").select(F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).distinct()
+        pairs = written_table(pairs, "label-pairs")
+        if pairs.isEmpty():
+            return labels, moves
+        parents = pairs.groupBy(F.col("lb").alias("label")).agg(F.min("la").alias("parent"))
         above = parents.select(F.col("label").alias("parent"), F.col("parent").alias("further"))
         parents = parents.join(near(above), "parent", "left").select("label", F.coalesce("further", "parent").alias("parent"))
+        parents = written_table(parents, "parents")
         moved = labels.join(near(parents), "label", "left")
         moved = moved.select("cls", F.coalesce("parent", "label").alias("label"), F.col("parent").isNotNull().alias("moved"))
         moved = written_table(in_tasks(moved, n_sets), "labels")
-        n = moved.where("moved").count()
-        if not n:
-            return labels, moves
-        labels, moves = moved.select("cls", "label"), moves + n
+        labels, moves = moved.select("cls", "label"), moves + moved.where("moved").count()
+        for end in ("la", "lb"):
+            up = parents.select(F.col("label").alias(end), F.col("parent").alias("up"))
+            pairs = pairs.join(near(up), end, "left").withColumn(end, F.coalesce("up", end)).drop("up")
 
 
 @dataclass

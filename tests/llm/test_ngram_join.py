@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from eventweir.llm import ngram_join as n
 
@@ -120,13 +121,12 @@ def test_repeated_rows_and_empty_tables(table, awkward, words):
     assert n.components(table([(1, None)], "doc_id bigint, text string")).collect() == [(1, 0, 1)]
 
 
-def test_few_links_leave_the_labels_where_they_are(table):
+def test_few_links_leave_the_labels_where_they_are(spark):
     """Labels are neither shuffled to merge them nor stored in a file for each shuffle partition."""
-    spark = table([(0,)], "x int").sparkSession
-    n = 3000
-    labels = spark.range(n).repartition(40).select(F.col("id").alias("cls"), F.col("id").alias("label"))
-    links = spark.range(0, n - 1).where("id % 10 <> 9").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    merged, moves = ngram_join.merge_labels(labels, links, n)
-    assert moves >= n - n // 10
+    size = 3000
+    labels = spark.range(size).repartition(40).select(F.col("id").alias("cls"), F.col("id").alias("label"))
+    links = spark.range(size).where("id % 10 <> 9").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    merged, moves = n.merge_labels(labels, links, size)
+    assert moves >= size - size // 10
     assert all(r.label == r.cls // 10 * 10 for r in merged.collect())
     assert len(merged.inputFiles()) <= 2 * spark.sparkContext.defaultParallelism
