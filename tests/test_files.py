@@ -372,3 +372,8 @@ def test_nothing_staged(spark, folder):
     for _ in range(4):
         assert recover.recover_files(spark, config, 0).count() == 0
     assert len([n for n in os.listdir(config.root) if n.startswith("plan=")]) == recover.KEEP
+
+
+def test_folders_are_listed_by_a_bounded_number_of_tasks(spark):
+    tasks = int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism"))
+    assert tasks == 4 * spark.sparkContext.defaultParallelism
