@@ -25,7 +25,8 @@ one hub, first within each task, so that what a task sends is one row per piece
 even if all its documents share it.  Pairs are verified by intersecting the
 sets.  Afterwards only pieces whose sets are not all in one component matter;
 further hubs are tried while many pairs would remain, then all pairs that lie
-across components are verified, so no link between components is missed.
+across components are verified, so no link between components is missed.  Before
+that, sketches of the sets rule out the pairs that surely differ too much.
 
 Shingles are known by 64-bit hashes, classes by 128-bit hashes of their sets.
 
@@ -57,6 +58,9 @@ U64 = np.uint64
 MANY = 50
 #: Counters of shingles for the order of rare ones.
 BUCKETS = 1 << 18
+#: Numbers of 64 bits that sketch a set.
+SKETCH = 16
+SKETCHES = [f"s{i}" for i in range(SKETCH)]
 #: Bytes of text hashed at once; the arrays for them take some forty times as much.
 CHUNK = 1_000_000
 
@@ -157,6 +161,11 @@ class Join:
         common = F.least(F.col(f"n_{a}") - F.col(f"rank_{a}"), F.col(f"n_{b}") - F.col(f"rank_{b}"))
         return (100 + self.similarity) * common >= self.similarity * (F.col(f"n_{a}") + F.col(f"n_{b}"))
 
+    def alike(self, a: str, b: str) -> Column:
+        """Do the sketches of two rows differ in no more bits than linked sets do in shingles."""
+        bits = reduce(Column.__add__, (F.bit_count(F.col(f"{s}_{a}").bitwiseXOR(F.col(f"{s}_{b}"))) for s in SKETCHES))
+        return (100 + self.similarity) * bits <= (100 - self.similarity) * (F.col(f"n_{a}") + F.col(f"n_{b}"))
+
     def allocation(self, band: int) -> tuple[int, int]:
         """Segments compared exactly, and with deletions, of sizes ``2**band`` to ``2**(band + 1) - 1``."""
         low, high = 2**band, 2 ** (band + 1) - 1
@@ -260,6 +269,16 @@ def class_hashes(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     return both[:, 0].copy(), both[:, 1].copy()
 
 
+def sketches(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """``SKETCH`` numbers for every set: a bit tells whether an odd number of its
+    shingles falls on it, so two sets differ in as many shingles as bits at least."""
+    width = 64 * SKETCH
+    place = np.repeat(np.arange(len(sizes)), sizes) * width + (mix(flat) % U64(width)).astype(np.int64)
+    odd = (np.bincount(place, minlength=len(sizes) * width) & 1).astype(np.uint8)
+    numbers = np.packbits(odd, bitorder="little").view("<i8").reshape(len(sizes), SKETCH)
+    return [numbers[:, i].copy() for i in range(SKETCH)]
+
+
 DOC = pa.struct([("id", pa.int64()), ("n", pa.int64()), ("c2", pa.int64())])
 
 
@@ -351,7 +370,7 @@ def paired(rows: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, join: Join) -> DataFrame:
-    """``cls, n, shingles`` of rows of ``id, text``; the shingles as bytes."""
+    """``cls, n, shingles`` of rows of ``id, text``, and their sketches; the shingles as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -360,9 +379,11 @@ def sets_of(docs: DataFrame, join: Join) -> DataFrame:
                 data = pa.py_buffer(flat.tobytes())
                 offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(sizes) * 8]).astype(np.int32).tobytes())
                 shingles = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, offsets, data])
-                yield pa.RecordBatch.from_arrays([pa.array(class_hashes(flat, sizes)[0]), pa.array(sizes), shingles], ["cls", "n", "shingles"])
+                numbers = [pa.array(c) for c in (class_hashes(flat, sizes)[0], sizes, *sketches(flat, sizes))]
+                yield pa.RecordBatch.from_arrays([*numbers[:2], shingles, *numbers[2:]], names)
 
-    return docs.mapInArrow(run, "cls bigint, n bigint, shingles binary")
+    names = ["cls", "n", "shingles", *SKETCHES]
+    return docs.mapInArrow(run, "cls bigint, n bigint, shingles binary, " + ", ".join(f"{s} bigint" for s in SKETCHES))
 
 
 def pieces_of(sets: DataFrame, join: Join) -> DataFrame:
@@ -603,14 +624,19 @@ class Search:
                 return pieces
 
     def across(self, pieces: DataFrame) -> None:
-        """Verify all pairs that share a piece, lie in different components and can link."""
-        pieces = self.labelled(pieces)
-        pairs = _named(pieces, "a").join(_named(pieces, "b"), "key")
-        self.test(pairs.where((F.col("label_a") < F.col("label_b")) & self.join.fits("a", "b")))
+        """Verify all pairs that share a piece, lie in different components and can link.
+
+        In a crowd that has much in common but hardly links, most pairs share
+        pieces; the sketches rule out those that differ too much before they
+        become rows."""
+        sketches = self.sets.select("cls", *SKETCHES)
+        pieces = self.labelled(pieces).join(sketches, "cls")
+        pairs = _named(pieces, "a", *SKETCHES).join(_named(pieces, "b", *SKETCHES), "key")
+        self.test(pairs.where((F.col("label_a") < F.col("label_b")) & self.join.fits("a", "b") & self.join.alike("a", "b")))
 
 
-def _named(pieces: DataFrame, side: str) -> DataFrame:
-    return pieces.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("cls", "n", "rank", "label")])
+def _named(pieces: DataFrame, side: str, *more: str) -> DataFrame:
+    return pieces.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("cls", "n", "rank", "label", *more)])
 
 
 def components(docs: DataFrame, join: Join = Join(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:

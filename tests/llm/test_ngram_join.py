@@ -80,6 +80,39 @@ def test_crowd_of_texts_that_nearly_link(table, words, monkeypatch):
     assert {tuple(x) for x in n.components(table(rows, "doc_id bigint, text string")).collect()} == expected
 
 
+def test_crowd_that_hardly_links_is_not_paired_with_itself(table, words, monkeypatch):
+    """Most pairs share a rare shingle, but hardly more are verified than link."""
+    monkeypatch.setattr(n, "MANY", 5)
+    verified, verify = [], n.verified
+    monkeypatch.setattr(n, "verified", lambda pairs, *a: (verified.append(pairs.count()), verify(pairs, *a))[1])
+    r = random.Random(21)
+    text = words(4, 150)
+    near = [edited(text, r, 0.02) for _ in range(30)]
+    rows = list(enumerate([edited(t, r, 0.005) for t in near for _ in range(4)]))
+    expected = brute(rows)
+    assert 20 < len({c for _, _, c in expected}) < 120
+    assert {tuple(x) for x in n.components(table(rows, "doc_id bigint, text string")).collect()} == expected
+    assert sum(verified) < 8 * len(rows), verified
+
+
+@pytest.mark.parametrize("similarity", [60, 80, 95])
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles(spark, similarity):
+    join, r = n.Join(similarity=similarity), np.random.default_rng(similarity)
+    rows, linked = [], []
+    for size in (1, 5, 40, 200, 900, 3000):
+        a = np.unique(r.integers(0, 2**64, size, np.uint64))
+        for changed in {0, 1, size // 40, size // 20, size // 11, size // 9, size // 5, size // 2, size}:
+            b = np.unique(np.concatenate([a[changed:], r.integers(0, 2**64, changed, np.uint64)]))
+            common = len(np.intersect1d(a, b))
+            linked.append(100 * common >= similarity * (len(a) + len(b) - common))
+            numbers = np.stack(n.sketches(np.concatenate([a, b]), np.array([len(a), len(b)])))
+            rows.append((len(rows), len(a), len(b), *numbers[:, 0].tolist(), *numbers[:, 1].tolist()))
+    names = ["row", "n_a", "n_b", *(f"{s}_{side}" for side in "ab" for s in n.SKETCHES)]
+    alike = {x["row"]: x["alike"] for x in spark.createDataFrame(rows, names).select("row", join.alike("a", "b").alias("alike")).collect()}
+    assert all(alike[i] for i, yes in enumerate(linked) if yes)
+    assert any(linked) and not all(alike.values())
+
+
 @pytest.mark.parametrize("similarity", [60, 80, 95])
 def test_linked_sets_share_an_indexed_piece(similarity):
     join, r = n.Join(similarity=similarity), np.random.default_rng(similarity)
