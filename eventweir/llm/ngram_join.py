@@ -38,7 +38,7 @@ of their own number.  Repeated rows are copies of each other.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -532,20 +532,23 @@ def merge_labels(labels: DataFrame, links: DataFrame, n_sets: int) -> tuple[Data
     Every label that has a link to a smaller one is hung below the smallest
     such, and moves up two steps at once; again, until no link leads from one
     label to another.  Few links go to the labels, which then aren't shuffled."""
-    near = _nearby(links.count())
+    n_links = links.count()
+    if not n_links:
+        return labels, 0
+    near = _nearby(n_links)
     of_a = labels.select(F.col("cls").alias("a"), F.col("label").alias("la"))
     of_b = labels.select(F.col("cls").alias("b"), F.col("label").alias("lb"))
     pairs, moves = of_b.join(near(of_a.join(near(links), "a")), "b"), 0
     while True:
         # Links between the same labels act as one, and those within a label are done with.
         pairs = pairs.where("la != lb").select(F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).distinct()
-        pairs = written_table(pairs, "label-pairs")
+        pairs = written_table(in_tasks(pairs, n_links), "label-pairs")
         if pairs.isEmpty():
             return labels, moves
-        parents = pairs.groupBy(F.col("lb").alias("label")).agg(F.min("la").alias("parent"))
+        parents = in_tasks(pairs.groupBy(F.col("lb").alias("label")).agg(F.min("la").alias("parent")), n_links)
         above = parents.select(F.col("label").alias("parent"), F.col("parent").alias("further"))
         parents = parents.join(near(above), "parent", "left").select("label", F.coalesce("further", "parent").alias("parent"))
-        parents = written_table(parents, "parents")
+        parents = written_table(in_tasks(parents, n_links), "parents")
         moved = labels.join(near(parents), "label", "left")
         moved = moved.select("cls", F.coalesce("parent", "label").alias("label"), F.col("parent").isNotNull().alias("moved"))
         moved = written_table(in_tasks(moved, n_sets), "labels")
@@ -562,7 +565,6 @@ class Search:
     join: Join
     sets: DataFrame
     labels: DataFrame
-    tested: list[DataFrame] = field(default_factory=list)
 
     def __post_init__(self):
         self.n_sets = self.sets.count()
@@ -577,14 +579,11 @@ class Search:
         mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
         return written_table(pieces.join(mixed.select("key"), "key", "left_semi"), "mixed-pieces")
 
-    def test(self, pairs: DataFrame) -> int:
-        """Verify pairs that were not verified before; how many sets changed their component."""
+    def test(self, pairs: DataFrame, most: int | None = None) -> int:
+        """Verify pairs, ``most`` if that is known; how many sets changed their component."""
         pairs = pairs.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
-        if self.tested:
-            pairs = pairs.join(reduce(DataFrame.union, self.tested), ["a", "b"], "left_anti")
-        pairs = written_table(pairs, "tested")
+        pairs = written_table(pairs if most is None else in_tasks(pairs, most), "tested")
         n_pairs = pairs.count()
-        self.tested.append(pairs)
         sets = self.sets
         if n_pairs * 64 <= BROADCAST_BYTES:  # else the semi join would move all sets once more
             ids = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
@@ -598,7 +597,7 @@ class Search:
 
         While there would be more than ``each`` pairs across components for
         every row, each set is paired with a hub of one of its pieces, as long
-        as that moves at least a share of ``least`` of the sets."""
+        as that moves at least a share of ``least`` of the sets (once less, if any)."""
         pieces, turn = self.mixed(pieces), 0
         while True:
             labelled = self.labelled(pieces)
@@ -620,7 +619,8 @@ class Search:
             one = one.select("cls", "p.*")
             hub = per_label.groupBy("key").agg(F.max_by("hub", F.struct("n", "label")).alias("hub")).select("key", "hub.*")
             found = _named(one, "b").join(hub, "key").where((F.col("label_a") != F.col("label_b")) & self.join.fits("a", "b"))
-            if self.test(found) <= least * self.n_sets and turn >= 2:
+            moves = self.test(found, self.n_sets)
+            if not moves or moves <= least * self.n_sets and turn >= 2:
                 return pieces
 
     def across(self, pieces: DataFrame) -> None:
@@ -658,7 +658,7 @@ def components(docs: DataFrame, join: Join = Join(), text: str = "text", doc_id:
     first = pairs.select(F.col("cls").alias("cls_b"), F.col("hub").alias("cls_a"), "n").join(of("a"), "cls_a").join(of("b"), "cls_b")
     first = first.where(join.fits("a", "b")).groupBy("cls_b").agg(F.max_by("cls_a", F.struct("n", "cls_a")).alias("cls_a"))
     search = Search(join, sets, sets.select("cls", F.col("cls").alias("label")))
-    search.test(first)
+    search.test(first, search.n_sets)
     pieces = search.hubs(pieces_of(sets, join))
     # Pieces that few sets share: all pairs across components.  The sets with
     # other pieces are indexed again, by their rarest ones.

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventweir.llm import ngram_join as n
+from eventweir.session import settings
 
 
 def shingles(text, k=5):
@@ -163,3 +164,25 @@ def test_few_links_leave_the_labels_where_they_are(spark):
     assert moves >= size - size // 10
     assert all(r.label == r.cls // 10 * 10 for r in merged.collect())
     assert len(merged.inputFiles()) <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_merging_few_links_stores_few_files(spark, monkeypatch):
+    """Every file and task costs the driver memory; without links nothing is stored at all."""
+    most = 2 * spark.sparkContext.defaultParallelism
+    files, store = [], n.written_table
+
+    def written(df, name):
+        out = store(df, name)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(n, "written_table", written)
+    size = 3000
+    labels = spark.range(size).select(F.col("id").alias("cls"), F.col("id").alias("label"))
+    links = spark.range(size).where("id % 3 <> 2").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    with settings(spark, spark__sql__shuffle__partitions=str(2 * most), spark__sql__adaptive__coalescePartitions__enabled="false"):
+        merged, _ = n.merge_labels(labels, links, size)
+        assert all(r.label == r.cls // 3 * 3 for r in merged.collect())
+        assert files and max(files) <= most, files
+        files.clear()
+        assert n.merge_labels(labels, links.where("a < 0"), size)[1] == 0 and not files
