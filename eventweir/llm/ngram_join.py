@@ -26,7 +26,8 @@ even if all its documents share it.  Pairs are verified by intersecting the
 sets.  Afterwards only pieces whose sets are not all in one component matter;
 further hubs are tried while many pairs would remain, then all pairs that lie
 across components are verified, so no link between components is missed.  Before
-that, sketches of the sets rule out the pairs that surely differ too much.
+that, sketches of the sets rule out the pairs that surely differ too much.  Those
+pairs are formed in blocks of bounded size, so no task holds a whole crowd.
 
 Shingles are known by 64-bit hashes, classes by 128-bit hashes of their sets.
 
@@ -58,6 +59,8 @@ U64 = np.uint64
 MANY = 50
 #: Counters of shingles for the order of rare ones.
 BUCKETS = 1 << 18
+#: Rows of a piece that are paired with each other, or with as many others, at once.
+BLOCK = 2048
 #: Numbers of 64 bits that sketch a set.
 SKETCH = 16
 SKETCHES = [f"s{i}" for i in range(SKETCH)]
@@ -387,17 +390,20 @@ def sets_of(docs: DataFrame, join: Join) -> DataFrame:
 
 
 def pieces_of(sets: DataFrame, join: Join) -> DataFrame:
-    """``key, cls, n, rank`` for every indexed piece of the sets; the rank says nothing."""
+    """``key, cls, n, rank`` for every indexed piece of distinct sets, each once; the rank says nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, n = np.frombuffer(b"".join(column(batch, "shingles").to_pylist()), U64), column(batch, "n")
             keys, of = join.pieces(flat, n.to_numpy())
-            of = pa.array(of)
+            order = np.lexsort((keys, of))
+            keys, of = keys[order], of[order]
+            fresh = np.ones(len(keys), bool)
+            fresh[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
+            keys, of = keys[fresh], pa.array(of[fresh])
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), column(batch, "cls").take(of), n.take(of)], ["key", "cls", "n"])
 
-    rows = sets.select("cls", "n", "shingles").mapInArrow(run, "key bigint, cls bigint, n bigint")
-    return rows.distinct().withColumn("rank", F.lit(0))
+    return sets.select("cls", "n", "shingles").mapInArrow(run, "key bigint, cls bigint, n bigint").withColumn("rank", F.lit(0))
 
 
 @dataclass(frozen=True)
@@ -454,7 +460,8 @@ def shingle_buckets(sets: DataFrame) -> Buckets:
         for part, sums in total.items():
             yield row(part, *sums)
 
-    counted = sets.select("n", "shingles", "label").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema)
+    counted = sets.select("n", "shingles", "label").mapInArrow(count, schema)
+    counted = in_tasks(counted.repartition("part"), BUCKET_PARTS).mapInArrow(add, schema)
     out = Buckets(np.zeros(BUCKETS, np.int64), np.full(BUCKETS, low_end), np.full(BUCKETS, high_end))
     for part, bucket, used, low, high in counted.collect():  # BUCKET_PARTS rows with BUCKETS entries at most
         at = part * width + np.array(bucket, np.int64)
@@ -492,7 +499,8 @@ def rare_shingles_of(sets: DataFrame, join: Join) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """The pairs ``a, b`` with ``linked``: are their sets similar enough."""
+    """The pairs ``a, b`` with ``linked``: are their sets similar enough.  Pairs
+    whose sketches tell that they aren't are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -505,14 +513,87 @@ def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
                 linked.append(100 * common >= join.similarity * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    both = pairs.select("a", "b").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b")), "b")
-    both = both.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a")), "a")
+    def of(side: str) -> DataFrame:
+        named = {"n": f"n_{side}", "shingles": f"set_{side}", **{s: f"{s}_{side}" for s in SKETCHES}}
+        return sets.select(F.col("cls").alias(side), *[F.col(c).alias(name) for c, name in named.items()])
+
+    both = pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a").where(join.alike("a", "b"))
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint, linked boolean")
 
 
-def _nearby(rows: int) -> Callable[[DataFrame], DataFrame]:
-    """Broadcasts tables of so many counted rows of a few numbers, if these are few."""
-    return F.broadcast if rows * 64 <= BROADCAST_BYTES // 4 else lambda df: df
+def cells(pieces: DataFrame, counted: DataFrame, block: int) -> DataFrame:
+    """Pieces with ``part``, ``i`` and ``j``, so that every two rows of a key meet.
+
+    The rows of a key in ``counted``, with its ``n_rows``, are dealt out to parts
+    of about ``block`` rows, and every two parts meet in a cell ``i, j``."""
+    parts = F.coalesce(F.ceil(F.col("n_rows") / block), F.lit(1)).cast("int")
+    rows = pieces.join(counted, "key", "left").withColumn("parts", parts)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("cls"), "parts").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.drop("parts", "n_rows").withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other")
+
+
+def near_pairs(pieces: DataFrame, join: Join, most: int = 200_000, waiting: int = 20_000) -> DataFrame:
+    """``a, b``: the pairs of rows of a cell that lie in different components and
+    can link by their sizes, ranks and sketches; a pair may come from several keys.
+
+    A task goes through its cells in order and holds ``waiting`` rows, or
+    those of a cell if these are more, and ``most`` pairs at once, or those of a row."""
+    names = ["key", "i", "j", "part", "cls", "n", "rank", "label", *SKETCHES]
+
+    def pairs(rows: np.ndarray) -> Iterator[np.ndarray]:
+        key, i, j, part, cls, n, rank, label = rows[:8]
+        fresh = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        ends = np.concatenate([fresh, [len(key)]])
+        partners = np.repeat(ends, np.diff(np.concatenate([[0], ends]))) - np.arange(len(key)) - 1
+        upto = np.cumsum(partners)
+        start = 0
+        while start < len(key):
+            before = upto[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(upto, before + most, "right")))
+            count = partners[start:stop]
+            x = np.repeat(np.arange(start, stop), count)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count)
+            start = stop
+            common = np.minimum(n[x] - rank[x], n[y] - rank[y])
+            may = (100 + join.similarity) * common >= join.similarity * (n[x] + n[y])
+            may &= (label[x] != label[y]) & ((i[x] == j[x]) | (part[x] != part[y]))
+            x, y = x[may], y[may]
+            bits = sum(np.bitwise_count(s[x] ^ s[y]).astype(np.int64) for s in rows[8:].view(U64))
+            alike = (100 + join.similarity) * bits <= (100 - join.similarity) * (n[x] + n[y])
+            a, b = cls[x[alike]], cls[y[alike]]
+            yield np.stack([np.minimum(a, b), np.maximum(a, b)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n_held, least = 0, waiting
+
+        def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            both = np.concatenate([np.zeros((2, 0), np.int64), *pairs(rows)], axis=1)
+            if both.size:
+                both = np.unique(both, axis=1)
+                yield from sliced(pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"]))
+
+        for batch in batches:
+            held.append(np.stack([column(batch, name).to_numpy() for name in names]))
+            n_held += batch.num_rows
+            if n_held >= least:
+                rows = np.concatenate(held, axis=1)
+                # The last cell may go on in the next batch.
+                last = int(np.flatnonzero((rows[:3] != rows[:3, -1:]).any(axis=0)).max(initial=-1)) + 1
+                yield from found(rows[:, :last])
+                held, n_held = [rows[:, last:]], n_held - last
+                least = max(waiting, 2 * n_held)
+        if n_held:
+            yield from found(np.concatenate(held, axis=1))
+
+    rows = pieces.select(*[F.col(name).cast("bigint").alias(name) for name in names])
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a bigint, b bigint")
+
+
+def _nearby(rows: int, width: int = 64) -> Callable[[DataFrame], DataFrame]:
+    """Broadcasts tables of so many counted rows of ``width`` bytes, a few numbers, if these are few."""
+    return F.broadcast if rows * width <= BROADCAST_BYTES // 4 else lambda df: df
 
 
 #: Rows of a few numbers for which another task is worth its start.
@@ -574,15 +655,16 @@ class Search:
         return pieces.join(_nearby(self.n_sets)(self.labels), "cls")
 
     def mixed(self, pieces: DataFrame) -> DataFrame:
-        """The pieces that lie in more than one component, stored."""
+        """The stored pieces that lie in more than one component, stored."""
         labelled = self.labelled(pieces)
         mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-        return written_table(pieces.join(mixed.select("key"), "key", "left_semi"), "mixed-pieces")
+        mixed = written_table(in_tasks(mixed.select("key"), pieces.count()), "mixed-keys")
+        return written_table(join_by_size(pieces, mixed, "key", max_bytes=BROADCAST_BYTES // 4), "mixed-pieces")
 
-    def test(self, pairs: DataFrame, most: int | None = None) -> int:
-        """Verify pairs, ``most`` if that is known; how many sets changed their component."""
-        pairs = pairs.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
-        pairs = written_table(pairs if most is None else in_tasks(pairs, most), "tested")
+    def test(self, pairs: DataFrame, most: int) -> int:
+        """Verify pairs ``a, b``, ``most`` at most; how many sets changed their component."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = written_table(in_tasks(pairs, most), "tested")
         n_pairs = pairs.count()
         sets = self.sets
         if n_pairs * 64 <= BROADCAST_BYTES:  # else the semi join would move all sets once more
@@ -593,22 +675,24 @@ class Search:
         return moves
 
     def hubs(self, pieces: DataFrame, each: int = 4, least: float = 0.01) -> DataFrame:
-        """The pieces that are still mixed after pairing their sets with hubs.
+        """The stored pieces that are still mixed after pairing their sets with hubs.
 
         While there would be more than ``each`` pairs across components for
         every row, each set is paired with a hub of one of its pieces, as long
         as that moves at least a share of ``least`` of the sets (once less, if any)."""
         pieces, turn = self.mixed(pieces), 0
+        n_pieces, near = pieces.count(), _nearby(self.n_sets)
         while True:
             labelled = self.labelled(pieces)
             row = F.struct(*[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "rank", "label")])
             some = F.min_by(row, F.xxhash64("cls", F.lit(turn))).alias("hub")
             # Stored, as it is read twice.
-            per_label = written_table(labelled.groupBy("key", "label").agg(F.count("*").alias("n"), some), "per-label")
+            per_label = labelled.groupBy("key", "label").agg(F.count("*").alias("n"), some)
+            per_label = written_table(in_tasks(per_label, n_pieces), "per-label")
             per_key = per_label.groupBy("key").agg(
                 F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count("*").alias("labels")
             )
-            per_key = per_key.where("labels > 1").withColumn("pairs", (F.col("n") * F.col("n") - F.col("within")) / 2)
+            per_key = in_tasks(per_key, n_pieces).where("labels > 1").withColumn("pairs", (F.col("n") * F.col("n") - F.col("within")) / 2)
             rows, pairs = per_key.agg(F.sum("n"), F.sum("pairs")).first()
             if not rows or pairs <= each * rows:
                 return pieces
@@ -616,10 +700,10 @@ class Search:
             # Every set is paired by one of its pieces, with a set of the piece's
             # largest component, other ones every time.
             one = labelled.groupBy("cls").agg(F.max_by(F.struct("key", "n", "rank", "label"), F.xxhash64("key", F.lit(turn))).alias("p"))
-            one = one.select("cls", "p.*")
+            one = near(in_tasks(one.select("cls", "p.*"), self.n_sets))
             hub = per_label.groupBy("key").agg(F.max_by("hub", F.struct("n", "label")).alias("hub")).select("key", "hub.*")
             found = _named(one, "b").join(hub, "key").where((F.col("label_a") != F.col("label_b")) & self.join.fits("a", "b"))
-            moves = self.test(found, self.n_sets)
+            moves = self.test(found.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")), self.n_sets)
             if not moves or moves <= least * self.n_sets and turn >= 2:
                 return pieces
 
@@ -628,62 +712,72 @@ class Search:
 
         In a crowd that has much in common but hardly links, most pairs share
         pieces; the sketches rule out those that differ too much before they
-        become rows."""
-        sketches = self.sets.select("cls", *SKETCHES)
-        pieces = self.labelled(pieces).join(sketches, "cls")
-        pairs = _named(pieces, "a", *SKETCHES).join(_named(pieces, "b", *SKETCHES), "key")
-        self.test(pairs.where((F.col("label_a") < F.col("label_b")) & self.join.fits("a", "b") & self.join.alike("a", "b")))
+        become rows.  Crowds are paired in blocks."""
+        n_pieces = pieces.count()
+        counted = in_tasks(pieces.groupBy("key").agg(F.count("*").alias("n_rows")), n_pieces).where(F.col("n_rows") > BLOCK)
+        counted = _nearby(n_pieces // BLOCK)(counted)
+        sketches = _nearby(self.n_sets, 64 + 8 * SKETCH)(self.sets.select("cls", *SKETCHES))
+        rows = cells(self.labelled(pieces).join(sketches, "cls"), counted, BLOCK)
+        found = written_table(near_pairs(rows, self.join), "near-pairs")
+        self.test(found, found.count())
 
 
-def _named(pieces: DataFrame, side: str, *more: str) -> DataFrame:
-    return pieces.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("cls", "n", "rank", "label", *more)])
+def _named(pieces: DataFrame, side: str) -> DataFrame:
+    return pieces.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("cls", "n", "rank", "label")])
 
 
 def components(docs: DataFrame, join: Join = Join(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: ``id, n_shingles, component_id`` (smallest id that links reach)."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
     found = written_table(paired(indexed(rows, join)), "pieces")
+    n_found = found.count()
     members = found.where("doc is not null").select("doc.id", F.col("doc.n").alias("n_shingles"), F.col("cls").alias("c1"), "doc.c2")
     pairs = found.where("hub is not null").groupBy("cls", "hub").agg(F.sum("n").alias("n"))
-    pairs = written_table(pairs, "pairs")
+    pairs = written_table(in_tasks(pairs, n_found), "pairs")
 
     # The sets of all classes that share a piece with another one.
-    active = pairs.select("cls").union(pairs.select("hub")).distinct()
-    reps = members.join(active, members["c1"] == active["cls"]).groupBy("c1").agg(F.min("id").alias("id"))
-    sets = sets_of(join_by_size(rows, written_table(reps.select("id").distinct(), "representatives"), "id"), join)
-    sets = written_table(sets.dropDuplicates(["cls"]), "sets")
+    active = pairs.select(F.col("cls").alias("c1")).union(pairs.select("hub")).distinct()
+    active = written_table(in_tasks(active, 2 * pairs.count()), "active")
+    n_active = active.count()
+    reps = join_by_size(members, active, "c1").groupBy("c1").agg(F.min("id").alias("id")).select("id")
+    reps = written_table(in_tasks(reps, n_active), "representatives")
+    sets = sets_of(join_by_size(rows, reps, "id"), join).dropDuplicates(["cls"])
+    sets = written_table(in_tasks(sets, n_active, 5_000), "sets")
 
     # Every class with the hub it shares most pieces with, if their sizes allow it.
-    of = lambda name: sets.select(F.col("cls").alias(f"cls_{name}"), F.col("n").alias(f"n_{name}"), F.lit(0).alias(f"rank_{name}"))
-    first = pairs.select(F.col("cls").alias("cls_b"), F.col("hub").alias("cls_a"), "n").join(of("a"), "cls_a").join(of("b"), "cls_b")
-    first = first.where(join.fits("a", "b")).groupBy("cls_b").agg(F.max_by("cls_a", F.struct("n", "cls_a")).alias("cls_a"))
     search = Search(join, sets, sets.select("cls", F.col("cls").alias("label")))
-    search.test(first, search.n_sets)
-    pieces = search.hubs(pieces_of(sets, join))
+    near = _nearby(search.n_sets)
+    of = lambda name: near(sets.select(F.col("cls").alias(f"cls_{name}"), F.col("n").alias(f"n_{name}"), F.lit(0).alias(f"rank_{name}")))
+    first = pairs.select(F.col("cls").alias("cls_b"), F.col("hub").alias("cls_a"), "n").join(of("a"), "cls_a").join(of("b"), "cls_b")
+    first = first.where(join.fits("a", "b")).groupBy(F.col("cls_b").alias("b")).agg(F.max_by("cls_a", F.struct("n", "cls_a")).alias("a"))
+    search.test(in_tasks(first, search.n_sets), search.n_sets)
+    pieces = search.hubs(written_table(pieces_of(sets, join), "set-pieces"))
     # Pieces that few sets share: all pairs across components.  The sets with
     # other pieces are indexed again, by their rarest ones.
-    often = written_table(pieces.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MANY).select("key"), "often")
-    search.across(pieces.join(often, "key", "left_anti"))
+    often = pieces.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MANY).select("key")
+    often = written_table(in_tasks(often, pieces.count()), "often")
+    search.across(written_table(join_by_size(pieces, often, "key", "left_anti"), "pieces-of-few"))
     if often.take(1):
-        crowded = pieces.join(often, "key", "left_semi").select("cls").distinct()
-        labelled = sets.join(crowded, "cls", "left_semi").join(search.labels, "cls")
-        rare = written_table(rare_shingles_of(written_table(labelled, "crowded-sets"), join), "rare-shingles")
+        crowded = join_by_size(pieces, often, "key").select("cls").distinct()
+        crowded = written_table(in_tasks(crowded, search.n_sets), "crowded")
+        labelled = written_table(search.labelled(join_by_size(sets, crowded, "cls")), "crowded-sets")
+        rare = written_table(rare_shingles_of(labelled, join), "rare-shingles")
         # Ranks rule most of these pairs out, so more of them are cheaper than another hub.
         search.across(search.hubs(rare, each=32))
     # Equal sets without any link are a component too.
-    of_class = search.labels.select(F.col("cls").alias("c1"), "label")
+    of_class = near(search.labels.select(F.col("cls").alias("c1"), "label"))
     grouped = members.join(of_class, "c1", "left").select(
         "id", "n_shingles", F.coalesce("label", "c1").alias("g1"), F.when(F.col("label").isNull(), F.col("c2")).otherwise(0).alias("g2")
     )
     least = grouped.where("n_shingles > 0").groupBy("g1", "g2").agg(F.min("id").alias("least"))
     result = grouped.join(least, ["g1", "g2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("least"))
-    return result.select("id", "n_shingles", component.alias("component_id"))
+    return in_tasks(result.select("id", "n_shingles", component.alias("component_id")), n_found)
 
 
 def join_by_size(large: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of ``large`` whose key is (or with ``left_anti`` is not) in a
-    stored table of distinct ids; the table is broadcast when its rows, counted,
+    stored table of ids; the table is broadcast when its rows, counted,
     take less than ``max_bytes``."""
     small = ids.count() * 64 <= max_bytes
     return large.join(F.broadcast(ids) if small else ids, key, how)

@@ -96,6 +96,50 @@ def test_crowd_that_hardly_links_is_not_paired_with_itself(table, words, monkeyp
     assert sum(verified) < 8 * len(rows), verified
 
 
+def test_what_is_stored_does_not_take_a_file_for_each_shuffle_partition(spark, table, words, monkeypatch):
+    """With many shuffle partitions, small tables and few pairs need few tasks, in every step."""
+    monkeypatch.setattr(n, "MANY", 5)
+    most, files, store = 2 * spark.sparkContext.defaultParallelism, {}, n.written_table
+
+    def written(df, name):
+        out = store(df, name)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(n, "written_table", written)
+    r = random.Random(31)
+    text = words(6, 90)
+    rows = list(enumerate(edited(text, r, share) for share in (0.01, 0.03, 0.05, 0.08) for _ in range(12)))
+    with settings(spark, spark__sql__shuffle__partitions=str(4 * most), spark__sql__adaptive__coalescePartitions__enabled="false"):
+        assert {tuple(x) for x in n.components(table(rows, "doc_id bigint, text string")).collect()} == brute(rows)
+    dealt = {"pieces", "near-pairs"}  # their rows are counted only when they are stored
+    assert {"pairs", "sets", "per-label", "often", "verified", *dealt} <= set(files)
+    assert all(count <= most for name, count in files.items() if name not in dealt), files
+
+
+def test_crowds_are_paired_in_blocks(table):
+    """Every pair that can link meets, whatever the sizes of blocks, buffers and batches."""
+    join, r = n.Join(), np.random.default_rng(5)
+    sets = {c: (40 + c % 7, c % 3, c % 5, *r.integers(0, 2**6, 4).tolist(), *[0] * (n.SKETCH - 4)) for c in range(90)}
+    pieces = [(key, c, *s) for key, upto in ((1, 90), (2, 30), (3, 2), (4, 1)) for c, s in sets.items() if c < upto]
+    expected = set()
+    for a, b in itertools.combinations(sets, 2):
+        (n_a, rank_a, label_a, *s_a), (n_b, rank_b, label_b, *s_b) = sets[a], sets[b]
+        bits = sum((x ^ y).bit_count() for x, y in zip(s_a, s_b, strict=True))
+        fits = 180 * min(n_a - rank_a, n_b - rank_b) >= 80 * (n_a + n_b)
+        if label_a != label_b and fits and 180 * bits <= 20 * (n_a + n_b):
+            expected.add((a, b))
+    assert 0 < len(expected) < 2000
+    rows = table(pieces, ", ".join(f"{name} bigint" for name in ("key", "cls", "n", "rank", "label", *n.SKETCHES)))
+    counts = rows.groupBy("key").agg(F.count("*").alias("n_rows"))
+    for block, most, waiting in ((1000, 200_000, 20_000), (20, 50, 10), (7, 1, 1), (90, 10**6, 40)):
+        dealt = n.cells(rows, counts.where(F.col("n_rows") > block), block)
+        held = dealt.groupBy("key", "i", "j").count().agg(F.max("count")).first()[0]
+        assert held <= 4 * block + 20 or block == 1000
+        found = n.near_pairs(dealt, join, most, waiting).distinct().collect()
+        assert {tuple(x) for x in found} == expected and len(found) == len(expected), block
+
+
 @pytest.mark.parametrize("similarity", [60, 80, 95])
 def test_sketches_differ_in_no_more_bits_than_sets_in_shingles(spark, similarity):
     join, r = n.Join(similarity=similarity), np.random.default_rng(similarity)
