@@ -45,7 +45,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from eventweir.llm.bpe import gather
@@ -423,17 +423,17 @@ BUCKET_PARTS = 64
 def shingle_buckets(sets: DataFrame) -> Buckets:
     """The buckets of all shingles of some sets with their ``label``.
 
-    Tasks count into arrays and send them in ``BUCKET_PARTS`` rows, which are
-    added up by part."""
+    Tasks count into arrays and send them, as bytes, in ``BUCKET_PARTS`` rows,
+    which are added up by part."""
     low_end, high_end = np.iinfo(np.int64).max, np.iinfo(np.int64).min
     width = BUCKETS // BUCKET_PARTS
     names = ["part", "bucket", "used", "low", "high"]
-    schema = "part int, bucket array<int>, used array<bigint>, low array<bigint>, high array<bigint>"
+    schema = "part int, bucket binary, used binary, low binary, high binary"
 
-    def row(part: int, used: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
-        found = np.flatnonzero(used)
-        lists = [pa.array([values], pa.list_(kind)) for values, kind in ((found, pa.int32()), (used[found], pa.int64()), (low[found], pa.int64()), (high[found], pa.int64()))]
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *lists], names)
+    def row(part: int, *counted: np.ndarray) -> pa.RecordBatch:
+        found = np.flatnonzero(counted[0])
+        packed = [pa.array([values.astype("<i8").tobytes()]) for values in (found, *(c[found] for c in counted))]
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *packed], names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used, low, high = np.zeros(BUCKETS, np.int64), np.full(BUCKETS, low_end), np.full(BUCKETS, high_end)
@@ -452,7 +452,8 @@ def shingle_buckets(sets: DataFrame) -> Buckets:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for part, bucket, used, low, high in zip(*(column(batch, name).to_pylist() for name in names), strict=True):
+            for part, *packed in zip(*(column(batch, name).to_pylist() for name in names), strict=True):
+                bucket, used, low, high = (np.frombuffer(p, "<i8") for p in packed)
                 sums = total.setdefault(part, (np.zeros(width, np.int64), np.full(width, low_end), np.full(width, high_end)))
                 sums[0][bucket] += used
                 sums[1][bucket] = np.minimum(sums[1][bucket], low)
@@ -463,8 +464,9 @@ def shingle_buckets(sets: DataFrame) -> Buckets:
     counted = sets.select("n", "shingles", "label").mapInArrow(count, schema)
     counted = in_tasks(counted.repartition("part"), BUCKET_PARTS).mapInArrow(add, schema)
     out = Buckets(np.zeros(BUCKETS, np.int64), np.full(BUCKETS, low_end), np.full(BUCKETS, high_end))
-    for part, bucket, used, low, high in counted.collect():  # BUCKET_PARTS rows with BUCKETS entries at most
-        at = part * width + np.array(bucket, np.int64)
+    for part, *packed in counted.collect():  # BUCKET_PARTS rows with BUCKETS entries at most
+        bucket, used, low, high = (np.frombuffer(p, "<i8") for p in packed)
+        at = part * width + bucket
         out.used[at], out.low[at], out.high[at] = used, low, high
     return out
 
@@ -606,14 +608,22 @@ def in_tasks(df: DataFrame, rows: int, task_rows: int = TASK_ROWS) -> DataFrame:
     return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // task_rows)))
 
 
-def merge_labels(labels: DataFrame, links: DataFrame, n_sets: int) -> tuple[DataFrame, int]:
+def counted_table(df: DataFrame, name: str, which: Column | None = None) -> tuple[DataFrame, int]:
+    """A table that is written and read back, and how many of its rows, or of those
+    ``which`` holds for, were written; another job to count them costs the driver memory."""
+    counted = Observation()
+    table = written_table(df.observe(counted, F.count_if(F.lit(True) if which is None else which).alias("n")), name)
+    return table, counted.get["n"]
+
+
+def merge_labels(labels: DataFrame, links: DataFrame, n_sets: int, n_links: int | None = None) -> tuple[DataFrame, int]:
     """``cls, label`` after joining the components that links connect, and how
     many classes got another label.
 
     Every label that has a link to a smaller one is hung below the smallest
     such, and moves up two steps at once; again, until no link leads from one
     label to another.  Few links go to the labels, which then aren't shuffled."""
-    n_links = links.count()
+    n_links = links.count() if n_links is None else n_links
     if not n_links:
         return labels, 0
     near = _nearby(n_links)
@@ -623,8 +633,8 @@ def merge_labels(labels: DataFrame, links: DataFrame, n_sets: int) -> tuple[Data
     while True:
         # Links between the same labels act as one, and those within a label are done with.
         pairs = pairs.where("la != lb").select(F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).distinct()
-        pairs = written_table(in_tasks(pairs, n_links), "label-pairs")
-        if pairs.isEmpty():
+        pairs, n_pairs = counted_table(in_tasks(pairs, n_links), "label-pairs")
+        if not n_pairs:
             return labels, moves
         parents = in_tasks(pairs.groupBy(F.col("lb").alias("label")).agg(F.min("la").alias("parent")), n_links)
         above = parents.select(F.col("label").alias("parent"), F.col("parent").alias("further"))
@@ -632,8 +642,8 @@ def merge_labels(labels: DataFrame, links: DataFrame, n_sets: int) -> tuple[Data
         parents = written_table(in_tasks(parents, n_links), "parents")
         moved = labels.join(near(parents), "label", "left")
         moved = moved.select("cls", F.coalesce("parent", "label").alias("label"), F.col("parent").isNotNull().alias("moved"))
-        moved = written_table(in_tasks(moved, n_sets), "labels")
-        labels, moves = moved.select("cls", "label"), moves + moved.where("moved").count()
+        moved, n_moved = counted_table(in_tasks(moved, n_sets), "labels", F.col("moved"))
+        labels, moves = moved.select("cls", "label"), moves + n_moved
         for end in ("la", "lb"):
             up = parents.select(F.col("label").alias(end), F.col("parent").alias("up"))
             pairs = pairs.join(near(up), end, "left").withColumn(end, F.coalesce("up", end)).drop("up")
@@ -646,42 +656,41 @@ class Search:
     join: Join
     sets: DataFrame
     labels: DataFrame
-
-    def __post_init__(self):
-        self.n_sets = self.sets.count()
+    n_sets: int
 
     def labelled(self, pieces: DataFrame) -> DataFrame:
         """Pieces with the labels of their sets; few labels go to the pieces."""
         return pieces.join(_nearby(self.n_sets)(self.labels), "cls")
 
-    def mixed(self, pieces: DataFrame) -> DataFrame:
-        """The stored pieces that lie in more than one component, stored."""
+    def mixed(self, pieces: DataFrame, n_pieces: int) -> tuple[DataFrame, int]:
+        """The stored and counted pieces that lie in more than one component, stored and counted."""
         labelled = self.labelled(pieces)
         mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-        mixed = written_table(in_tasks(mixed.select("key"), pieces.count()), "mixed-keys")
-        return written_table(join_by_size(pieces, mixed, "key", max_bytes=BROADCAST_BYTES // 4), "mixed-pieces")
+        mixed, n_mixed = counted_table(in_tasks(mixed.select("key"), n_pieces), "mixed-keys")
+        return counted_table(join_by_size(pieces, mixed, n_mixed, "key", max_bytes=BROADCAST_BYTES // 4), "mixed-pieces")
 
     def test(self, pairs: DataFrame, most: int) -> int:
         """Verify pairs ``a, b``, ``most`` at most; how many sets changed their component."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = written_table(in_tasks(pairs, most), "tested")
-        n_pairs = pairs.count()
+        pairs, n_pairs = counted_table(in_tasks(pairs, most), "tested")
+        if not n_pairs:
+            return 0
         sets = self.sets
         if n_pairs * 64 <= BROADCAST_BYTES:  # else the semi join would move all sets once more
             ids = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
             sets = sets.join(F.broadcast(ids), "cls", "left_semi")
-        found = written_table(in_tasks(verified(pairs, sets, self.join), n_pairs, 5_000), "verified")
-        self.labels, moves = merge_labels(self.labels, found.where("linked").select("a", "b"), self.n_sets)
+        found, n_links = counted_table(in_tasks(verified(pairs, sets, self.join), n_pairs, 5_000), "verified", F.col("linked"))
+        self.labels, moves = merge_labels(self.labels, found.where("linked").select("a", "b"), self.n_sets, n_links)
         return moves
 
-    def hubs(self, pieces: DataFrame, each: int = 4, least: float = 0.01) -> DataFrame:
-        """The stored pieces that are still mixed after pairing their sets with hubs.
+    def hubs(self, pieces: DataFrame, n_pieces: int, each: int = 4, least: float = 0.01) -> tuple[DataFrame, int]:
+        """The stored and counted pieces that are mixed, after pairing their sets with hubs.
 
         While there would be more than ``each`` pairs across components for
         every row, each set is paired with a hub of one of its pieces, as long
         as that moves at least a share of ``least`` of the sets (once less, if any)."""
-        pieces, turn = self.mixed(pieces), 0
-        n_pieces, near = pieces.count(), _nearby(self.n_sets)
+        pieces, n_pieces = self.mixed(pieces, n_pieces)
+        turn, near = 0, _nearby(self.n_sets)
         while True:
             labelled = self.labelled(pieces)
             row = F.struct(*[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "rank", "label")])
@@ -695,7 +704,7 @@ class Search:
             per_key = in_tasks(per_key, n_pieces).where("labels > 1").withColumn("pairs", (F.col("n") * F.col("n") - F.col("within")) / 2)
             rows, pairs = per_key.agg(F.sum("n"), F.sum("pairs")).first()
             if not rows or pairs <= each * rows:
-                return pieces
+                return pieces, n_pieces
             turn += 1
             # Every set is paired by one of its pieces, with a set of the piece's
             # largest component, other ones every time.
@@ -705,21 +714,19 @@ class Search:
             found = _named(one, "b").join(hub, "key").where((F.col("label_a") != F.col("label_b")) & self.join.fits("a", "b"))
             moves = self.test(found.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")), self.n_sets)
             if not moves or moves <= least * self.n_sets and turn >= 2:
-                return pieces
+                return pieces, n_pieces
 
-    def across(self, pieces: DataFrame) -> None:
+    def across(self, pieces: DataFrame, n_pieces: int) -> None:
         """Verify all pairs that share a piece, lie in different components and can link.
 
         In a crowd that has much in common but hardly links, most pairs share
         pieces; the sketches rule out those that differ too much before they
         become rows.  Crowds are paired in blocks."""
-        n_pieces = pieces.count()
         counted = in_tasks(pieces.groupBy("key").agg(F.count("*").alias("n_rows")), n_pieces).where(F.col("n_rows") > BLOCK)
         counted = _nearby(n_pieces // BLOCK)(counted)
         sketches = _nearby(self.n_sets, 64 + 8 * SKETCH)(self.sets.select("cls", *SKETCHES))
         rows = cells(self.labelled(pieces).join(sketches, "cls"), counted, BLOCK)
-        found = written_table(near_pairs(rows, self.join), "near-pairs")
-        self.test(found, found.count())
+        self.test(*counted_table(near_pairs(rows, self.join), "near-pairs"))
 
 
 def _named(pieces: DataFrame, side: str) -> DataFrame:
@@ -729,41 +736,41 @@ def _named(pieces: DataFrame, side: str) -> DataFrame:
 def components(docs: DataFrame, join: Join = Join(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: ``id, n_shingles, component_id`` (smallest id that links reach)."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    found = written_table(paired(indexed(rows, join)), "pieces")
-    n_found = found.count()
+    found, n_found = counted_table(paired(indexed(rows, join)), "pieces")
     members = found.where("doc is not null").select("doc.id", F.col("doc.n").alias("n_shingles"), F.col("cls").alias("c1"), "doc.c2")
     pairs = found.where("hub is not null").groupBy("cls", "hub").agg(F.sum("n").alias("n"))
-    pairs = written_table(in_tasks(pairs, n_found), "pairs")
+    pairs, n_pairs = counted_table(in_tasks(pairs, n_found), "pairs")
 
     # The sets of all classes that share a piece with another one.
     active = pairs.select(F.col("cls").alias("c1")).union(pairs.select("hub")).distinct()
-    active = written_table(in_tasks(active, 2 * pairs.count()), "active")
-    n_active = active.count()
-    reps = join_by_size(members, active, "c1").groupBy("c1").agg(F.min("id").alias("id")).select("id")
-    reps = written_table(in_tasks(reps, n_active), "representatives")
-    sets = sets_of(join_by_size(rows, reps, "id"), join).dropDuplicates(["cls"])
-    sets = written_table(in_tasks(sets, n_active, 5_000), "sets")
+    active, n_active = counted_table(in_tasks(active, 2 * n_pairs), "active")
+    reps = join_by_size(members, active, n_active, "c1").groupBy("c1").agg(F.min("id").alias("id")).select("id")
+    reps, n_reps = counted_table(in_tasks(reps, n_active), "representatives")
+    sets = sets_of(join_by_size(rows, reps, n_reps, "id"), join).dropDuplicates(["cls"])
+    sets, n_sets = counted_table(in_tasks(sets, n_active, 5_000), "sets")
 
     # Every class with the hub it shares most pieces with, if their sizes allow it.
-    search = Search(join, sets, sets.select("cls", F.col("cls").alias("label")))
-    near = _nearby(search.n_sets)
+    search = Search(join, sets, sets.select("cls", F.col("cls").alias("label")), n_sets)
+    near = _nearby(n_sets)
     of = lambda name: near(sets.select(F.col("cls").alias(f"cls_{name}"), F.col("n").alias(f"n_{name}"), F.lit(0).alias(f"rank_{name}")))
     first = pairs.select(F.col("cls").alias("cls_b"), F.col("hub").alias("cls_a"), "n").join(of("a"), "cls_a").join(of("b"), "cls_b")
     first = first.where(join.fits("a", "b")).groupBy(F.col("cls_b").alias("b")).agg(F.max_by("cls_a", F.struct("n", "cls_a")).alias("a"))
-    search.test(in_tasks(first, search.n_sets), search.n_sets)
-    pieces = search.hubs(written_table(pieces_of(sets, join), "set-pieces"))
+    search.test(in_tasks(first, n_sets), n_sets)
+    pieces, n_pieces = search.hubs(*counted_table(pieces_of(sets, join), "set-pieces"))
     # Pieces that few sets share: all pairs across components.  The sets with
     # other pieces are indexed again, by their rarest ones.
     often = pieces.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MANY).select("key")
-    often = written_table(in_tasks(often, pieces.count()), "often")
-    search.across(written_table(join_by_size(pieces, often, "key", "left_anti"), "pieces-of-few"))
-    if often.take(1):
-        crowded = join_by_size(pieces, often, "key").select("cls").distinct()
-        crowded = written_table(in_tasks(crowded, search.n_sets), "crowded")
-        labelled = written_table(search.labelled(join_by_size(sets, crowded, "cls")), "crowded-sets")
-        rare = written_table(rare_shingles_of(labelled, join), "rare-shingles")
+    often, n_often = counted_table(in_tasks(often, n_pieces), "often")
+    if n_often:
+        search.across(*counted_table(join_by_size(pieces, often, n_often, "key", "left_anti"), "pieces-of-few"))
+        crowded = join_by_size(pieces, often, n_often, "key").select("cls").distinct()
+        crowded, n_crowded = counted_table(in_tasks(crowded, n_sets), "crowded")
+        labelled = written_table(search.labelled(join_by_size(sets, crowded, n_crowded, "cls")), "crowded-sets")
+        rare = counted_table(rare_shingles_of(labelled, join), "rare-shingles")
         # Ranks rule most of these pairs out, so more of them are cheaper than another hub.
-        search.across(search.hubs(rare, each=32))
+        search.across(*search.hubs(*rare, each=32))
+    else:
+        search.across(pieces, n_pieces)
     # Equal sets without any link are a component too.
     of_class = near(search.labels.select(F.col("cls").alias("c1"), "label"))
     grouped = members.join(of_class, "c1", "left").select(
@@ -775,12 +782,11 @@ def components(docs: DataFrame, join: Join = Join(), text: str = "text", doc_id:
     return in_tasks(result.select("id", "n_shingles", component.alias("component_id")), n_found)
 
 
-def join_by_size(large: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def join_by_size(large: DataFrame, ids: DataFrame, n_ids: int, key: str, how: str = "left_semi", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of ``large`` whose key is (or with ``left_anti`` is not) in a
-    stored table of ids; the table is broadcast when its rows, counted,
-    take less than ``max_bytes``."""
-    small = ids.count() * 64 <= max_bytes
-    return large.join(F.broadcast(ids) if small else ids, key, how)
+    stored table of ``n_ids`` ids; the table is broadcast when its rows take
+    less than ``max_bytes``."""
+    return large.join(F.broadcast(ids) if n_ids * 64 <= max_bytes else ids, key, how)
 
 
 def keep_one(docs: DataFrame, join: Join = Join(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -790,4 +796,4 @@ def keep_one(docs: DataFrame, join: Join = Join(), text: str = "text", doc_id: s
     smallest id do too."""
     found = components(docs, join, text, doc_id)
     gone = found.where("id != component_id").select(F.col("id").alias(doc_id)).distinct()
-    return join_by_size(docs, written_table(gone, "copies"), doc_id, "left_anti").select(*docs.columns)
+    return join_by_size(docs, *counted_table(gone, "copies"), doc_id, "left_anti").select(*docs.columns)

@@ -16,7 +16,7 @@ tasks need one number per bucket.
 
 The fit takes at most ``max_rows`` labelled rows (``SAMPLE``) of each class, those
 of lowest id hash with at most ``max_chars`` characters; everything else runs
-over all rows.  Without rows of both classes all texts get the share of toxic
+over all rows.  A task fits, and only the model goes to the driver.  Without rows of both classes all texts get the share of toxic
 rows.  Empty and null texts are scored as a window of neutral words.
 """
 
@@ -255,18 +255,39 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = SAMPLE["max_rows"]
         sides.append(side.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
     sample = sides[0].union(sides[1])  # at most twice max_rows ids
     texts = docs.select(F.col("doc_id"), F.col("text")).where(F.length("text") <= max_chars)
-    rows = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).collect()
-    rows = sorted(rows, key=lambda r: r["doc_id"])
-    model = fit([r["text"] for r in rows], [int(r["toxic"]) for r in rows])
+    model, n_rows, taught = fit_in_task(texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]))
     n, n_toxic = known.agg(F.count("*"), F.sum("toxic")).first()
-    taught = sum(int(r["toxic"]) for r in rows)
-    if not rows or not n_toxic or n_toxic == n or not 0 < taught < len(rows):
+    if not n_rows or not n_toxic or n_toxic == n or not 0 < taught < n_rows:
         return model
     # The sample has other class shares than all labelled rows.
-    shift = np.log(n_toxic / (n - n_toxic)) - np.log(taught / (len(rows) - taught))
+    shift = np.log(n_toxic / (n - n_toxic)) - np.log(taught / (n_rows - taught))
     return Model(model.buckets, model.bias, model.slope, model.offset + float(shift))
 
 
+def fit_in_task(sample: DataFrame) -> tuple[Model, int, int]:
+    """The model of a bounded sample of ``doc_id, text, toxic``, its rows and the toxic ones of them.
+
+    The texts go to one task, so the driver gets a number for each of ``BUCKETS`` only."""
+    names = ["buckets", "bias", "slope", "offset", "n_rows", "taught"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, toxic = [], [], []
+        for batch in batches:
+            for values, name in ((ids, "doc_id"), (texts, "text"), (toxic, "toxic")):
+                values.extend(column(batch, name).to_pylist())
+        order = sorted(range(len(ids)), key=ids.__getitem__)
+        y = [int(toxic[i]) for i in order]
+        model = fit([texts[i] for i in order], y)
+        row = [model.buckets.astype("<f8").tobytes(), model.bias, model.slope, model.offset, len(y), sum(y)]
+        yield pa.RecordBatch.from_arrays([pa.array([value]) for value in row], names)
+
+    schema = "buckets binary, bias double, slope double, offset double, n_rows bigint, taught bigint"
+    found = sample.select("doc_id", "text", "toxic").coalesce(1).mapInArrow(run, schema).first()
+    if found is None:  # no task runs over a sample that Spark knows to be empty
+        return fit([], []), 0, 0
+    return Model(np.frombuffer(found["buckets"], "<f8"), *found[1:4]), found["n_rows"], found["taught"]
+
+
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Replace nothing and add ``out``: the probability that a text is toxic."""
     others = [c for c in docs.columns if c != out]

@@ -230,3 +230,25 @@ def test_merging_few_links_stores_few_files(spark, monkeypatch):
         assert files and max(files) <= most, files
         files.clear()
         assert n.merge_labels(labels, links.where("a < 0"), size)[1] == 0 and not files
+
+
+def test_stored_rows_are_counted_as_they_are_written(spark, table, words, monkeypatch):
+    """A job that counts what was just stored costs the driver the memory of its plan, stages and broadcasts."""
+    for name in ("count", "isEmpty"):
+        monkeypatch.setattr(type(spark.range(1)), name, lambda *_, name=name: pytest.fail(f"{name} after a write"))
+    stored, store = [], n.counted_table
+
+    def written(df, name, which=None):
+        out, found = store(df, name, which)
+        stored.append((name, out if which is None else out.where(which), found))
+        return out, found
+
+    monkeypatch.setattr(n, "counted_table", written)
+    r = random.Random(43)
+    text = words(7, 90)
+    rows = list(enumerate(edited(text, r, share) for share in (0.01, 0.03, 0.05) for _ in range(8)))
+    got = n.components(table(rows, "doc_id bigint, text string")).collect()
+    assert {tuple(x) for x in got} == brute(rows)
+    monkeypatch.undo()
+    assert all(out.count() == found for _, out, found in stored), [(name, found) for name, _, found in stored]
+    assert {"pieces", "sets", "verified", "labels", "often"} <= {name for name, _, _ in stored}

@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 
@@ -77,3 +78,11 @@ def test_the_column_equals_the_table(awkward):
     df = awkward([corpus(3)[0][1], None, "", "x " * 4000, corpus(200)[7][1]])
     both = t.score(df, model, out="likely").withColumn("same", t.likelihood(F.col("text"), model, max_bytes=20))
     assert both.where("abs(likely - same) < 1e-9").count() == df.count()  # sums run over other chunks
+
+
+def test_the_fit_runs_in_a_task(table, monkeypatch):
+    """The driver's process neither gets the texts nor keeps the memory of a fit."""
+    monkeypatch.setattr(t, "fit", lambda texts, labels: t.Model(np.zeros(t.BUCKETS), float(os.getpid()), 0.0, float(len(texts))))
+    rows = corpus(40)
+    model = t.train(table([r[:2] for r in rows], "doc_id bigint, text string"), table([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int"))
+    assert model.bias not in (0.0, float(os.getpid()))
